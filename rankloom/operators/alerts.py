@@ -93,14 +93,15 @@ def alert_states(evaluations: DataFrame, step_seconds: int) -> DataFrame:
     ``for_seconds``; a missing evaluation ends the stretch like a false one.
     """
     step = step_seconds * 1_000_000
-    series = Window.partitionBy("alertname", "series").orderBy("_us")
+    alert = ["alertname", "severity", "series"]
+    series = Window.partitionBy(*alert).orderBy("_us")
     broken = (
         ~F.col("active")
         | F.coalesce(~F.lag("active").over(series), F.lit(True))
         | F.coalesce(F.col("_us") - F.lag("_us").over(series) > step, F.lit(True))
     )
     stretch = F.sum(F.col("_broken").cast("int")).over(series)
-    held = Window.partitionBy("alertname", "series", "_stretch")
+    held = Window.partitionBy(*alert, "_stretch")
     timed = (
         evaluations.withColumn("_us", micros("eval_ts"))
         .withColumn("_broken", broken)
@@ -110,7 +111,7 @@ def alert_states(evaluations: DataFrame, step_seconds: int) -> DataFrame:
     return timed.select(
         *evaluations.columns,
         F.when(~F.col("active"), F.lit("inactive"))
-        .when(F.col("_us") - F.col("_since") >= F.col("for_seconds") * 1_000_000, F.lit("firing"))
+        .when(F.col("_us") - F.col("_since") >= F.col("for_seconds").cast("long") * 1_000_000, F.lit("firing"))
         .otherwise(F.lit("pending"))
         .alias("state"),
         from_micros(F.col("_since")).alias("active_since"),

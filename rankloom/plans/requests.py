@@ -47,12 +47,13 @@ def latency_p95(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_TICKS = F.round(F.col("seconds") * 10_000).cast("long")
+def _ticks():
+    return F.round(F.col("seconds") * 10_000).cast("long")
 
 
 def latency_mean(spark: SparkSession, d: str) -> DataFrame:
     """Mean of whole ticks of 0.1 ms, so that sums are exact in any order."""
-    out = mx.latency_windows(tb.request_log(spark, d), "ts", _TICKS, BOUNDS, [], WINDOW, STEP)
+    out = mx.latency_windows(tb.request_log(spark, d), "ts", _ticks(), BOUNDS, [], WINDOW, STEP)
     return _naive(out, "window_start").select(
         "window_start", "requests", F.col("mean_seconds").alias("mean_ticks")
     )
@@ -120,7 +121,7 @@ def label_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def updown_stats(spark: SparkSession, d: str) -> DataFrame:
-    out = mx.up_summary(tb.request_log(spark, d), ["user_id"], ~F.col("failed"), _TICKS)
+    out = mx.up_summary(tb.request_log(spark, d), ["user_id"], ~F.col("failed"), _ticks())
     return out.withColumnRenamed("mean_seconds", "mean_ticks")
 
 

@@ -211,13 +211,13 @@ def _watch(threshold: int, cooldown: int, quiet_range, send_recovery: bool, held
 
 
 def stream_alert_states(evaluations: DataFrame, step_seconds: int) -> DataFrame:
-    """``(alertname, series, eval_ts, severity, state, late)``, as ``alert_states``.
+    """``(alertname, severity, series, eval_ts, for_seconds, state, late)``, as ``alert_states``.
 
     Reads evaluations, for instance the table a window stream appends to.
     """
-    extra = [F.col("active").alias("_active"), F.col("for_seconds").alias("_for")]
     return _keyed_fold(
-        evaluations, ["alertname", "series"], "eval_ts", "severity", extra,
+        evaluations, ["alertname", "severity", "series"], "eval_ts", "for_seconds",
+        [F.col("active").alias("_active")],
         "since_us long, last_us long",
         partial(_advance, step_seconds * 1_000_000), T.StructField("state", T.StringType()),
     )
@@ -226,7 +226,7 @@ def stream_alert_states(evaluations: DataFrame, step_seconds: int) -> DataFrame:
 def _advance(step: int, held, rows: pd.DataFrame):
     since, last = held or (-1, -1)
     states = []
-    for us, active, hold in zip(rows["_us"].tolist(), rows["_active"], rows["_for"]):
+    for us, active, hold in zip(rows["_us"].tolist(), rows["_active"], rows["for_seconds"]):
         if not active:
             since = -1
             states.append("inactive")
