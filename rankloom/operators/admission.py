@@ -54,10 +54,11 @@ def admit(
     Events of equal time are taken in the order of the unique column ``order``.
     """
     width = round(window_seconds * 1_000_000)
+    slot_width = max(width, 1)
     rows = events.select(*key, ts, order, micros(ts).alias("us")).withColumn(
-        "slot", slot(F.col("us"), width)
+        "slot", slot(F.col("us"), slot_width)
     )
-    busy = settle(_busy_slots(rows, key, limit, width, rows_per_round))
+    busy = settle(_busy_slots(rows, key, limit, slot_width, rows_per_round))
     calm = (
         rows.join(busy.where(~F.col("seed")).select(*key, "slot"), [*key, "slot"], "left_anti")
         .select(*key, ts, order)
@@ -129,7 +130,8 @@ def _fold_rounds(
 
     def fold(rows: DataFrame) -> DataFrame:
         return (
-            rows.repartition(*chain)
+            rows.select(chained.columns)
+            .repartition(*chain)
             .sortWithinPartitions(*chain, "us", order)
             .mapInArrow(partial(_fold_chains, chain, limit, width, inclusive), schema)
         )

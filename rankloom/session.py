@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,12 +22,14 @@ SESSION_CONF = {
 }
 
 
-def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
+def local_session(
+    cores: int | str = 8, memory: str = "8g", shuffle_partitions: int = 8
+) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("rankloom")
         .config("spark.driver.memory", memory)
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
     )
     for key, value in SESSION_CONF.items():
@@ -35,6 +39,23 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Not needed where it is installed on the cluster or passed with ``--py-files``.
+    """
+    sc = spark.sparkContext
+    name = f"{__package__}.zip"
+    if any(f.endswith("/" + name) for f in sc.listFiles):
+        return
+    folder = pathlib.Path(__file__).resolve().parent
+    target = pathlib.Path(tempfile.mkdtemp(prefix="rankloom-code-")) / name
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(folder.rglob("*.py")):
+            archive.write(source, source.relative_to(folder.parent))
+    sc.addPyFile(str(target))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by ``spark.checkpoint.dir``.
 
@@ -68,4 +89,4 @@ def settle_by(df: DataFrame, column: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/by-{column}-{uuid.uuid4().hex}"
     df.write.partitionBy(column).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
