@@ -50,13 +50,17 @@ KAYNAK BİLGİLER:
 {context}
 
 Yukarıdaki kaynaklara dayanarak soruyu cevapla. Kaynak numaralarını belirt ve tıbbi sorumluluk reddi ekle."""
-# Whitespace of Python's str.strip(): Unicode White_Space plus 0x1c-0x1f.
-_STRIP_PATTERN = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# The characters str.strip() removes.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
-    """Remove all Unicode whitespace at both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(text, _STRIP_PATTERN, "")
+    """Remove all Unicode whitespace at both ends (``trim`` alone removes blanks only)."""
+    return F.trim(text, F.lit(WHITESPACE))
 
 
 def truncate(text: Column, n: int) -> Column:

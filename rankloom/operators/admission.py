@@ -47,26 +47,29 @@ def admit(
     window_seconds: float,
     inclusive: bool = True,
     rows_per_round: int = ROWS_PER_ROUND,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """``(*key, ts, order, admitted)`` for every event.
+    """``(*key, ts, order, *carry, admitted)`` for every event.
 
+    ``events`` is read three times; pass a table or a settled frame.
     ``inclusive``: an admitted event exactly ``window_seconds`` old still counts.
     Events of equal time are taken in the order of the unique column ``order``.
     """
     width = round(window_seconds * 1_000_000)
     slot_width = max(width, 1)
-    rows = events.select(*key, ts, order, micros(ts).alias("us")).withColumn(
+    columns = [*key, ts, order, *(carry or [])]
+    rows = events.select(*columns, micros(ts).alias("us")).withColumn(
         "slot", slot(F.col("us"), slot_width)
     )
     busy = settle(_busy_slots(rows, key, limit, slot_width, rows_per_round))
     calm = (
         rows.join(busy.where(~F.col("seed")).select(*key, "slot"), [*key, "slot"], "left_anti")
-        .select(*key, ts, order)
+        .select(*columns)
         .withColumn("admitted", F.lit(True))
     )
     chained = rows.join(busy, [*key, "slot"])
     folded = _fold_rounds(chained, busy, key, order, limit, width, inclusive)
-    return calm.unionByName(folded.select(*key, ts, order, "admitted"))
+    return calm.unionByName(folded.select(*columns, "admitted"))
 
 
 def _busy_slots(

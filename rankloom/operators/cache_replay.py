@@ -78,12 +78,10 @@ def lru_replay(
             "event", F.when(F.col("present"), F.lit("hit")).otherwise(F.lit("miss"))
         )
     else:
-        stays = _number_stays(settle(replayed))
+        stays = settle(_number_stays(settle(replayed)))
         chain = ["k", "stay_us", "stay_o"]
-        events = _label_events(
-            admit(stays, chain, "t", "o", 1, ttl_seconds, **options), chain, "t", "o"
-        )
-        out = events.join(stays.select("o", "evicted"), "o")
+        decided = admit(stays, chain, "t", "o", 1, ttl_seconds, carry=["evicted"], **options)
+        out = _label_events(decided, chain, "t", "o")
     return out.select(
         F.col("k").alias(key), F.col("t").alias(ts), F.col("o").alias(order), "event", "evicted"
     )

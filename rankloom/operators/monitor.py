@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.text import in_quiet_hours
 from rankloom.operators.admission import admit
 from rankloom.operators.runs import carry_last, streaks
+from rankloom.session import settle
 
 
 def probe_ok(health_code: Column, ready_code: Column, expected: int = 200) -> Column:
@@ -51,20 +52,18 @@ def outage_events(
         .when(F.col("bad_streak") < threshold, F.lit("pending"))
         .when(quiet, F.lit("quiet")),
     )
-    columns = [host, ts, order, F.col("bad_streak").alias("streak"), "event"]
-    settled = judged.where(F.col("event").isNotNull()).select(*columns)
+    kept = [host, ts, order, "bad_streak", "event"]
+    judged = settle(judged.select(*kept, "island"))
     # The rest wants to alert: per outage, the first one and then one per cooldown.
     wanting = judged.where(F.col("event").isNull()).withColumn(
         "_second", F.date_trunc("second", F.col(ts).cast("timestamp"))
     )
-    decided = admit(
+    alerts = admit(
         wanting, [host, "island"], "_second", order, 1, cooldown_minutes * 60,
-        inclusive=False, **options,
-    ).select(host, order, F.col("admitted").alias("_sent"))
-    alerts = wanting.join(decided, [host, order]).withColumn(
-        "event", F.when(F.col("_sent"), F.lit("alert")).otherwise(F.lit("cooldown"))
-    )
-    return settled.unionByName(alerts.select(*columns))
+        inclusive=False, carry=[ts, "bad_streak"], **options,
+    ).withColumn("event", F.when(F.col("admitted"), F.lit("alert")).otherwise(F.lit("cooldown")))
+    events = judged.where(F.col("event").isNotNull()).select(*kept).unionByName(alerts.select(*kept))
+    return events.withColumnRenamed("bad_streak", "streak")
 
 
 def notices(events: DataFrame, host: str, ts: str) -> DataFrame:

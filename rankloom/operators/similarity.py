@@ -223,7 +223,7 @@ class _BestHits:
         self.options = options
         self.queries = query_matrix.astype(np.float64)
         with np.errstate(invalid="ignore", over="ignore"):
-            self.query_norms = _norms(self.queries)
+            self.query_norms = _norms(self.queries) if self.queries.size else np.zeros(len(self.queries))
         usable = np.isfinite(self.query_norms)
         if options.metric == "cosine":
             usable &= self.query_norms > 0
@@ -234,6 +234,8 @@ class _BestHits:
         self.ids = np.full((n, k), "", dtype=object)
 
     def offer(self, ids: pa.Array, matrix: np.ndarray) -> None:
+        if matrix.size == 0:
+            return
         options = self.options
         with np.errstate(invalid="ignore", over="ignore"):
             points = matrix.astype(np.float64)
@@ -258,19 +260,19 @@ class _BestHits:
         self, rows: np.ndarray, names: np.ndarray, points: np.ndarray, norms: np.ndarray
     ) -> None:
         options, k = self.options, self.options.top_k
-        rough, slack = _rough_goodness(
-            options.metric, self.queries[rows], self.query_norms[rows], points, norms
-        )
-        floor = self.goodness[rows, k - 1] - slack
+        qn = self.query_norms[rows]
+        rough, slack = _rough_goodness(options.metric, self.queries[rows], qn, points, norms)
+        floor = _on_rough_scale(options.metric, self.goodness[rows, k - 1], qn) - slack
         if len(points) > k and np.isneginf(floor).any():
             kth = np.partition(rough, len(points) - k, axis=1)[:, len(points) - k]
             floor = np.maximum(floor, kth - 2 * slack)
         if options.threshold is not None:
             limit = -options.threshold if options.metric == "euclid" else options.threshold
-            floor = np.maximum(floor, limit - slack)
-        at, col = np.nonzero(rough >= floor[:, None])
-        if len(at) == 0:
+            floor = np.maximum(floor, _on_rough_scale(options.metric, limit, qn) - slack)
+        flat = np.flatnonzero(rough >= floor.astype(rough.dtype)[:, None])
+        if len(flat) == 0:
             return
+        at, col = np.divmod(flat, len(points))
         exact = _exact_score(
             options.metric, self.queries, points, rows[at], col, self.query_norms, norms
         )
@@ -318,31 +320,49 @@ class _BestHits:
         )
 
 
+def _ordered_sums(a: np.ndarray, b: np.ndarray, metric: str = "dot") -> np.ndarray:
+    """Row sums of ``a * b`` or ``(a - b) ** 2``, added strictly from left to right."""
+    total = np.empty(len(a))
+    rows = max(1, (1 << 20) // max(1, a.shape[1]))
+    for start in range(0, len(a), rows):
+        x, y = a[start : start + rows], b[start : start + rows]
+        terms = np.square(x - y) if metric == "euclid" else x * y
+        total[start : start + rows] = np.cumsum(terms, axis=1)[:, -1] + 0.0
+    return total
+
+
 def _norms(matrix: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(matrix))
-    for j in range(matrix.shape[1]):
-        total += matrix[:, j] * matrix[:, j]
-    return np.sqrt(total)
+    return np.sqrt(_ordered_sums(matrix, matrix))
 
 
 def _rough_goodness(
     metric: str, q: np.ndarray, qn: np.ndarray, p: np.ndarray, pn: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Goodness of every pair and, per question, a bound on its error."""
+    """A value per pair that orders like the goodness, and a bound on its error.
+
+    For distances that is ``q.p - p.p / 2``, which is ``(q.q - distance^2) / 2``.
+    The bounds cover the rounding of inputs, sums and of the later comparison.
+    """
     single = max(qn.max(), pn.max()) < 1e15
     kind, unit = (np.float32, 2.0**-24) if single else (np.float64, 2.0**-53)
-    terms = q.shape[1] + 8
+    terms = q.shape[1] + 12
     if metric == "cosine":
         a, b = q / qn[:, None], p / pn[:, None]
         return a.astype(kind) @ b.astype(kind).T, np.full(len(q), 1.2 * terms * unit)
-    product = q.astype(kind) @ p.astype(kind).T
-    reach = 1.2 * terms * unit * qn * pn.max() + 1e-37
-    if metric == "dot":
-        return product, reach
-    # Squared distances order like distances; the bound is carried to the root.
-    squared = (qn**2)[:, None] + (pn**2)[None, :] - 2.0 * product
-    error = 2 * reach + 4 * unit * (qn**2 + (pn**2).max())
-    return -np.sqrt(np.maximum(squared, 0.0)), np.sqrt(error)
+    rough = q.astype(kind) @ p.astype(kind).T
+    largest = pn.max()
+    slack = 1.2 * terms * unit * qn * largest + 1e-37
+    if metric == "euclid":
+        rough -= (pn**2 / 2).astype(kind)
+        slack += 4 * unit * (qn**2 + largest**2)
+    return rough, slack
+
+
+def _on_rough_scale(metric: str, goodness, qn: np.ndarray) -> np.ndarray:
+    """Exact goodness (for distances the negated distance) as a rough value."""
+    if metric == "euclid":
+        return (qn**2 - np.square(goodness)) / 2
+    return np.broadcast_to(goodness, qn.shape)
 
 
 def _exact_score(
@@ -355,13 +375,11 @@ def _exact_score(
     pn: np.ndarray,
 ) -> np.ndarray:
     """Double-precision scores of the candidate pairs, summed in vector order."""
-    total = np.zeros(len(at))
-    for j in range(q.shape[1]):
-        if metric == "euclid":
-            gap = q[at, j] - p[col, j]
-            total += gap * gap
-        else:
-            total += q[at, j] * p[col, j]
+    total = np.empty(len(at))
+    rows = max(1, (1 << 22) // max(1, q.shape[1]))
+    for start in range(0, len(at), rows):
+        part = slice(start, start + rows)
+        total[part] = _ordered_sums(q[at[part]], p[col[part]], metric)
     if metric == "euclid":
         return np.sqrt(total)
     return total / (qn[at] * pn[col]) if metric == "cosine" else total
