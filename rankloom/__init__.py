@@ -1,7 +1,12 @@
 """Retrieval analytics on Spark: search, fusion, answers and the request log."""
 
 from rankloom.functions.vectors import get_embedding_dimension
-from rankloom.operators.answers import answer_questions
+from rankloom.operators.answers import (
+    answer_questions,
+    flush_cache,
+    generate_answer,
+    retrieve_answer,
+)
 from rankloom.operators.cache_replay import cache_stats
 from rankloom.operators.fusion import reciprocal_rank_fusion
 from rankloom.operators.models import embed, embed_batch, embed_texts, generate_answers
@@ -15,9 +20,12 @@ __all__ = [
     "embed",
     "embed_batch",
     "embed_texts",
+    "flush_cache",
+    "generate_answer",
     "generate_answers",
     "get_embedding_dimension",
     "reciprocal_rank_fusion",
+    "retrieve_answer",
     "search",
     "get_collection_info",
 ]

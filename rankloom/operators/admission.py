@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.operators.clock import micros, slot
+from rankloom.operators.clock import join_same, micros, slot
 from rankloom.session import settle, settle_by
 
 ROWS_PER_ROUND = 50_000_000
@@ -63,11 +63,11 @@ def admit(
     )
     busy = settle(_busy_slots(rows, key, limit, slot_width, rows_per_round))
     calm = (
-        rows.join(busy.where(~F.col("seed")).select(*key, "slot"), [*key, "slot"], "left_anti")
+        join_same(rows, busy.where(~F.col("seed")).select(*key, "slot"), [*key, "slot"], "left_anti")
         .select(*columns)
         .withColumn("admitted", F.lit(True))
     )
-    chained = rows.join(busy, [*key, "slot"])
+    chained = join_same(rows, busy, [*key, "slot"])
     folded = _fold_rounds(chained, busy, key, order, limit, width, inclusive)
     return calm.unionByName(folded.select(*columns, "admitted"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as tx
@@ -262,6 +262,50 @@ def _record(params: Params) -> list[Column]:
     ]
 
 
+def retrieve_answer(
+    spark: SparkSession,
+    q: str,
+    points: DataFrame,
+    payload: DataFrame,
+    embedder: Embedder,
+    generator: Generator,
+    **options,
+) -> dict:
+    """Answer one question; for many, pass them to ``answer_questions`` together."""
+    questions = spark.createDataFrame([(0, q)], "query_id long, q string")
+    job = answer_questions(questions, points, payload, embedder, generator, **options)
+    return job.answers.first()["answer"].asDict(recursive=True)
+
+
+def generate_answer(
+    spark: SparkSession,
+    question: str,
+    context: list[dict],
+    generator: Generator,
+    params: Params = Params(),
+) -> dict:
+    """Answer one question from given chunks (dicts with ``text``)."""
+    chunks = [(str(c.get("text") or ""),) for c in context]
+    row = spark.createDataFrame(
+        [(question, chunks)], "question string, context array<struct<text:string>>"
+    )
+    asked = F.size("context") > 0
+    prompts = row.select(
+        F.when(asked, ctx.system_prompt()).alias("system_prompt"),
+        F.when(asked, ctx.user_prompt(F.col("question"), F.col("context"), params)).alias("user_prompt"),
+    )
+    out = generate_answers(prompts, generator).first()
+    return {c: out[c] for c in ("answer", "tokens_used", "model", "error", "error_type")}
+
+
+def flush_cache(spark: SparkSession, path: str) -> int:
+    """Empty a cache table; the number of entries it held."""
+    held = spark.read.parquet(path)
+    count, schema = held.count(), held.schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    return count
+
+
 def append_cache(entries: DataFrame, path: str) -> None:
     """Store answers for later runs. Each run appends; lookups take the newest."""
     entries.write.mode("append").parquet(path)

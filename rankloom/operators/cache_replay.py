@@ -164,18 +164,21 @@ def _number_stays(replayed: DataFrame) -> DataFrame:
     Inside a chunk the last miss of the key names the stay; otherwise the last
     miss in an earlier chunk does, looked up among one row per key and chunk.
     """
-    inside = Window.partitionBy("k", "chunk").orderBy("us", "o")
-    began = F.last(F.when(~F.col("present"), F.struct("us", "o")), ignorenulls=True)
-    rows = replayed.withColumn("stay", began.over(inside))
-    per_chunk = replayed.groupBy("k", "chunk").agg(
-        F.max(F.when(~F.col("present"), F.struct("us", "o"))).alias("latest")
+    placed = replayed.withColumn("_at", F.struct("k", "chunk"))
+    inside = Window.partitionBy("_at").orderBy("us", "o").rowsBetween(Window.unboundedPreceding, 0)
+    miss = F.when(~F.col("present"), F.struct("us", "o"))
+    rows = placed.withColumn("stay", F.last(miss, ignorenulls=True).over(inside))
+    per_chunk = placed.groupBy("_at").agg(F.max(miss).alias("latest"))
+    earlier = (
+        Window.partitionBy(F.col("_at.k"))
+        .orderBy("_at.chunk")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    earlier = Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_chunk.select(
-        "k", "chunk", F.last("latest", ignorenulls=True).over(earlier).alias("carried")
+        "_at", F.last("latest", ignorenulls=True).over(earlier).alias("carried")
     )
     stay = F.coalesce("stay", "carried")
-    return rows.join(carried, ["k", "chunk"]).select(
+    return rows.join(carried, "_at").select(
         "k", "t", "o", "evicted", stay["us"].alias("stay_us"), stay["o"].alias("stay_o")
     )
 

@@ -1,8 +1,8 @@
-"""Time helpers shared by the event operators."""
+"""Time and key helpers shared by the event operators."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,3 +19,17 @@ def from_micros(us: Column) -> Column:
 def slot(us: Column, width_us: int) -> Column:
     """Start of the epoch-aligned slot a point in time falls into."""
     return us - F.pmod(us, F.lit(width_us))
+
+
+def join_same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal key columns where null equals null, so no key loses its rows.
+
+    The keys are compared as one struct: it is never null itself, and unlike
+    ``<=>`` its partitioning can be shared with windows over the same struct.
+    """
+    rest = [c for c in right.columns if c not in on]
+    return (
+        left.withColumn("_at", F.struct(*on))
+        .join(right.select(F.struct(*on).alias("_at"), *rest), "_at", how)
+        .drop("_at")
+    )

@@ -2,7 +2,9 @@
 
 A key's rows are cut into time slices. Windows run inside ``(key, slice)``; what a
 slice needs from the past comes from one summary row per slice, so a key holding a
-large part of the log spreads over as many tasks as it has slices.
+large part of the log spreads over as many tasks as it has slices. ``(key, slice)``
+is one struct column ``_at``: never null, even for a null key, and shared by the
+windows, the summary and the join between them, which need one exchange together.
 """
 
 from __future__ import annotations
@@ -15,6 +17,10 @@ from rankloom.operators.clock import micros, slot
 SLICE_SECONDS = 86_400
 
 
+def _keys_of(key: list[str]) -> list[Column]:
+    return [F.col("_at")[k] for k in key]
+
+
 def streaks(
     rows: DataFrame,
     key: list[str],
@@ -30,27 +36,31 @@ def streaks(
     rows directly before this one; ``good_streak``, the mirror of ``bad_streak``.
     """
     width = round(slice_seconds * 1_000_000)
-    sliced = rows.withColumn("_good", good).withColumn("_slice", slot(micros(ts), width))
-    inside = Window.partitionBy(*key, "_slice").orderBy(micros(ts), order)
+    sliced = (
+        rows.withColumn("_good", good)
+        .withColumn("_us", micros(ts))
+        .withColumn("_at", F.struct(*key, slot(F.col("_us"), width).alias("_slice")))
+    )
+    inside = Window.partitionBy("_at").orderBy("_us", order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     is_good, is_bad = F.col("_good"), ~F.col("_good")
     numbered = (
         sliced.withColumn("_rn", F.row_number().over(inside))
-        .withColumn("_good_rn", F.max(F.when(is_good, F.col("_rn"))).over(inside))
-        .withColumn("_bad_rn", F.max(F.when(is_bad, F.col("_rn"))).over(inside))
+        .withColumn("_good_rn", F.max(F.when(is_good, F.col("_rn"))).over(upto))
+        .withColumn("_bad_rn", F.max(F.when(is_bad, F.col("_rn"))).over(upto))
         .withColumn("_good_before", F.max(F.when(is_good, F.col("_rn"))).over(before))
     )
-    summary = numbered.groupBy(*key, "_slice").agg(
+    summary = numbered.groupBy("_at").agg(
         F.count("*").alias("_n"),
         F.max(F.when(is_good, F.col("_rn"))).alias("_g"),
         F.max(F.when(is_bad, F.col("_rn"))).alias("_b"),
     )
-    along = Window.partitionBy(*key).orderBy("_slice")
+    along = Window.partitionBy(*_keys_of(key)).orderBy("_at._slice")
     past = along.rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("_n").over(past), F.lit(0))
     carried = summary.withColumn("_offset", offset).select(
-        *key,
-        "_slice",
+        "_at",
         "_offset",
         F.coalesce(F.max(F.col("_offset") + F.col("_g")).over(past), F.lit(0)).alias("_good_pos"),
         F.coalesce(F.max(F.col("_offset") + F.col("_b")).over(past), F.lit(0)).alias("_bad_pos"),
@@ -59,7 +69,7 @@ def streaks(
     last_good = F.coalesce(F.col("_offset") + F.col("_good_rn"), F.col("_good_pos"))
     last_bad = F.coalesce(F.col("_offset") + F.col("_bad_rn"), F.col("_bad_pos"))
     good_before = F.coalesce(F.col("_offset") + F.col("_good_before"), F.col("_good_pos"))
-    return numbered.join(carried, [*key, "_slice"]).select(
+    return numbered.join(carried, "_at").select(
         *rows.columns,
         position.alias("position"),
         last_good.alias("island"),
@@ -84,21 +94,29 @@ def carry_last(
     ``exclusive`` leaves the row's own value out.
     """
     width = round(slice_seconds * 1_000_000)
-    sliced = rows.withColumn("_value", value).withColumn("_slice", slot(micros(ts), width))
+    sliced = (
+        rows.withColumn("_value", value)
+        .withColumn("_us", micros(ts))
+        .withColumn("_at", F.struct(*key, slot(F.col("_us"), width).alias("_slice")))
+    )
     inside = (
-        Window.partitionBy(*key, "_slice")
-        .orderBy(micros(ts), order)
+        Window.partitionBy("_at")
+        .orderBy("_us", order)
         .rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     )
     seen = sliced.withColumn("_seen", F.last("_value", ignorenulls=True).over(inside))
-    at = F.struct(micros(ts).alias("us"), F.col(order).alias("o"))
-    summary = sliced.groupBy(*key, "_slice").agg(
+    at = F.struct(F.col("_us").alias("us"), F.col(order).alias("o"))
+    summary = sliced.groupBy("_at").agg(
         F.max_by("_value", F.when(F.col("_value").isNotNull(), at)).alias("_latest")
     )
-    past = Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    past = (
+        Window.partitionBy(*_keys_of(key))
+        .orderBy("_at._slice")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     carried = summary.select(
-        *key, "_slice", F.last("_latest", ignorenulls=True).over(past).alias("_carried")
+        "_at", F.last("_latest", ignorenulls=True).over(past).alias("_carried")
     )
-    return seen.join(carried, [*key, "_slice"]).select(
+    return seen.join(carried, "_at").select(
         *rows.columns, F.coalesce("_seen", "_carried").alias(name)
     )

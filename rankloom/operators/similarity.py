@@ -45,6 +45,7 @@ def search(
     score_threshold: float | None = None,
     collections: Iterable[str] = COLLECTIONS,
     broadcast_bytes: int = BROADCAST_BYTES,
+    first_look: DataFrame | None = None,
 ) -> DataFrame:
     """Exact top-k hits ``(query_id, collection, point_id, score, rank)``.
 
@@ -52,6 +53,11 @@ def search(
     ``collection``, ``embedding``. Ties go to the smaller ``point_id`` as text.
     ``score_threshold`` is a lower bound, for ``euclid`` an upper one. Null
     vectors, and under ``cosine`` zero vectors, match nothing.
+
+    ``first_look`` may be any small part of ``points``, say one file. It is
+    searched first; its k-th best scores are a lower bound on the final ones, so
+    the tasks of the full scan send on only what can still win. The result is the
+    same with and without it.
     """
     check_bound("top_k", top_k)
     metric = metric_name(metric)
@@ -71,7 +77,13 @@ def search(
     if head is None:
         partial_hits = _joined_blocks(vectors, corpus, id_type, options, broadcast_bytes)
     else:
-        shared = vectors.sparkSession.sparkContext.broadcast(head)
+        bars = {}
+        if first_look is not None:
+            early = search(
+                questions, first_look, top_k, metric, score_threshold, wanted, broadcast_bytes
+            )
+            bars = _bars(early.where(F.col("rank") == top_k), head[0])
+        shared = vectors.sparkSession.sparkContext.broadcast((*head, bars))
         partial_hits = corpus.mapInArrow(
             partial(_score_partition, shared, options), _hit_schema(id_type)
         )
@@ -121,6 +133,20 @@ def _question_block(vectors: DataFrame, budget: int) -> tuple[pa.Array, np.ndarr
     return table.column("query_id").combine_chunks(), _matrix(table.column("embedding"))
 
 
+def _bars(last_places: DataFrame, query_ids: pa.Array) -> dict[str, np.ndarray]:
+    """Per collection, a score every final hit of a question reaches, or NaN.
+
+    At most one row per question of the shipped block and collection.
+    """
+    table = last_places.select("query_id", "collection", "score").toArrow()
+    bars = {}
+    for name in pc.unique(table["collection"]).to_pylist():
+        part = table.filter(pc.equal(table["collection"], name))
+        at = pc.index_in(query_ids, part["query_id"].combine_chunks())
+        bars[name] = pc.take(part["score"], at).to_numpy(zero_copy_only=False)
+    return bars
+
+
 def _joined_blocks(
     vectors: DataFrame, corpus: DataFrame, id_type: T.DataType, options: _Options, budget: int
 ) -> DataFrame:
@@ -219,8 +245,15 @@ def _blocks(batch: pa.RecordBatch, top_k: int) -> Iterator[tuple[str, pa.Array,
 class _BestHits:
     """The k best points so far of every question row, for one collection."""
 
-    def __init__(self, query_matrix: np.ndarray, options: _Options) -> None:
+    def __init__(
+        self, query_matrix: np.ndarray, options: _Options, bar: np.ndarray | None = None
+    ) -> None:
         self.options = options
+        # Goodness below the bar cannot be among the k best of the whole corpus.
+        self.bar = np.full(len(query_matrix), -np.inf)
+        if bar is not None:
+            signed = -bar if options.metric == "euclid" else bar
+            self.bar = np.where(np.isnan(signed), -np.inf, signed)
         self.queries = query_matrix.astype(np.float64)
         with np.errstate(invalid="ignore", over="ignore"):
             self.query_norms = _norms(self.queries) if self.queries.size else np.zeros(len(self.queries))
@@ -262,7 +295,8 @@ class _BestHits:
         options, k = self.options, self.options.top_k
         qn = self.query_norms[rows]
         rough, slack = _rough_goodness(options.metric, self.queries[rows], qn, points, norms)
-        floor = _on_rough_scale(options.metric, self.goodness[rows, k - 1], qn) - slack
+        least = np.maximum(self.goodness[rows, k - 1], self.bar[rows])
+        floor = _on_rough_scale(options.metric, least, qn) - slack
         if len(points) > k and np.isneginf(floor).any():
             kth = np.partition(rough, len(points) - k, axis=1)[:, len(points) - k]
             floor = np.maximum(floor, kth - 2 * slack)
@@ -280,7 +314,8 @@ class _BestHits:
             passed = exact <= options.threshold if options.metric == "euclid" else exact >= options.threshold
             at, col, exact = at[passed], col[passed], exact[passed]
         goodness = -exact if options.metric == "euclid" else exact
-        self._merge(rows, at, goodness, names[col])
+        able = goodness >= self.bar[rows[at]]
+        self._merge(rows, at[able], goodness[able], names[col[able]])
 
     def _merge(
         self, rows: np.ndarray, at: np.ndarray, goodness: np.ndarray, names: np.ndarray
@@ -397,14 +432,14 @@ def _arrow_schema(query_ids: pa.Array) -> pa.Schema:
 
 
 def _score_partition(shared, options: _Options, batches: Iterable[pa.RecordBatch]):
-    query_ids, query_matrix = shared.value
+    query_ids, query_matrix, bars = shared.value
     best: dict[str, _BestHits] = {}
     for batch in batches:
         if len(query_ids) == 0:
             continue
         for name, ids, matrix in _blocks(batch, options.top_k):
             if name not in best:
-                best[name] = _BestHits(query_matrix, options)
+                best[name] = _BestHits(query_matrix, options, bars.get(name))
             best[name].offer(ids, matrix)
     for name, hits in best.items():
         yield hits.rows(query_ids, name, _arrow_schema(query_ids))

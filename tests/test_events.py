@@ -76,8 +76,10 @@ def test_limiter_edges(spark):
 
 def test_limiter_null_client(spark):
     rows = spark.createDataFrame([(None, at(0), 1), (None, at(1), 2), ("a", at(1), 3)], EVENTS)
-    out = rate_limit(rows.na.fill("unknown", ["k"]), "k", "ts", "id", 1, 60)
+    out = rate_limit(rows, "k", "ts", "id", 1, 60)
     assert {r.id: r.accepted for r in out.collect()} == {1: True, 2: False, 3: True}
+    runs = streaks(rows, ["k"], "ts", "id", F.lit(False)).collect()
+    assert {r.id: r.bad_streak for r in runs} == {1: 1, 2: 2, 3: 1}
 
 
 def test_offered_load(spark):

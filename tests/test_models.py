@@ -172,6 +172,22 @@ def test_cache_round_trip(spark, tmp_path):
     assert {r.cache_event for r in off.answers.collect()} == {"miss", "blank"}
 
 
+def test_single_question_calls(spark, tmp_path):
+    corpus = spark.createDataFrame(
+        [("p", "internal", [3.0, 1.0])], "point_id string, collection string, embedding array<double>"
+    )
+    payload = spark.createDataFrame([("p", "metin")], "point_id string, text string")
+    out = ans.retrieve_answer(spark, " bir soru ", corpus, payload, Length(), Scripted())
+    assert out["question"] == "bir soru" and out["sources"][0]["text"] == "metin"
+    out = ans.generate_answer(spark, "q", [{"text": "a"}, {}], Scripted())
+    assert out["answer"].startswith("cevap") and out["tokens_used"] == 12
+    out = ans.generate_answer(spark, "q", [], Scripted(RuntimeError("no call")))
+    assert out["answer"].startswith(tx.NO_CONTEXT_REPLY) and out["tokens_used"] == 0
+    path = str(tmp_path / "flush")
+    ans.append_cache(run(spark, Length()).cache_entries, path)
+    assert ans.flush_cache(spark, path) == 2 and spark.read.parquet(path).count() == 0
+
+
 def test_no_hits_is_not_cached(spark):
     job = run(spark, Length(), points=False)
     a = {r.query_id: r.answer for r in job.answers.collect()}[1]

@@ -107,6 +107,17 @@ def test_search_arguments(spark):
     assert sim.search(q, p.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("metric", ["dot", "cosine", "euclid"])
+def test_first_look_changes_nothing(spark, metric):
+    questions, points = random_corpus(5)
+    q = spark.createDataFrame(questions, "query_id long, embedding array<float>")
+    p = spark.createDataFrame(points, POINTS).repartition(5)
+    plain = sim.search(q, p, 6, metric).collect()
+    part = p.where(F.col("point_id").try_cast("int") < 60)
+    primed = sim.search(q, p, 6, metric, first_look=part).collect()
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, primed))
+
+
 def test_search_plan_has_one_exchange(spark):
     q = spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<float>")
     p = spark.createDataFrame([("1", "internal", [1.0])], POINTS)
