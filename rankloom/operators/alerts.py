@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from rankloom.functions.text import in_quiet_hours
 from rankloom.operators.admission import group_starts
 from rankloom.operators.clock import from_micros, micros
+from rankloom.operators.runs import running_max
 
 
 @dataclass(frozen=True)
@@ -131,22 +132,18 @@ def inhibit(intervals: DataFrame, source: str = "critical", target: str = "warni
     """Drop ``target`` intervals that overlap a ``source`` interval of the same alertname.
 
     A source interval overlaps iff, of those starting by the target's end, one
-    ends at or after the target's start. One sorted pass with a running maximum
-    finds that, without pairing the intervals.
+    ends at or after the target's start. A running maximum finds that without
+    pairing the intervals, and without gathering an alertname in one task.
     """
     is_source = F.col("severity") == source
-    point = F.when(is_source, F.col("fired_at")).otherwise(F.col("last_at"))
-    sweep = (
-        Window.partitionBy("alertname")
-        .orderBy(point, F.when(is_source, 0).otherwise(1))
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    covered = F.max(F.when(is_source, F.col("last_at"))).over(sweep) >= F.col("fired_at")
-    return (
-        intervals.withColumn("_covered", F.coalesce(covered, F.lit(False)))
-        .where(~((F.col("severity") == target) & F.col("_covered")))
-        .drop("_covered")
+    swept = intervals.withColumn(
+        "_point", F.when(is_source, F.col("fired_at")).otherwise(F.col("last_at"))
+    ).withColumn("_turn", F.when(is_source, 0).otherwise(1))
+    reach = running_max(
+        swept, ["alertname"], "_point", "_turn", F.when(is_source, F.col("last_at")), "_reach"
     )
+    covered = F.coalesce(F.col("_reach") >= F.col("fired_at"), F.lit(False))
+    return reach.where(~((F.col("severity") == target) & covered)).drop("_point", "_turn", "_reach")
 
 
 def muted(ts: Column, start: str = "00:00", end: str = "08:00") -> Column:

@@ -137,7 +137,7 @@ def answer_questions(
         looked_up = asked.withColumn("cache_event", F.lit("miss")).withColumn(
             "answer", F.lit(None).cast(ANSWER_TYPE)
         )
-    todo = (
+    todo = settle(
         looked_up.where("cache_event <> 'hit'")
         .groupBy("cache_key")
         .agg(F.any_value("question").alias("question"))
@@ -186,10 +186,10 @@ def _compute(
     )
     embedded = todo.withColumn(
         "_text_key", F.sha2(F.substring("question", 1, params.embed_max_chars), 256)
-    ).join(vectors.drop("_text"), "_text_key").drop("_text_key")
+    ).join(vectors, "_text_key").drop("_text_key")
     query_vectors = embedded.select(F.col("cache_key").alias("query_id"), "embedding")
     hits = search(query_vectors, points, top_k, metric, collections=collections)
-    # Both the counts and the context read the ranked lists: k rows per question.
+    # Counts and context both read the ranked lists, k rows per question and collection.
     hits = settle(hits)
     fused = reciprocal_rank_fusion(hits, params.rrf_k)
     with_text = ctx.attach_payload(fused, payload, top_k, most_hits=hits.count())

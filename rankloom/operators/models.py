@@ -11,7 +11,9 @@ from collections.abc import Callable, Iterable
 from functools import partial
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,7 +124,7 @@ def embed_texts(
     """
     vectors = embed_distinct(rows, text, embedder, batch_size, max_chars, parallel_calls)
     keyed = rows.withColumn("_text_key", F.sha2(_prepared(text, max_chars), 256))
-    return keyed.join(vectors.drop("_text"), "_text_key", "left").drop("_text_key")
+    return keyed.join(vectors, "_text_key", "left").drop("_text_key")
 
 
 def _prepared(text: str, max_chars: int | None):
@@ -149,50 +151,59 @@ def embed_distinct(
     )
     if parallel_calls:
         distinct = distinct.repartition(parallel_calls, "_text_key")
-    return distinct.mapInPandas(
+    return distinct.mapInArrow(
         partial(_embed_partition, embedder, batch_size),
-        "_text_key string, _text string, embedding array<double>, embed_error_type string, "
-        "embed_error string, embed_seconds double",
+        "_text_key string, embedding array<double>, embed_error_type string, embed_error string, "
+        "embed_seconds double",
     )
 
 
-def _batches(frames: Iterable[pd.DataFrame], size: int) -> Iterable[pd.DataFrame]:
-    """Frames of exactly ``size`` rows (the last one shorter), across Arrow batches."""
-    held: list[pd.DataFrame] = []
+def _batches(batches: Iterable[pa.RecordBatch], size: int) -> Iterable[pa.Table]:
+    """Tables of exactly ``size`` rows (the last one shorter), across Arrow batches."""
+    held: list[pa.RecordBatch] = []
     count = 0
-    for frame in frames:
-        held.append(frame)
-        count += len(frame)
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
         if count >= size:
-            whole = pd.concat(held, ignore_index=True)
+            whole = pa.Table.from_batches(held)
             full = count - count % size
             for start in range(0, full, size):
-                yield whole.iloc[start : start + size]
-            held, count = [whole.iloc[full:]], count - full
+                yield whole.slice(start, size)
+            held, count = whole.slice(full).to_batches(), count - full
     if count:
-        yield pd.concat(held, ignore_index=True)
+        yield pa.Table.from_batches(held)
 
 
-def _embed_partition(embedder: Embedder, batch_size: int, frames: Iterable[pd.DataFrame]):
-    for frame in _batches(frames, batch_size):
+def _embed_partition(embedder: Embedder, batch_size: int, batches: Iterable[pa.RecordBatch]):
+    for table in _batches(batches, batch_size):
+        rows = table.num_rows
         began = time.perf_counter()
-        vectors, kind, problem = [], None, None
+        vectors, kind, problem = [], "embedding", "no vector returned"
         try:
-            vectors = with_retries(embedder.embed, frame["_text"].tolist())[: len(frame)]
+            vectors = with_retries(embedder.embed, table["_text"].to_pylist())[:rows]
         except ModelError as e:
-            kind, problem = "embedding", f"Failed to generate batch embeddings: {e}"
+            problem = f"Failed to generate batch embeddings: {e}"
         except ConnectionError as e:
             kind, problem = "database", str(e)
         except Exception as e:  # the row carries what went wrong
             kind, problem = "unexpected", str(e)
-        missing = len(frame) - len(vectors)
-        kinds = [None] * len(vectors) + [kind or "embedding"] * missing
-        problems = [None] * len(vectors) + [problem or "no vector returned"] * missing
-        yield frame.assign(
-            embedding=[*vectors, *[None] * missing],
-            embed_error_type=kinds,
-            embed_error=problems,
-            embed_seconds=(time.perf_counter() - began) / len(frame),
+        seconds = (time.perf_counter() - began) / rows
+        done = len(vectors)
+        # Rows beyond the returned vectors stay null and say why.
+        widths = [len(v) for v in vectors] + [0] * (rows - done)
+        values = np.concatenate([np.asarray(v, np.float64) for v in vectors]) if done else []
+        missing = pa.array([False] * done + [True] * (rows - done))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(widths)]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [
+                table["_text_key"].combine_chunks(),
+                pa.ListArray.from_arrays(offsets, pa.array(values, pa.float64()), mask=missing),
+                pa.array([None] * done + [kind] * (rows - done), pa.string()),
+                pa.array([None] * done + [problem] * (rows - done), pa.string()),
+                pa.array([seconds] * rows, pa.float64()),
+            ],
+            names=["_text_key", "embedding", "embed_error_type", "embed_error", "embed_seconds"],
         )
 
 

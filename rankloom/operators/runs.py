@@ -9,6 +9,8 @@ windows, the summary and the join between them, which need one exchange together
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,6 +95,43 @@ def carry_last(
 
     ``exclusive`` leaves the row's own value out.
     """
+    at = F.struct(F.col("_us").alias("us"), F.col(order).alias("o"))
+    return _carry(
+        rows, key, ts, order, value, name, -1 if exclusive else 0, slice_seconds,
+        lambda c: F.last(c, ignorenulls=True),
+        F.max_by("_value", F.when(F.col("_value").isNotNull(), at)),
+        F.coalesce,
+    )
+
+
+def running_max(
+    rows: DataFrame,
+    key: list[str],
+    ts: str,
+    order: str,
+    value: Column,
+    name: str,
+    slice_seconds: float = SLICE_SECONDS,
+) -> DataFrame:
+    """Add ``name``: the greatest non-null ``value`` up to each row of its key."""
+    return _carry(
+        rows, key, ts, order, value, name, 0, slice_seconds, F.max, F.max("_value"), F.greatest
+    )
+
+
+def _carry(
+    rows: DataFrame,
+    key: list[str],
+    ts: str,
+    order: str,
+    value: Column,
+    name: str,
+    upto: int,
+    slice_seconds: float,
+    running: Callable[[str], Column],
+    summed: Column,
+    joined: Callable[[str, str], Column],
+) -> DataFrame:
     width = round(slice_seconds * 1_000_000)
     sliced = (
         rows.withColumn("_value", value)
@@ -102,21 +141,17 @@ def carry_last(
     inside = (
         Window.partitionBy("_at")
         .orderBy("_us", order)
-        .rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-    )
-    seen = sliced.withColumn("_seen", F.last("_value", ignorenulls=True).over(inside))
-    at = F.struct(F.col("_us").alias("us"), F.col(order).alias("o"))
-    summary = sliced.groupBy("_at").agg(
-        F.max_by("_value", F.when(F.col("_value").isNotNull(), at)).alias("_latest")
+        .rowsBetween(Window.unboundedPreceding, upto)
     )
     past = (
         Window.partitionBy(*_keys_of(key))
         .orderBy("_at._slice")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    carried = summary.select(
-        "_at", F.last("_latest", ignorenulls=True).over(past).alias("_carried")
-    )
-    return seen.join(carried, "_at").select(
-        *rows.columns, F.coalesce("_seen", "_carried").alias(name)
+    seen = sliced.withColumn("_seen", running("_value").over(inside))
+    carried = (
+        sliced.groupBy("_at")
+        .agg(summed.alias("_slice_value"))
+        .select("_at", running("_slice_value").over(past).alias("_carried"))
     )
+    return seen.join(carried, "_at").select(*rows.columns, joined("_seen", "_carried").alias(name))

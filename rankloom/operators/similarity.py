@@ -66,8 +66,9 @@ def search(
     if unknown:
         raise ValueError(f"Invalid collection: {unknown[0]}. Must be one of {COLLECTIONS}")
 
-    vectors = questions.select("query_id", "embedding").where(F.col("embedding").isNotNull())
-    corpus = points.where(F.col("collection").isin(wanted) & F.col("embedding").isNotNull()).select(
+    vectors = questions.select("query_id", "embedding").dropna()
+    known = F.col("point_id").isNotNull() & F.col("embedding").isNotNull()
+    corpus = points.where(F.col("collection").isin(wanted) & known).select(
         F.col("point_id").cast("string").alias("point_id"), "collection", "embedding"
     )
     id_type = questions.schema["query_id"].dataType
@@ -111,12 +112,14 @@ class _Options:
 
 
 def _hit_schema(id_type: T.DataType) -> T.StructType:
+    # Not nullable: joins then add no null filters, and plans that read the hits
+    # twice share one exchange.
     return T.StructType(
         [
-            T.StructField("query_id", id_type),
-            T.StructField("collection", T.StringType()),
-            T.StructField("point_id", T.StringType()),
-            T.StructField("score", T.DoubleType()),
+            T.StructField("query_id", id_type, False),
+            T.StructField("collection", T.StringType(), False),
+            T.StructField("point_id", T.StringType(), False),
+            T.StructField("score", T.DoubleType(), False),
         ]
     )
 

@@ -64,9 +64,14 @@ def retrieval_outcome(spark: SparkSession, d: str) -> DataFrame:
     return fu.retrieval_outcome(every.fillna(0))
 
 
+def _with_payload(spark: SparkSession, d: str, fused: DataFrame) -> DataFrame:
+    most_hits = tb.vector_questions(spark, d).count() * TOP_K
+    return ctx.attach_payload(fused, tb.payload(spark, d), TOP_K, most_hits)
+
+
 def _context(spark: SparkSession, d: str) -> DataFrame:
     fused = fu.reciprocal_rank_fusion(_hits(spark, d))
-    return ctx.collect_context(ctx.attach_payload(fused, tb.payload(spark, d), TOP_K))
+    return ctx.collect_context(_with_payload(spark, d, fused))
 
 
 def fused_context(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +101,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     """Answer records whose answer is the text of the best hit."""
     hits = _hits(spark, d)
     fused = fu.reciprocal_rank_fusion(hits)
-    contexts = ctx.collect_context(ctx.attach_payload(fused, tb.payload(spark, d), TOP_K))
+    contexts = ctx.collect_context(_with_payload(spark, d, fused))
     none = F.lit(None).cast("string")
     answer = F.struct(
         _asked().alias("question"),
