@@ -44,33 +44,42 @@ def validate_questions(questions: DataFrame) -> DataFrame:
 
 
 def fresh_entries(cache: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
-    """Newest entry per key with ``fresh``: an entry exactly TTL old still serves."""
-    newest = cache.groupBy("cache_key").agg(
-        F.max("set_ts").alias("set_ts"), F.max_by("answer", "set_ts").alias("answer")
+    """``(cache_key, answer)``: the newest entry of each key that is at most TTL old.
+
+    The age is a bound on ``set_ts``, which reaches the scan of the cache table.
+    """
+    oldest = now.cast("timestamp") - F.make_dt_interval(secs=F.lit(ttl_seconds))
+    return (
+        cache.where(F.col("set_ts").cast("timestamp") >= oldest)
+        .groupBy("cache_key")
+        .agg(F.max_by("answer", "set_ts").alias("answer"))
     )
-    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("set_ts").cast("timestamp"))
-    return newest.withColumn("fresh", age <= ttl_seconds * 1_000_000)
 
 
 def cache_lookup(keyed: DataFrame, cache: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
-    """Add ``cache_event`` (hit, expired, miss) and the cached ``answer`` of hits."""
-    entries = fresh_entries(cache, now, ttl_seconds).select("cache_key", "fresh", "answer")
+    """Add ``cache_event`` (hit, expired, miss) and the cached ``answer`` of hits.
+
+    Old entries are needed to tell expired from miss only, so their answers are
+    not read.
+    """
+    fresh = fresh_entries(cache, now, ttl_seconds).withColumn("_fresh", F.lit(True))
+    known = cache.select("cache_key").distinct().withColumn("_known", F.lit(True))
     event = (
-        F.when(F.col("fresh"), F.lit("hit"))
-        .when(F.col("fresh").isNotNull(), F.lit("expired"))
+        F.when(F.col("_fresh"), F.lit("hit"))
+        .when(F.col("_known"), F.lit("expired"))
         .otherwise(F.lit("miss"))
     )
     return (
-        keyed.join(entries, "cache_key", "left")
+        keyed.join(fresh, "cache_key", "left")
+        .join(known, "cache_key", "left")
         .withColumn("cache_event", event)
-        .withColumn("answer", F.when(F.col("fresh"), F.col("answer")))
-        .drop("fresh")
+        .drop("_fresh", "_known")
     )
 
 
 def cache_misses(keyed: DataFrame, cache: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
     """Questions without a fresh cache entry."""
-    fresh = fresh_entries(cache, now, ttl_seconds).where("fresh")
+    fresh = fresh_entries(cache, now, ttl_seconds)
     return keyed.join(fresh.select("cache_key"), "cache_key", "left_anti")
 
 
@@ -210,7 +219,7 @@ def _compute(
         ),
     ).where(has_hits)
     generated = settle(
-        generate_answers(prompts, generator, parallel_calls=parallel_calls).drop(
+        generate_answers(prompts, generator, params, parallel_calls=parallel_calls).drop(
             "system_prompt", "user_prompt"
         )
     )
@@ -294,7 +303,7 @@ def generate_answer(
         F.when(asked, ctx.system_prompt()).alias("system_prompt"),
         F.when(asked, ctx.user_prompt(F.col("question"), F.col("context"), params)).alias("user_prompt"),
     )
-    out = generate_answers(prompts, generator).first()
+    out = generate_answers(prompts, generator, params).first()
     return {c: out[c] for c in ("answer", "tokens_used", "model", "error", "error_type")}
 
 

@@ -42,7 +42,9 @@ class Embedder(Protocol):
 class Generator(Protocol):
     model: str
 
-    def generate(self, system: str, user: str) -> tuple[str, int]:
+    def generate(
+        self, system: str, user: str, temperature: float, max_tokens: int
+    ) -> tuple[str, int]:
         """Answer text and tokens used."""
         ...
 
@@ -210,6 +212,7 @@ def _embed_partition(embedder: Embedder, batch_size: int, batches: Iterable[pa.R
 def generate_answers(
     rows: DataFrame,
     generator: Generator,
+    params: Params = Params(),
     system: str = "system_prompt",
     user: str = "user_prompt",
     disclaimer: str = tx.DISCLAIMER,
@@ -238,7 +241,7 @@ def generate_answers(
     if parallel_calls:
         asked = asked.repartition(parallel_calls)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    raw = asked.mapInPandas(partial(_generate_partition, generator, system, user), f"{fields}, {schema}")
+    raw = asked.mapInPandas(partial(_generate_partition, generator, params, system, user), f"{fields}, {schema}")
     finished = raw.withColumn(
         "answer",
         F.when(F.col("error_type") == "model", tx.reply(tx.MODEL_FAILURE_REPLY, disclaimer)).when(
@@ -248,14 +251,17 @@ def generate_answers(
     return finished.unionByName(plain)
 
 
-def _generate_partition(generator: Generator, system: str, user: str, frames: Iterable[pd.DataFrame]):
+def _generate_partition(
+    generator: Generator, params: Params, system: str, user: str, frames: Iterable[pd.DataFrame]
+):
+    settings = (params.temperature, params.max_tokens)
     for frame in frames:
         answers, tokens, errors, kinds, seconds = [], [], [], [], []
         for s, u in zip(frame[system], frame[user]):
             began = time.perf_counter()
             answer, used, error, kind = None, 0, None, None
             try:
-                answer, used = with_retries(generator.generate, s, u)
+                answer, used = with_retries(generator.generate, s, u, *settings)
             except ModelError as e:
                 error, kind = f"OpenAI error: {e}", "model"
             except ConnectionError as e:
@@ -299,7 +305,9 @@ class FirstSourceGenerator:
 
     model = "first-source"
 
-    def generate(self, system: str, user: str) -> tuple[str, int]:
+    def generate(
+        self, system: str, user: str, temperature: float, max_tokens: int
+    ) -> tuple[str, int]:
         begin = user.find("[Kaynak 1]: ")
         line = user[begin:].split("\n", 1)[0] if begin >= 0 else ""
         return line, len(user) // 4

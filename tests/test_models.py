@@ -39,7 +39,8 @@ class Scripted:
     def __init__(self, error=None):
         self.error = error
 
-    def generate(self, system, user):
+    def generate(self, system, user, temperature, max_tokens):
+        assert (temperature, max_tokens) == (0.3, 800)
         if self.error:
             raise self.error
         return "cevap", 12

@@ -11,7 +11,7 @@ from rankloom.operators import metrics as mx
 from rankloom.operators.cache_replay import ttl_replay
 from rankloom.operators.limiter import rate_limit
 from rankloom.operators.monitor import outage_events
-from rankloom.streaming import folds, windows
+from rankloom.streaming import folds, tables, windows
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "k string, ts timestamp_ntz, id long, ok boolean, v double"
@@ -140,3 +140,30 @@ def test_alert_stream(spark, tmp_path):
     out = drain(spark, folds.stream_alert_states(source, 30), "alerts", tmp_path)
     batch = al.alert_states(evals, 30).withColumn("eval_ts", F.col("eval_ts").cast("timestamp"))
     same(out.select("alertname", "eval_ts", "state"), batch.select("alertname", "eval_ts", "state"))
+
+
+def test_events_to_alert_states(spark, feed, tmp_path):
+    """Events, closed windows as a table, rules, states: two chained streams."""
+    folder, rows = feed
+    rule = al.Rule("Busy", "rate", ">", 0.05, 120, "warning")
+
+    def evaluations(windows_table):
+        samples = windows_table.select(
+            F.lit("rate").alias("metric"), F.col("k").alias("series"),
+            F.col("window_end").alias("eval_ts"), F.col("rate").alias("value"),
+        )
+        return al.apply_rules(samples, [rule])
+
+    live = windows.stream_event_rate(stream(spark, folder), "ts", ["k"], 120, 60, "1 minute")
+    closed = str(tmp_path / "closed")
+    tables.append_stream(live, closed, str(tmp_path / "c1"), True).awaitTermination(300)
+    followed = tables.follow_table(spark, closed, live.schema)
+    states = folds.stream_alert_states(evaluations(followed), 60)
+    out = str(tmp_path / "states")
+    tables.append_stream(states, out, str(tmp_path / "c2"), True).awaitTermination(300)
+    got = spark.read.parquet(out).select("alertname", "series", "eval_ts", "state")
+    batch = al.alert_states(evaluations(spark.read.parquet(closed)), 60)
+    assert {r.state for r in got.collect()} == {"inactive", "pending", "firing"}
+    same(got, batch.select(got.columns))
+    every = mx.event_rate(rows, "ts", ["k"], 120, 60)
+    assert 0.9 * every.count() < spark.read.parquet(closed).count() <= every.count()
