@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as tx
+from rankloom.functions import vectors as vx
 from rankloom.operators import metrics as mx
 from rankloom.operators.cache_replay import cache_stats, lru_replay, ttl_replay
 from rankloom.operators.clock import from_micros, micros, slot
@@ -262,6 +263,29 @@ def tuning_hint(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def model_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    """Expected vector length where the source names the model, the language the provider."""
+    model = F.when(F.col("lang") == "en", F.concat("source", F.lit("-Large"))).otherwise(F.col("source"))
+    provider = F.when(F.col("lang") == "fr", F.lit("local")).otherwise(F.lit("openai"))
+    return tb.table(spark, d, "documents").select(
+        "doc_id", vx.expected_dimension(provider, model).alias("dim")
+    )
+
+
+def neighbour_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of each vector against the next one, as column expressions."""
+    this = tb.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("a"))
+    after = this.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return this.join(after, "vec_id").select(
+        "vec_id",
+        F.size(a).alias("dim"),
+        F.round(vx.dot(a, b), 6).alias("dot"),
+        F.round(vx.cosine(a, b), 6).alias("cosine"),
+        F.round(vx.euclid(a, b), 6).alias("euclid"),
+    )
+
+
 def snapshot_retention(spark: SparkSession, d: str) -> DataFrame:
     days = tb.table(spark, d, "events").select(F.date_trunc("day", "ts").alias("day")).distinct()
     taken = tb.naive(F.col("day")) + F.expr("interval 3 hours")
@@ -341,6 +365,8 @@ QUERIES = {
     "collection_stats": collection_stats,
     "dimension_audit": dimension_audit,
     "tuning_hint": tuning_hint,
+    "model_dimensions": model_dimensions,
+    "neighbour_scores": neighbour_scores,
     "snapshot_retention": snapshot_retention,
     "token_cost": tokens_cost,
     "stage_events": stage_events,
@@ -552,6 +578,14 @@ SQL = {
             trunc(least(512, greatest(64, 2 * sqrt(count(*) * 50))))::INT AS hint
         FROM (SELECT 'internal' AS c FROM embeddings WHERE label <= 5
               UNION ALL SELECT 'external' FROM embeddings WHERE label >= 4) GROUP BY 1""",
+    "model_dimensions": """SELECT doc_id, CASE WHEN lang = 'en' THEN 3072 ELSE 1536 END AS dim
+        FROM documents""",
+    "neighbour_scores": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+        SELECT a.vec_id, len(a.v) AS dim, round(list_dot_product(a.v, b.v), 6) AS dot,
+               round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v))
+                     * sqrt(list_dot_product(b.v, b.v))), 6) AS cosine,
+               round(list_distance(a.v, b.v), 6) AS euclid
+        FROM e a JOIN e b ON b.vec_id = a.vec_id + 1""",
     "snapshot_retention": """WITH s AS (SELECT DISTINCT ts::DATE + INTERVAL 3 HOUR AS taken_at FROM events)
         SELECT taken_at, (epoch_us(TIMESTAMP '2024-01-31 02:00:00') - epoch_us(taken_at)) // 86400000000 AS age_days,
                (epoch_us(TIMESTAMP '2024-01-31 02:00:00') - epoch_us(taken_at)) // 86400000000 <= 14 AS keep

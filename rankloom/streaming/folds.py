@@ -3,6 +3,8 @@
 Rows of one key in one micro-batch are folded in ``(ts, order)`` order. A row older
 than what its key has already seen is passed on with ``late`` set and changes
 nothing. Over rows that arrive in order, the results equal the batch operators.
+The rows of one key in one micro-batch are sorted in memory; the source's limit per
+trigger bounds them.
 """
 
 from __future__ import annotations

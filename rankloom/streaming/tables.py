@@ -26,10 +26,16 @@ def append_stream(
 
 
 def follow_table(
-    spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None
+    spark: SparkSession,
+    path: str,
+    schema: StructType,
+    files_per_batch: int | None = None,
+    only_files: str | None = None,
 ) -> DataFrame:
-    """Rows of a table as they are appended."""
+    """Rows of a table as they are appended; ``only_files`` is a file name pattern."""
     reader = spark.readStream.schema(schema)
+    if only_files:
+        reader = reader.option("pathGlobFilter", only_files)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
