@@ -14,6 +14,7 @@ depend on how rows were batched.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from functools import partial
 
@@ -35,6 +36,8 @@ COLLECTIONS = (INTERNAL, EXTERNAL)
 # are split into blocks that meet the points in an equi-join instead.
 BROADCAST_BYTES = 64 << 20
 _TILE_CELLS = 4 << 20
+# Points of one question block that share a join key.
+_CELL_BYTES = 1 << 30
 
 
 def search(
@@ -156,14 +159,15 @@ def _joined_blocks(
     """Too many questions to ship: split them into hash blocks and shuffle.
 
     Every point block is sent once to each question block (``lane``). ``salt``
-    spreads the point blocks of one lane over many tasks, so no task grows with
-    the corpus; a lane's question block is repeated once per salt.
+    spreads the point blocks of one lane over cells of bounded size, so no task
+    grows with the corpus; a lane's question block is repeated once per salt.
     """
     dim = vectors.select(F.size("embedding")).head()[0]
     per_lane = max(1, min(4096, budget // (8 * max(1, dim))))
     lanes = max(1, -(-vectors.count() // per_lane))
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = max(1, parts // lanes)
+    cell_rows = max(1, _CELL_BYTES // (4 * max(1, dim)))
+    salts = max(1, parts // lanes, -(-corpus.count() // cell_rows))
 
     question_blocks = (
         vectors.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(lanes)).alias("lane"))
@@ -460,7 +464,7 @@ def _pack_points(top_k: int, salts: int, batches: Iterable[pa.RecordBatch]):
             )
             whole = pa.array([0, rows], pa.int32())
             # A block's salt depends on its content only, so a retry repeats it.
-            salt = sum(ids[0].as_py().encode()) + 31 * rows
+            salt = zlib.crc32(f"{ids[0].as_py()}|{ids[-1].as_py()}".encode())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([name], pa.string()),

@@ -55,7 +55,8 @@ def random_corpus(seed, n=400, dim=6):
 
 @pytest.mark.parametrize("metric", ["dot", "cosine", "euclid"])
 @pytest.mark.parametrize("budget", [sim.BROADCAST_BYTES, 8 * 6 * 7])
-def test_search_equals_brute_force(spark, metric, budget):
+def test_search_equals_brute_force(spark, monkeypatch, metric, budget):
+    monkeypatch.setattr(sim, "_CELL_BYTES", 4 * 6 * 60)  # several cells per question block
     questions, points = random_corpus(3)
     q = spark.createDataFrame(questions, "query_id long, embedding array<float>")
     p = spark.createDataFrame(points, POINTS).repartition(5)
