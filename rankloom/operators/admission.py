@@ -5,15 +5,15 @@ admitted before it are still inside the window. Only admitted events count, so
 this is a recursion and no window frame expresses it. What can be decided without
 the recursion is decided by plain aggregation:
 
-* time is cut into slots as wide as the window. An event sees admitted events of
-  its own slot and the one before only. Where both together hold at most
-  ``limit`` events, every event of the slot is admitted ("calm");
-* after a calm slot the state is known without looking further back, so each
-  maximal run of consecutive busy slots is a chain of its own. Chains, not keys,
-  are what is distributed, seeded with the calm slot before them;
+* time is cut into slots, one or more per window. Where a slot and the slots a
+  window back together hold at most ``limit`` events, every event of the slot is
+  admitted ("calm");
+* after a window of calm slots the state is known without looking further back, so
+  busy slots less than a window apart form a chain of their own. Chains, not keys,
+  are what is distributed, seeded with the calm slots before them;
 * a chain longer than ``rows_per_round`` is cut at slot borders. Round ``r``
-  folds the r-th piece of all chains in parallel and hands the admitted events
-  of its last slot to round ``r + 1`` through the checkpoint folder, so no task
+  folds the r-th piece of all chains in parallel and hands the last ``limit``
+  admitted events to round ``r + 1`` through the checkpoint folder, so no task
   ever reads an unbounded stretch of a hot key.
 
 Inside a piece the fold jumps from admission to admission by binary search.
@@ -32,10 +32,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.operators.clock import join_same, micros, slot
+from rankloom.operators.clock import join_same, micros, rows_per_key_slot, slot
 from rankloom.session import settle, settle_by
 
 ROWS_PER_ROUND = 50_000_000
+ROWS_PER_SLOT = 5_000_000
+MOST_SLOTS = 1024
 
 
 def admit(
@@ -48,20 +50,26 @@ def admit(
     inclusive: bool = True,
     rows_per_round: int = ROWS_PER_ROUND,
     carry: list[str] | None = None,
+    slots_per_window: int | None = None,
 ) -> DataFrame:
     """``(*key, ts, order, *carry, admitted)`` for every event.
 
-    ``events`` is read three times; pass a table or a settled frame.
+    ``events`` is read four times; pass a table or a settled frame. By default the
+    slots are made narrow enough for a key with a third of all rows.
     ``inclusive``: an admitted event exactly ``window_seconds`` old still counts.
     Events of equal time are taken in the order of the unique column ``order``.
     """
     width = round(window_seconds * 1_000_000)
-    slot_width = max(width, 1)
     columns = [*key, ts, order, *(carry or [])]
-    rows = events.select(*columns, micros(ts).alias("us")).withColumn(
-        "slot", slot(F.col("us"), slot_width)
+    timed = events.select(*columns, micros(ts).alias("us"))
+    if slots_per_window is None:
+        crowd = rows_per_key_slot(timed, F.col("us"), width)
+        slots_per_window = int(min(MOST_SLOTS, 1 + crowd // ROWS_PER_SLOT))
+    slot_width = max(1, -(-width // slots_per_window))
+    rows = timed.withColumn("slot", slot(F.col("us"), slot_width))
+    busy = settle(
+        _busy_slots(rows, key, limit, slot_width, slots_per_window, rows_per_round)
     )
-    busy = settle(_busy_slots(rows, key, limit, slot_width, rows_per_round))
     calm = (
         join_same(rows, busy.where(~F.col("seed")).select(*key, "slot"), [*key, "slot"], "left_anti")
         .select(*columns)
@@ -73,50 +81,32 @@ def admit(
 
 
 def _busy_slots(
-    rows: DataFrame, key: list[str], limit: int, width: int, rows_per_round: int
+    rows: DataFrame, key: list[str], limit: int, slot_width: int, slots: int, rows_per_round: int
 ) -> DataFrame:
-    """Slots that need the fold: ``(*key, slot, run, seed, piece, last)``.
+    """Slots that need the fold: ``(*key, slot, run, seed, piece)``.
 
     One row per key and slot enters the windows here, so their groups grow with
     the covered time and not with the number of events.
     """
+    reach = slots * slot_width
     along = Window.partitionBy(*key).orderBy("slot")
-    touching = F.lag("slot").over(along) == F.col("slot") - width
-    sized = (
+    back = along.rangeBetween(-reach, 0)
+    behind, ahead = along.rangeBetween(-reach, -1), along.rangeBetween(1, reach)
+    busy = F.col("busy")
+    marked = (
         rows.groupBy(*key, "slot")
         .agg(F.count("*").alias("n"))
-        .withColumn("touches", F.coalesce(touching, F.lit(False)))
-        .withColumn(
-            "busy",
-            F.col("n") + F.when(F.col("touches"), F.lag("n").over(along)).otherwise(0) > limit,
-        )
-    )
-    marked = (
-        sized.withColumn(
-            "opens",
-            F.col("busy")
-            & ~(F.col("touches") & F.coalesce(F.lag("busy").over(along), F.lit(False))),
-        )
-        .withColumn(
-            "seed",
-            ~F.col("busy")
-            & F.coalesce(F.lead("busy").over(along) & F.lead("touches").over(along), F.lit(False)),
-        )
+        .withColumn("busy", F.sum("n").over(back) > limit)
+        .withColumn("opens", busy & ~F.coalesce(F.max("busy").over(behind), F.lit(False)))
+        # Whether the next busy slot within a window opens a chain; null without one.
+        .withColumn("leads", F.first(F.when(busy, F.col("opens")), ignorenulls=True).over(ahead))
+        .withColumn("seed", ~busy & F.coalesce("leads", F.lit(False)))
         .withColumn("run", F.sum(F.col("opens").cast("int")).over(along) + F.col("seed").cast("int"))
-        .where(F.col("busy") | F.col("seed"))
+        .where(busy | F.col("leads").isNotNull())
     )
     chain = Window.partitionBy(*key, "run").orderBy("slot")
-    pieced = marked.withColumn(
-        "piece", F.floor((F.sum("n").over(chain) - F.col("n")) / F.lit(rows_per_round)).cast("int")
-    )
-    return pieced.select(
-        *key,
-        "slot",
-        "run",
-        "seed",
-        "piece",
-        F.coalesce(F.lead("piece").over(chain) > F.col("piece"), F.lit(False)).alias("last"),
-    )
+    piece = F.floor((F.sum("n").over(chain) - F.col("n")) / F.lit(rows_per_round)).cast("int")
+    return marked.select(*key, "slot", "run", "seed", piece.alias("piece"))
 
 
 def _fold_rounds(
@@ -143,13 +133,23 @@ def _fold_rounds(
     if rounds == 1:
         return fold(chained)
     pieces = settle_by(chained, "piece")
+    newest = Window.partitionBy(*chain).orderBy(F.desc("us"), F.desc(order))
     done: list[DataFrame] = []
+    handed = None
     for r in range(rounds):
         rows = pieces.where(F.col("piece") == r)
-        if done:
-            handed = done[-1].where("last AND admitted").drop("admitted")
-            rows = rows.unionByName(handed.withColumn("seed", F.lit(True)))
+        if handed is not None:
+            rows = rows.unionByName(handed)
         done.append(settle(fold(rows)))
+        # The state of a chain is its last admitted events, leading seeds included.
+        held = done[-1].where("admitted").drop("admitted").unionByName(rows.where("seed"))
+        handed = (
+            held.withColumn("seed", F.lit(True))
+            .withColumn("place", F.row_number().over(newest))
+            .where(F.col("place") <= limit)
+            .drop("place")
+        )
+        handed = settle(handed)
     return reduce(DataFrame.unionByName, done)
 
 

@@ -33,3 +33,9 @@ def join_same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
         .join(right.select(F.struct(*on).alias("_at"), *rest), "_at", how)
         .drop("_at")
     )
+
+
+def rows_per_key_slot(rows: DataFrame, us: Column, width_us: int) -> float:
+    """Rows a key with a third of an evenly spread log has per ``width_us``."""
+    total, first, last = rows.agg(F.count(us), F.min(us), F.max(us)).first()
+    return 0.0 if not total else total / 3 * min(1.0, width_us / max(1, last - first))

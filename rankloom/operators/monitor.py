@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import in_quiet_hours
 from rankloom.operators.admission import admit
-from rankloom.operators.runs import carry_last, streaks
+from rankloom.operators.runs import carry_last, even_slices, streaks
 from rankloom.session import settle
 
 
@@ -39,7 +39,7 @@ def outage_events(
     """
     quiet = in_quiet_hours(F.col(ts), quiet_start, quiet_end) if suppress_in_quiet else F.lit(False)
     narrow = probes.select(host, ts, order, ok.alias("_ok"))
-    runs = streaks(narrow, [host], ts, order, F.col("_ok"))
+    runs = streaks(narrow, [host], ts, order, F.col("_ok"), even_slices(probes, ts))
     judged = runs.withColumn(
         "event",
         F.when(
@@ -90,11 +90,12 @@ def probe_state(
 ) -> DataFrame:
     """``(host, ts, order, state)``: up or down with hysteresis; hosts start up."""
     narrow = probes.select(host, ts, order, ok.alias("_ok"))
-    runs = streaks(narrow, [host], ts, order, F.col("_ok"))
+    length = even_slices(probes, ts)
+    runs = streaks(narrow, [host], ts, order, F.col("_ok"), length)
     marker = F.when(F.col("bad_streak") >= failures_to_down, F.lit("down")).when(
         F.col("good_streak") >= successes_to_up, F.lit("up")
     )
-    marked = carry_last(runs, [host], ts, order, marker, "_state")
+    marked = carry_last(runs, [host], ts, order, marker, "_state", slice_seconds=length)
     return marked.select(
         host, ts, order, F.coalesce("_state", F.lit("up")).alias("state")
     )

@@ -1,6 +1,7 @@
 """Running positions and streaks per key that do not gather a key in one task.
 
-A key's rows are cut into time slices. Windows run inside ``(key, slice)``; what a
+A key's rows are cut into time slices of an hour, or shorter ones on request
+(``even_slices``). Windows run inside ``(key, slice)``; what a
 slice needs from the past comes from one summary row per slice, so a key holding a
 large part of the log spreads over as many tasks as it has slices. ``(key, slice)``
 is one struct column ``_at``: never null, even for a null key, and shared by the
@@ -14,9 +15,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.operators.clock import micros, slot
+from rankloom.operators.clock import micros, rows_per_key_slot, slot
 
-SLICE_SECONDS = 86_400
+SLICE_SECONDS = 3_600
+ROWS_PER_SLICE = 5_000_000
+
+
+def even_slices(rows: DataFrame, ts: str) -> float:
+    """A slice length, an hour at most, fit for a key with a third of all rows."""
+    crowd = rows_per_key_slot(rows, micros(ts), SLICE_SECONDS * 1_000_000)
+    return SLICE_SECONDS / (1 + crowd // ROWS_PER_SLICE)
 
 
 def _keys_of(key: list[str]) -> list[Column]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import alerts as al
 from rankloom.operators import metrics as mx
+from rankloom.operators import clock, runs
 from rankloom.operators.admission import admit
 from rankloom.operators.cache_replay import cache_stats, lru_replay, ttl_replay
 from rankloom.operators.limiter import offered_load, rate_limit
@@ -57,14 +58,24 @@ def limiter_model(rows, limit, window, inclusive=True):
 @pytest.mark.parametrize("seed,limit,window,inclusive", [
     (1, 1, 30, True), (2, 3, 20, True), (3, 5, 60, False), (4, 1, 10, False), (5, 60, 60, True),
 ])
-@pytest.mark.parametrize("rows_per_round", [50_000_000, 40])
-def test_admission_equals_model(spark, seed, limit, window, inclusive, rows_per_round):
+@pytest.mark.parametrize("rows_per_round,slots", [(50_000_000, None), (50_000_000, 7), (60, 3)])
+def test_admission_equals_model(spark, seed, limit, window, inclusive, rows_per_round, slots):
     rows = random_rows(seed, 700, 6, 4)
-    out = admit(log(spark, rows), ["k"], "ts", "id", limit, window, inclusive, rows_per_round)
+    out = admit(
+        log(spark, rows), ["k"], "ts", "id", limit, window, inclusive, rows_per_round,
+        slots_per_window=slots,
+    )
     got = [r.admitted for r in out.orderBy("id").collect()]
     assert got == limiter_model(rows, limit, window, inclusive)
 
 
+def test_slots_get_narrower_with_density(spark):
+    data = log(spark, [("a", s) for s in range(301)])
+    assert runs.even_slices(data, "ts") == runs.SLICE_SECONDS
+    assert clock.rows_per_key_slot(data, clock.micros("ts"), 30_000_000) == pytest.approx(301 / 3 / 10)
+    assert clock.rows_per_key_slot(data.limit(0), clock.micros("ts"), 30_000_000) == 0.0
+
+
 def test_limiter_edges(spark):
     # 60 s old still counts; refused requests leave no trace.
     rows = [("c", 0), ("c", 1), ("c", 60), ("c", 60.5), ("c", 61), ("c", 61.5)]
@@ -78,8 +89,8 @@ def test_limiter_null_client(spark):
     rows = spark.createDataFrame([(None, at(0), 1), (None, at(1), 2), ("a", at(1), 3)], EVENTS)
     out = rate_limit(rows, "k", "ts", "id", 1, 60)
     assert {r.id: r.accepted for r in out.collect()} == {1: True, 2: False, 3: True}
-    runs = streaks(rows, ["k"], "ts", "id", F.lit(False)).collect()
-    assert {r.id: r.bad_streak for r in runs} == {1: 1, 2: 2, 3: 1}
+    counted = streaks(rows, ["k"], "ts", "id", F.lit(False)).collect()
+    assert {r.id: r.bad_streak for r in counted} == {1: 1, 2: 2, 3: 1}
 
 
 def test_offered_load(spark):
