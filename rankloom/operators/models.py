@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as tx
-from rankloom.params import Params, check_bound
+from rankloom.params import BOUNDS, Params
 
 ATTEMPTS = 3
 
@@ -103,7 +103,7 @@ def embed_batch(
 
 
 def _check_batch_size(batch_size: int) -> None:
-    low, high = 1, 2048
+    low, high = BOUNDS["embed_batch_size"]
     if not low <= batch_size <= high:
         raise ValueError(f"batch_size must be between {low} and {high}, got {batch_size}")
 
@@ -144,7 +144,6 @@ def embed_distinct(
 ) -> DataFrame:
     """One row per distinct non-blank text, keyed by the hash of the text."""
     _check_batch_size(batch_size)
-    check_bound("embed_batch_size", batch_size)
     distinct = (
         rows.select(_prepared(text, max_chars).alias("_text"))
         .where(F.col("_text") != "")
