@@ -7,7 +7,7 @@ import hashlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe, exact_dedup
+from rankloom.llm import bpe, exact_dedup, language, simhash
 from rankloom.plans.tables import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -34,9 +34,20 @@ def op5_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, d, "documents"))
 
 
+def op7_language(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return language.identify(docs, language.train(docs))
+
+
+def op8_simhash(spark: SparkSession, d: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, d, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_language": op7_language,
+    "op8_simhash": op8_simhash,
 }
 
 SQL = {
