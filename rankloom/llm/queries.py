@@ -7,7 +7,7 @@ import hashlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe, exact_dedup, language, simhash
+from rankloom.llm import bpe, decontaminate, exact_dedup, language, simhash
 from rankloom.plans.tables import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -30,6 +30,11 @@ def op1_bpe(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return found.drop("text_key")
+
+
 def op5_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, d, "documents"))
 
@@ -45,6 +50,7 @@ def op8_simhash(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op4_decontamination": op4_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_language": op7_language,
     "op8_simhash": op8_simhash,
