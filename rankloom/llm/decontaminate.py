@@ -27,6 +27,15 @@ SENT_SHINGLES = 1_000_000
 _DOC, _WINDOW = ["doc_id", "text_key"], ["doc_id", "text_key", "width", "size", "start"]
 
 
+# Shingles are exploded by the outer forms: for the others Spark infers a filter on the array
+# and pushes its whole expression below, where it finds the words anew for each shingle.
+
+
+def _same(names: list[str]) -> list[Column]:
+    """Equal in the tables ``a`` and ``b``, nulls too."""
+    return [F.col(f"a.{name}").eqNullSafe(F.col(f"b.{name}")) for name in names]
+
+
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
@@ -73,7 +82,7 @@ def _items(items: DataFrame, width: int) -> DataFrame:
         own = rows.where(F.size("words") >= k if k == width else F.size("words") == k)
         own = own.select("item_id", "item_key", F.lit(k).alias("width"), _shingles(k).alias("all"))
         parts = own if parts is None else parts.unionAll(own)
-    parts = parts.select("item_id", "item_key", "width", F.size("all").alias("size"), F.explode("all").alias("hash"))
+    parts = parts.select("item_id", "item_key", "width", F.size("all").alias("size"), F.explode_outer("all").alias("hash"))
     return parts.groupBy("item_id", "item_key", "width", "size", "hash").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -88,6 +97,7 @@ def _index(items: DataFrame, similarity: float) -> DataFrame:
         _bits("{} > 0").alias("print"),
         _bits(f"abs({{}}) > {reach!r}D * size + 1e-9D").alias("certain"),
     )
+    prints = written(prints, "item-prints")  # long expressions, computed once
     blocks = prints.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("block"))
     blocks = blocks.withColumn("known", _block("certain"))
     best = blocks.groupBy("item_key").agg(F.max_by("block", F.struct(F.bit_count("known"), "block")).alias("block"))
@@ -136,7 +146,7 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, width: int
     hits = None
     for k in widths:
         at = with_words.select(*_DOC, _shingles(k).alias("all"))
-        at = at.select(*_DOC, F.size("all").alias("there"), F.posexplode("all").alias("at", "hash"))
+        at = at.select(*_DOC, F.size("all").alias("there"), F.posexplode_outer("all").alias("at", "hash"))
         found = at.join(send(shingles.where(F.col("width") == k)), "hash").drop("hash", "item_n")
         hits = found if hits is None else hits.unionAll(found)
     if hits is None:  # no item has a word
@@ -148,32 +158,28 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, width: int
     windows = written(_windows(hits, similarity), "windows")
 
     wanted = windows.select(*_DOC).distinct()
-    same_doc = (rows["doc_id"].eqNullSafe(wanted["doc_id"])) & (rows["text_key"] == wanted["text_key"])
-    texts = rows.join(wanted, same_doc, "left_semi").dropDuplicates(_DOC)
+    texts = rows.alias("a").join(wanted.alias("b"), _same(_DOC), "left_semi").dropDuplicates(_DOC)
     texts = texts.select("doc_id", "text_key", _words(F.col("text")).alias("words"))
     spans = None
     for k in widths:
         at = texts.select(*_DOC, _shingles(k).alias("all"))
         own = windows.where(F.col("width") == k)
-        same_doc = (at["doc_id"].eqNullSafe(own["doc_id"])) & (at["text_key"] == own["text_key"])
-        part = at.join(own, same_doc).select(
-            own["doc_id"], own["text_key"], "width", "size", "there", "start",
-            F.explode(F.slice("all", F.col("start") + 1, F.col("size"))).alias("hash"),
-        )
+        part = at.alias("a").join(own.alias("b"), _same(_DOC)).select(
+            "b.*", F.explode_outer(F.slice("all", F.col("start") + 1, F.col("size"))).alias("hash")
+        )
         spans = part if spans is None else spans.unionAll(part)
     counted = spans.groupBy(*_WINDOW, "there", "hash").agg(F.count(F.lit(1)).alias("n"))
     counted = written(counted, "window-shingles")
 
     prints = _sums(counted, [*_WINDOW, "there"]).select(*_WINDOW, "there", _bits("{} > 0").alias("own"))
+    prints = written(prints, "window-prints")
     looked_up = prints.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("block"))
     looked_up = looked_up.withColumn("value", _block("own"))
     agree = (F.col("own").bitwiseXOR(F.col("print"))).bitwiseAND(F.col("certain")) == 0
     fits = F.col("size") == F.least("item_size", "there")
     candidates = looked_up.join(send(index), ["width", "block", "value"]).where(agree & fits)
-    candidates = candidates.select(*_WINDOW, "item_key", "item_size").alias("c")
-
-    same = [F.col(f"c.{name}").eqNullSafe(F.col(f"w.{name}")) for name in _WINDOW]
-    shared = candidates.join(counted.alias("w"), same).select("c.*", "hash", "n")
+    candidates = candidates.select(*_WINDOW, "item_key", "item_size")
+    shared = candidates.alias("a").join(counted.alias("b"), _same(_WINDOW)).select("a.*", "hash", "n")
     shared = shared.join(send(shingles.select("item_key", "hash", "item_n")), ["item_key", "hash"])
     common = shared.groupBy(*_WINDOW, "item_key", "item_size").agg(F.sum(F.least("n", "item_n")).alias("common"))
     alike = common.withColumn("similarity", F.col("common") / (F.col("size") + F.col("item_size") - F.col("common")))
@@ -191,5 +197,6 @@ def without_leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, wi
     """The rows of ``docs`` that hold no item, with all their columns; see ``leaks``."""
     found = leaks(docs, items, similarity, width).select("doc_id", "text_key").distinct()
     found = written(found, "leaking")
-    same = docs["doc_id"].eqNullSafe(found["doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["text_key"])
-    return docs.join(found, same, "left_anti")
+    text_key = F.xxhash64(F.coalesce(F.col("a.text").cast("string"), F.lit("")))
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (text_key == F.col("b.text_key"))
+    return docs.alias("a").join(found.alias("b"), same, "left_anti")

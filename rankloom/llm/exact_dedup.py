@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import BLANKS, whole_text
+from rankloom.llm.common import BLANKS, whole_text, written
 
 _LAST_ID = 2**63 - 1
 # A row's rank within its class in one number: longer first, then the smaller id.
@@ -68,7 +68,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     is kept only where its class has no other.
     """
     rows = _normal(docs).select("doc_id", "hash", "text_sha256")
-    joined = rows.join(duplicate_classes(docs), ["hash", "text_sha256"])
+    # Written, so that the join meets two plain exchanges and Spark can split a large class.
+    joined = rows.join(written(duplicate_classes(docs), "classes"), ["hash", "text_sha256"])
     return joined.select(
         "doc_id",
         "keep_id",
@@ -76,3 +77,14 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256",
     )
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; of rows that repeat, one."""
+    kept = exact_duplicates(docs).where("kept").select("doc_id", "text_sha256").distinct()
+    kept = written(kept, "kept")
+    sha = F.sha2(F.regexp_replace(F.coalesce(F.col("a.text"), F.lit("")), f"{BLANKS}+", ""), 256)
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (sha == F.col("b.text_sha256"))
+    row = F.struct(*[F.col(f"a.`{name}`") for name in docs.columns]).alias("row")
+    found = docs.alias("a").join(kept.alias("b"), same).select(row, "b.doc_id", "b.text_sha256")
+    return found.dropDuplicates(["doc_id", "text_sha256"]).select("row.*")

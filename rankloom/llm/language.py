@@ -100,6 +100,17 @@ class Model:
         out[rows] = share
         return out
 
+    def answers(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Like ``mixtures``, with zeros also where a text has no letter."""
+        if not self.languages:
+            return np.zeros((len(bounds) - 1, 0))
+        out = self.mixtures(data, bounds)
+        for k in np.flatnonzero(out.any(axis=1)):
+            text = data[bounds[k] : bounds[k + 1]]
+            if not _ASCII_LETTER[text].any() and not _has_letter(text.tobytes()):
+                out[k] = 0
+        return out
+
     def _grow(self, words, firsts, sizes, share, open_) -> np.ndarray:
         """Add the best further language to each open document; returns which got one."""
         which = np.flatnonzero(open_)
@@ -207,13 +218,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 data, bounds = flat_bytes(batch.column(2))
-                mixes = fitted.mixtures(data, bounds) if fitted.languages else np.zeros((batch.num_rows, 0))
                 names, scores, sets = [], [], []
-                for k, mix in enumerate(mixes):
-                    text = data[bounds[k] : bounds[k + 1]]
+                for mix in fitted.answers(data, bounds):
                     order = [i for i in np.argsort(-mix, kind="stable").tolist() if mix[i] > 0]
-                    if order and not _ASCII_LETTER[text].any() and not _has_letter(text.tobytes()):
-                        order = []
                     names.append(fitted.languages[order[0]] if order else UNDETERMINED)
                     scores.append(min(1.0, float(mix[order[0]])) if order else 0.0)
                     sets.append(",".join(f"{fitted.languages[i]}:{mix[i]:.3f}" for i in order))
@@ -223,3 +230,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, lang_pred string, score double, languages string"
     return rows.mapInArrow(run, schema)
+
+
+def determined(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose language isn't ``und``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    row = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
+    rows = docs.select(row.alias("row"), whole_text().cast("binary").alias("bytes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                found = shared.value.answers(*flat_bytes(batch.column(1))).any(axis=1)
+                yield batch.select([0]).filter(pa.array(found))
+
+    return rows.mapInArrow(run, rows.select("row").schema).select("row.*")

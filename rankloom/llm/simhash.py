@@ -264,3 +264,15 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, radius: int = 3) -> Da
     return prints.join(labels, "print", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, words_each: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of ``docs`` with their component's smallest ``doc_id``, with all their columns.
+
+    A row without ``doc_id`` stays if nobody else has its print.
+    """
+    found = near_duplicates(docs, words_each, radius)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    first = written(first, "first")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
+    return docs.alias("a").join(first.alias("b"), same, "left_semi")
