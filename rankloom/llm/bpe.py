@@ -99,6 +99,21 @@ def read_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(tokens, [(as_bytes(a), as_bytes(b)) for a, b in pairs], added)
 
 
+class PreTokens:
+    """Cuts texts into pre-tokens; texts without rare characters take faster patterns."""
+
+    def __init__(self) -> None:
+        self._any = regex.compile(PRE_TOKENS).findall
+        self._usual = regex.compile(USUAL_PRE_TOKENS).findall
+        self._ascii = re.compile(ASCII_PRE_TOKENS).findall
+        self._newer = re.compile(f"[{_spans(NEWER_LETTERS)}{_spans(NEWER_NUMBERS)}]").search
+
+    def __call__(self, text: str) -> list[str]:
+        if text.isascii():
+            return self._ascii(text)
+        return self._any(text) if self._newer(text) else self._usual(text)
+
+
 class OffsetTable:
     """Strings end to end with the offset of each, to look many of them up at once."""
 
@@ -139,20 +154,12 @@ class Codec:
         self._added = vocabulary.added
         names = sorted(map(regex.escape, vocabulary.added), key=len, reverse=True)
         self._specials = regex.compile("(" + "|".join(names) + ")") if names else None
-        self._cut_any = regex.compile(PRE_TOKENS).findall
-        self._cut_usual = regex.compile(USUAL_PRE_TOKENS).findall
-        self._cut_ascii = re.compile(ASCII_PRE_TOKENS).findall
-        self._newer = re.compile(f"[{_spans(NEWER_LETTERS)}{_spans(NEWER_NUMBERS)}]").search
+        self._cut = PreTokens()
         self._known: dict[str, bytes] = {}
         self._fits: dict[tuple[int, int], bool] = {}
         self._texts = OffsetTable(vocabulary.tokens)
         self._numbers = OffsetTable({i: b"%d," % i for i in vocabulary.tokens})
 
-    def _cut(self, text: str) -> list[str]:
-        if text.isascii():
-            return self._cut_ascii(text)
-        return self._cut_any(text) if self._newer(text) else self._cut_usual(text)
-
     def _compatible(self, left: int, right: int) -> bool:
         """Whether no merge ever joins bytes of ``left`` with bytes of ``right``.
 
@@ -276,13 +283,13 @@ def _mapped(
     return rows.mapInArrow(run, schema)
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Short batches, so that what is made of them stays small."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
 
 
-def _texts(column: pa.Array) -> Iterator[str]:
+def texts_of(column: pa.Array) -> Iterator[str]:
     data, bounds = flat_bytes(column)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         yield data[a:b].tobytes().decode()
@@ -298,8 +305,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     rows = docs.select("doc_id", whole_text().cast("binary").alias("text"))
 
     def work(codec: Codec, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batch):
-            ids = [codec.encode(text) for text in _texts(part.column(1))]
+        for part in slices(batch):
+            ids = [codec.encode(text) for text in texts_of(part.column(1))]
             yield pa.record_batch([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -311,7 +318,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     rows = encoded.select("doc_id", F.coalesce("ids", F.expr("array()")).cast("array<int>").alias("ids"))
 
     def work(codec: Codec, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batch):
+        for part in slices(batch):
             texts = [codec.decode(np.array(ids, np.int64)) for ids in part.column(1).to_pylist()]
             yield pa.record_batch([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -330,9 +337,9 @@ def round_trip(docs: DataFrame, path: str, made: str, make: Callable) -> DataFra
     names = ["doc_id", *(column.split()[0] for column in made.split(","))]
 
     def work(codec: Codec, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batch):
+        for part in slices(batch):
             out = []
-            for text in _texts(part.column(1)):
+            for text in texts_of(part.column(1)):
                 ids = codec.encode(text)
                 out.append(make(codec.numbers(ids), ids, codec.decode(ids)))
             yield pa.record_batch([part.column(0), *map(pa.array, zip(*out))], names)

@@ -7,10 +7,11 @@ import hashlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe, decontaminate, exact_dedup, language, simhash
+from rankloom.llm import bpe, decontaminate, exact_dedup, language, simhash, token_counts, warc
 from rankloom.plans.tables import table
 
 BYTE_BPE = "byte_bpe_50k.json"
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
 
 
 def _digests(numbers: bytes, ids, text: str) -> tuple[int, str, str]:
@@ -30,6 +31,10 @@ def op1_bpe(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, d: str) -> DataFrame:
+    return warc.archived_pages(table(spark, d, "pages"))
+
+
 def op4_decontamination(spark: SparkSession, d: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
     return found.drop("text_key")
@@ -39,6 +44,11 @@ def op5_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, d, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    pieces = token_counts.read_ranks(public_tokenizers.path(BYTE_RANKS))
+    return token_counts.token_counts(table(spark, d, "documents"), token_counts.rank_scores(pieces))
+
+
 def op7_language(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return language.identify(docs, language.train(docs))
@@ -50,8 +60,10 @@ def op8_simhash(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_token_counts": op6_token_counts,
     "op7_language": op7_language,
     "op8_simhash": op8_simhash,
 }
