@@ -7,7 +7,7 @@ import hashlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe, decontaminate, exact_dedup, language, simhash, token_counts, warc
+from rankloom.llm import bpe, decontaminate, exact_dedup, language, pii, simhash, token_counts, warc
 from rankloom.plans.tables import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -58,6 +58,17 @@ def op8_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, d, "documents"))
 
 
+def _counted(base: list, added: list) -> tuple:
+    digest = hashlib.sha256(pii.listed(base).encode()).hexdigest()
+    kinds = [kind for kind, _, _ in base]
+    return (*map(kinds.count, pii.KINDS), digest, pii.listed(base + added))
+
+
+def op10_pii(spark: SparkSession, d: str) -> DataFrame:
+    made = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
+    return pii.map_spans(table(spark, d, "documents"), pii.train(), made, _counted)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_warc": op3_warc,
@@ -66,6 +77,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_language": op7_language,
     "op8_simhash": op8_simhash,
+    "op10_pii": op10_pii,
 }
 
 SQL = {
