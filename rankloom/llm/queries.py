@@ -6,8 +6,9 @@ import hashlib
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, decontaminate, exact_dedup, language, pii, simhash, token_counts, warc
+from rankloom.llm import bpe, decontaminate, exact_dedup, language, pii, secret_scan, simhash, token_counts, warc
 from rankloom.plans.tables import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -31,6 +32,21 @@ def op1_bpe(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op2_secrets(spark: SparkSession, d: str) -> DataFrame:
+    found = secret_scan.secrets(table(spark, d, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [
+        F.expr(f"CAST(size(filter(spans, s -> s.kind = '{kind}')) AS BIGINT) AS n_{kind}")
+        for kind in ("assign", "access", "hex")
+    ]
+    found = found.select("doc_id", *counts, base.alias("base"), "spans")
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2(secret_scan.listed("base"), 256).alias("base_sha256"),
+        secret_scan.listed("spans").alias("spans"),
+    )
+
+
 def op3_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc.archived_pages(table(spark, d, "pages"))
 
@@ -71,6 +87,7 @@ def op10_pii(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_secrets": op2_secrets,
     "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
