@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, decontaminate, exact_dedup, language, pii, secret_scan, simhash, token_counts, warc
+from rankloom.llm import bpe, decontaminate, exact_dedup, language, pii, repeats, secret_scan, simhash, token_counts, warc
 from rankloom.plans.tables import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -74,6 +74,11 @@ def op8_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, d, "documents"))
 
 
+def op9_suffix_arrays(spark: SparkSession, d: str) -> DataFrame:
+    made = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    return repeats.map_repeats(table(spark, d, "documents"), made, repeats.digests)
+
+
 def _counted(base: list, added: list) -> tuple:
     digest = hashlib.sha256(pii.listed(base).encode()).hexdigest()
     kinds = [kind for kind, _, _ in base]
@@ -94,6 +99,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_language": op7_language,
     "op8_simhash": op8_simhash,
+    "op9_suffix_arrays": op9_suffix_arrays,
     "op10_pii": op10_pii,
 }
 
