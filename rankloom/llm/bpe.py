@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import flat_bytes, whole_text
+from rankloom.llm.common import arrow_schema, flat_bytes, whole_text, with_id
 
 # Code points that the regex module takes for letters and for numbers, but
 # the Unicode version of the vocabulary's library does not.
@@ -334,7 +334,7 @@ def round_trip(docs: DataFrame, path: str, made: str, make: Callable) -> DataFra
     """
     rows = docs.select("doc_id", whole_text().cast("binary").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", *(column.split()[0] for column in made.split(","))]
+    schema = arrow_schema(made)
 
     def work(codec: Codec, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
@@ -342,6 +342,6 @@ def round_trip(docs: DataFrame, path: str, made: str, make: Callable) -> DataFra
             for text in texts_of(part.column(1)):
                 ids = codec.encode(text)
                 out.append(make(codec.numbers(ids), ids, codec.decode(ids)))
-            yield pa.record_batch([part.column(0), *map(pa.array, zip(*out))], names)
+            yield with_id(part.column(0), out, schema)
 
     return _mapped(docs.sparkSession, rows, path, f"doc_id {kind}, {made}", work)

@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from rankloom.session import ensure_checkpoint_dir
 
@@ -45,3 +47,15 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if data is None:
         return np.zeros(0, np.uint8), bounds - bounds[0]
     return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def arrow_schema(columns: str) -> pa.Schema:
+    """The Arrow schema of columns in DDL; made on the driver, sent along with a function."""
+    return to_arrow_schema(StructType.fromDDL(columns))
+
+
+def with_id(ids: pa.Array, made: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """A batch of ``doc_id`` and the columns that rows of ``made`` have, typed by ``schema``."""
+    columns = zip(*made) if made else ([] for _ in schema)
+    arrays = [pa.array(c, f.type) for c, f in zip(columns, schema)]
+    return pa.record_batch([ids, *arrays], ["doc_id", *schema.names])

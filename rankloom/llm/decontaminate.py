@@ -125,8 +125,9 @@ def _windows(hits: DataFrame, similarity: float) -> DataFrame:
 def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """Rows ``(doc_id, item_id, start, words, similarity)``, one for each leak, and ``text_key``.
 
-    A leak is a document and an item of which the document holds a window alike; the
-    window most alike counts, then the first. ``start`` is its first word (from 0) and
+    A leak is a document and an item of which the document holds a window alike. Of the
+    windows that start at a shared shingle or end with the text, among which is one of the
+    most alike ones, the most alike counts, then the first. ``start`` is its first word (from 0) and
     ``words`` its length in words. Words are runs of letters and digits in lower case;
     shingles have ``width`` words, for shorter items all their words. A window has as
     many shingles as the item, or all of a shorter text. Null and empty texts and items

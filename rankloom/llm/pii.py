@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.bpe import slices, texts_of
-from rankloom.llm.common import whole_text
+from rankloom.llm.common import arrow_schema, whole_text, with_id
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Tokens on either side of a digit or an at sign that belong to its sequence.
@@ -376,14 +376,13 @@ def map_spans(docs: DataFrame, field: Field, made: str, make) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
     rows = docs.select("doc_id", whole_text().cast("binary").alias("text"))
-    names = ["doc_id", *(column.split()[0] for column in made.split(","))]
+    schema = arrow_schema(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
                 found = find(list(texts_of(batch.column(1))), shared.value)
-                columns = zip(*(make(base, added) for base, added in found)) if found else [[]] * (len(names) - 1)
-                yield pa.record_batch([batch.column(0), *map(pa.array, columns)], names)
+                yield with_id(batch.column(0), [make(*spans) for spans in found], schema)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, {made}")
@@ -392,12 +391,10 @@ def map_spans(docs: DataFrame, field: Field, made: str, make) -> DataFrame:
 def personal_data(docs: DataFrame, field: Field) -> DataFrame:
     """Rows ``(doc_id, kind, start, end, added)``, one for each span; see ``map_spans``."""
 
-    def make(base: list, added: list) -> tuple[list]:
-        return ([(*s, False) for s in base] + [(*s, True) for s in added],)
-
     def as_rows(base: list, added: list) -> tuple[list]:
         keys = ("kind", "start", "end", "added")
-        return ([dict(zip(keys, s)) for s in make(base, added)[0]],)
+        marked = [(*s, False) for s in base] + [(*s, True) for s in added]
+        return ([dict(zip(keys, s)) for s in marked],)
 
     made = "spans array<struct<kind:string,start:bigint,end:bigint,added:boolean>>"
     found = map_spans(docs, field, made, as_rows)

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import flat_bytes, whole_text, written
+from rankloom.llm.common import arrow_schema, flat_bytes, whole_text, with_id, written
 
 WIDTH, GRAM = 100, 32
 #: Runs of one batch's array.
@@ -458,7 +458,7 @@ def map_repeats(docs: DataFrame, made: str, make) -> DataFrame:
     spans = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     texts = _packed(docs).join(spans, "doc_id", "left")
     texts = texts.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "packed", "spans")
-    names = ["doc_id", *(column.split()[0] for column in made.split(","))]
+    schema = arrow_schema(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -470,7 +470,7 @@ def map_repeats(docs: DataFrame, made: str, make) -> DataFrame:
                     cuts = [0, *found.ravel().tolist(), len(text)]
                     kept = b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2])) if len(found) else text
                     out.append(make(text, found, kept))
-                yield pa.record_batch([batch.column(0), *map(pa.array, zip(*out))], names)
+                yield with_id(batch.column(0), out, schema)
 
     return texts.mapInArrow(run, f"doc_id bigint, {made}")
 
