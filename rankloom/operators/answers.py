@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -46,16 +47,31 @@ def validate_questions(questions: DataFrame) -> DataFrame:
 def fresh_entries(cache: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
     """``(cache_key, answer)``: the newest entry of each key that is at most TTL old.
 
-    The age is a bound on ``set_ts``, which reaches the scan of the cache table.
+    The age is a bound on ``set_ts`` in its own type, which reaches the scan of the
+    cache table. Entries set after ``now`` are not seen. Of entries set at the same
+    time the greatest answer counts.
     """
+    kind = cache.schema["set_ts"].dataType
     oldest = now.cast("timestamp") - F.make_dt_interval(secs=F.lit(ttl_seconds))
+    newest = F.max(F.struct("set_ts", "answer"))["answer"]
     return (
-        cache.where(F.col("set_ts").cast("timestamp") >= oldest)
+        cache.where((F.col("set_ts") >= oldest.cast(kind)) & (F.col("set_ts") <= now.cast(kind)))
         .groupBy("cache_key")
-        .agg(F.max_by("answer", "set_ts").alias("answer"))
+        .agg(newest.alias("answer"))
     )
 
 
+def frozen(spark: SparkSession, now: Column | None) -> Column:
+    """The moment of ``now`` (default: this one) as a literal of the same type.
+
+    Every job of a run, however long it takes, then compares with the same moment.
+    """
+    now = F.current_timestamp() if now is None else now
+    moment = spark.range(1).select(now.alias("now"))
+    micros = moment.select(F.unix_micros(F.col("now").cast("timestamp"))).first()[0]
+    return F.timestamp_micros(F.lit(micros)).cast(moment.schema["now"].dataType)
+
+
 def cache_lookup(keyed: DataFrame, cache: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
     """Add ``cache_event`` (hit, expired, miss) and the cached ``answer`` of hits.
 
@@ -63,7 +79,8 @@ def cache_lookup(keyed: DataFrame, cache: DataFrame, now: Column, ttl_seconds: i
     not read.
     """
     fresh = fresh_entries(cache, now, ttl_seconds).withColumn("_fresh", F.lit(True))
-    known = cache.select("cache_key").distinct().withColumn("_known", F.lit(True))
+    seen = F.col("set_ts") <= now.cast(cache.schema["set_ts"].dataType)
+    known = cache.where(seen).select("cache_key").distinct().withColumn("_known", F.lit(True))
     event = (
         F.when(F.col("_fresh"), F.lit("hit"))
         .when(F.col("_known"), F.lit("expired"))
@@ -127,21 +144,23 @@ def answer_questions(
     collections: Iterable[str] = COLLECTIONS,
     parallel_calls: int | None = None,
 ) -> AnswerJob:
-    """Answer ``(query_id, q)`` rows.
+    """Answer ``(query_id, q)`` rows, one answer for each.
 
-    Equal questions are computed once. Both model stages are written down before
-    anything reads them, so no call is repeated. Failures of the model stages end
-    up in the answer rows, by stage.
+    Equal questions are computed once. The cache is read once, at one moment, and what
+    was found is written down, so each question is either a hit or computed. Both model
+    stages are written down before anything reads them, so no call is repeated. Failures
+    of the model stages end up in the answer rows, by stage.
     """
     top_k = effective_top_k(top_k, params)
-    now = F.current_timestamp() if now is None else now
+    collections = list(collections)
+    now = frozen(questions.sparkSession, now)
     keyed = questions.select("query_id", tx.strip(F.col("q")).alias("question")).withColumn(
         "cache_key", tx.cache_key(F.col("question"), top_k, params.model)
     )
     blank = keyed.where(F.col("question") == "")
     asked = keyed.where(F.col("question") != "")
     if cache is not None and params.enable_cache:
-        looked_up = cache_lookup(asked, cache, now, params.cache_ttl_seconds)
+        looked_up = settle(cache_lookup(asked, cache, now, params.cache_ttl_seconds))
     else:
         looked_up = asked.withColumn("cache_event", F.lit("miss")).withColumn(
             "answer", F.lit(None).cast(ANSWER_TYPE)
@@ -170,7 +189,12 @@ def answer_questions(
         computed,
         now,
         F.lit(generator.model),
-        {"embed": F.col("embed_seconds"), "generate": F.col("generate_seconds")},
+        {
+            "embed": F.col("embed_seconds"),
+            **{f"search/{name}": F.col("search_seconds") for name in collections},
+            "generate": F.col("generate_seconds"),
+            "total": F.col("total_seconds"),
+        },
     )
     return AnswerJob(found.unionByName(made).unionByName(blanks), entries, events)
 
@@ -197,12 +221,14 @@ def _compute(
         "_text_key", F.sha2(F.substring("question", 1, params.embed_max_chars), 256)
     ).join(vectors, "_text_key").drop("_text_key")
     query_vectors = embedded.select(F.col("cache_key").alias("query_id"), "embedding")
-    hits = search(query_vectors, points, top_k, metric, collections=collections)
     # Counts and context both read the ranked lists, k rows per question and collection.
-    hits = settle(hits)
+    began = time.perf_counter()
+    hits = settle(search(query_vectors, points, top_k, metric, collections=collections))
+    asked = embedded.where("embedding IS NOT NULL").count()
+    search_seconds = (time.perf_counter() - began) / max(1, asked)
     fused = reciprocal_rank_fusion(hits, params.rrf_k)
     with_text = ctx.attach_payload(fused, payload, top_k, most_hits=hits.count())
-    contexts = ctx.collect_context(with_text)
+    contexts = settle(ctx.collect_context(with_text))
     known = (
         embedded.select("cache_key", "question", "embed_error_type", "embed_error", "embed_seconds")
         .withColumnRenamed("cache_key", "query_id")
@@ -223,8 +249,16 @@ def _compute(
             "system_prompt", "user_prompt"
         )
     )
+    # All questions are searched together; each is booked an equal part of that time.
+    searched = F.when(F.col("embed_error_type").isNull(), F.lit(search_seconds))
+    total = sum(F.coalesce(c, F.lit(0.0)) for c in (F.col("embed_seconds"), searched, F.col("generate_seconds")))
     return known.join(generated, "cache_key", "left").select(
-        "cache_key", *_record(params), "embed_seconds", "generate_seconds"
+        "cache_key",
+        *_record(params),
+        "embed_seconds",
+        searched.alias("search_seconds"),
+        "generate_seconds",
+        total.alias("total_seconds"),
     )
 
 

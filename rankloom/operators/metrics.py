@@ -7,11 +7,12 @@ multiplied by the number of windows it lies in.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators.clock import from_micros, micros, slot
 from rankloom.operators.runs import carry_last
+from rankloom.session import settle
 
 # Upper bounds of the stage histograms, in seconds.
 STAGE_BOUNDS: dict[str, tuple[float, ...]] = {
@@ -77,8 +78,49 @@ def bucket_quantile(counts: Column, bounds: tuple[float, ...], q: float) -> Colu
     return F.when(F.element_at(counts, n + 1) > 0, result)
 
 
+#: Parts of a group within which an estimated quantile lies from the true one.
+BRACKET_PARTS = 10_000
+#: Groups whose brackets, a few numbers each, may be sent to every executor.
+SENT_GROUPS = 100_000
+
+
 def exact_quantile(events: DataFrame, value: Column, q: float, labels: list[str]) -> DataFrame:
-    return events.groupBy(*labels).agg(F.percentile_approx(value, q, 100_000).alias("quantile"))
+    """``(*labels, quantile)``: the least value that at least ``q`` of a group's values reach.
+
+    Estimates bracket the wanted rank. A second pass counts the values below the bracket
+    and each value within it, and the rank is found among these: some
+    ``1 / BRACKET_PARTS`` of a group. Null values are left out; a group of nulls has none.
+    """
+    rows = events.select(*labels, value.alias("_value"))
+    ends = [max(0.0, q - 2 / BRACKET_PARTS), min(1.0, q + 2 / BRACKET_PARTS)]
+    bracket = settle(
+        rows.groupBy(*labels).agg(
+            F.percentile_approx("_value", ends, BRACKET_PARTS).alias("_ends"),
+            F.count("_value").alias("_n"),
+        )
+    ).select(
+        *labels,
+        F.when(F.lit(ends[0] > 0), F.col("_ends")[0]).alias("_low"),
+        F.when(F.lit(ends[1] < 1), F.col("_ends")[1]).alias("_high"),
+        F.greatest(F.ceil(F.col("_n") * F.lit(q)), F.lit(1)).alias("_rank"),
+    )
+    # One row a group: joined null-safe, as a label may be null.
+    same = [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in labels]
+    few = bracket.count() <= SENT_GROUPS
+    brackets = F.broadcast(bracket) if few else bracket
+    placed = rows.alias("a").join(brackets.alias("b"), same or F.lit(True))
+    below = F.col("_value") < F.col("_low")
+    above = F.col("_value") > F.col("_high")
+    # Values outside of the bracket collapse into one count each, before they are shuffled.
+    spot = F.when(below, F.lit(None)).otherwise(F.col("_value"))
+    counted = (
+        placed.where(F.col("_value").isNotNull() & ~F.coalesce(above, F.lit(False)))
+        .groupBy(*[F.col(f"a.`{c}`").alias(c) for c in labels], spot.alias("_spot"), "_rank")
+        .agg(F.count(F.lit(1)).alias("_count"))
+    )
+    upto = Window.partitionBy(*labels).orderBy(F.asc_nulls_first("_spot"))
+    reached = counted.withColumn("_upto", F.sum("_count").over(upto))
+    return reached.where("_upto >= _rank").groupBy(*labels).agg(F.min("_spot").alias("quantile"))
 
 
 def windowed(

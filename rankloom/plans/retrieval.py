@@ -9,10 +9,11 @@ from rankloom.functions import text as tx
 from rankloom.operators import answers as ans
 from rankloom.operators import context as ctx
 from rankloom.operators import fusion as fu
-from rankloom.operators.models import FirstSourceGenerator, LetterCountEmbedder, embed_texts
+from rankloom.operators.models import embed_texts
 from rankloom.operators.similarity import search
 from rankloom.params import Params
 from rankloom.plans import tables as tb
+from rankloom.plans.standins import FirstSourceGenerator, LetterCountEmbedder
 
 TOP_K = 5
 DOT_THRESHOLD = 0.35
@@ -229,21 +230,28 @@ def embed_batches(spark: SparkSession, d: str) -> DataFrame:
     return pieces.select("src", "pos", total.cast("long").alias("letters"), F.size("embedding").alias("dim"))
 
 
-def answer_job(spark: SparkSession, d: str) -> DataFrame:
-    """Every user turn answered from all documents with the stand-in models."""
+def _answer_job(spark: SparkSession, d: str, questions: DataFrame, **options) -> ans.AnswerJob:
+    """Questions answered from all documents with the stand-in models."""
     docs = tb.table(spark, d, "documents").select(F.col("doc_id").alias("point_id"), "text", "lang")
     collection = F.when(F.col("lang") == "en", F.lit("internal")).otherwise(F.lit("external"))
     corpus = embed_texts(docs, "text", LetterCountEmbedder()).select(
         "point_id", collection.alias("collection"), "embedding"
     )
-    job = ans.answer_questions(
-        tb.text_questions(spark, d),
+    embedder = options.pop("embedder", LetterCountEmbedder())
+    return ans.answer_questions(
+        questions,
         corpus,
         docs.drop("lang"),
-        LetterCountEmbedder(),
+        embedder,
         FirstSourceGenerator(),
         now=F.lit(NOW).cast("timestamp"),
+        **options,
     )
+
+
+def answer_job(spark: SparkSession, d: str) -> DataFrame:
+    """Every user turn answered."""
+    job = _answer_job(spark, d, tb.text_questions(spark, d))
     listed = F.transform(
         F.col("answer.sources"),
         lambda s: F.concat(s["source"], F.lit(" "), s["score"].cast("string"), F.lit(" "), s["text"]),
@@ -260,6 +268,70 @@ def answer_job(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _with_blanks(spark: SparkSession, d: str) -> DataFrame:
+    """User turns, and a blank question for each conversation."""
+    blanks = tb.table(spark, d, "conversations").where("turn = 0").select(
+        F.concat(F.lit("blank-"), F.col("conv_id").cast("string")).alias("query_id"), F.lit(" \t ").alias("q")
+    )
+    return tb.text_questions(spark, d).unionByName(blanks)
+
+
+def _answer_cache(spark: SparkSession, d: str) -> DataFrame:
+    """The cache of opening questions, its answers as answer records."""
+    record = F.struct(
+        F.lit("cached").alias("question"),
+        F.col("answer"),
+        F.array().alias("sources"),
+        F.struct(
+            *[F.lit(None).alias(c) for c in ("internal_hits", "external_hits", "fused_results")],
+            *[F.lit(None).alias(c) for c in ("tokens_used", "model", "error_type", "error")],
+        ).alias("metadata"),
+        F.lit(None).alias("error"),
+    )
+    return _cache(spark, d).withColumn("answer", record.cast(ans.ANSWER_TYPE))
+
+
+def answer_job_cached(spark: SparkSession, d: str) -> DataFrame:
+    """Blank questions, hits, expired entries and misses in one job."""
+    job = _answer_job(spark, d, _with_blanks(spark, d), cache=_answer_cache(spark, d))
+    return job.answers.select(
+        "query_id", "cache_event", F.col("answer.answer").alias("answer"), F.col("answer.error").alias("error")
+    )
+
+
+class _PartlyFailing(LetterCountEmbedder):
+    """Stand-in whose service refuses questions with some letters."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        if any("q" in t for t in texts):
+            raise ConnectionError("no route")
+        if any("x" in t for t in texts):
+            raise RuntimeError("broken")
+        return super().embed(texts)
+
+
+def answer_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Failures of the embedding stage by kind, one question a call."""
+    job = _answer_job(
+        spark, d, tb.text_questions(spark, d), embedder=_PartlyFailing(), params=Params(embed_batch_size=1)
+    )
+    failed = job.answers.where("answer.error IS NOT NULL")
+    return failed.select(
+        "query_id",
+        F.col("answer.answer").alias("answer"),
+        F.col("answer.error").alias("error"),
+        F.col("answer.metadata.error_type").alias("error_type"),
+    )
+
+
+def answer_stages(spark: SparkSession, d: str) -> DataFrame:
+    """How many events each stage of the job wrote, by collection and status."""
+    events = _answer_job(spark, d, tb.text_questions(spark, d)).stage_events
+    return events.groupBy("stage", "collection", "status").agg(
+        F.count(F.lit(1)).alias("events"), F.sum("tokens").alias("tokens")
+    )
+
+
 QUERIES = {
     "topk_dot": _topk("dot"),
     "topk_cosine": _topk("cosine"),
@@ -286,6 +358,9 @@ QUERIES = {
     "json_messages": json_messages,
     "embed_batches": embed_batches,
     "answer_job": answer_job,
+    "answer_job_cached": answer_job_cached,
+    "answer_failures": answer_failures,
+    "answer_stages": answer_stages,
 }
 
 
@@ -518,4 +593,28 @@ SQL = {
             CASE WHEN {_strip_sql('q')} <> '' THEN length(regexp_replace(q, '[^a-z]', '', 'g')) END AS letters,
             CASE WHEN {_strip_sql('q')} <> '' THEN 26 END AS dim FROM pieces""",
     "answer_job": _ANSWER_SQL,
+    "answer_job_cached": f"""WITH {_KEYED_SQL}, {_CACHE_SQL}, made AS ({_ANSWER_SQL})
+        SELECT query_id, CASE WHEN fresh THEN 'hit' WHEN fresh IS NOT NULL THEN 'expired'
+                              ELSE 'miss' END AS cache_event,
+               CASE WHEN fresh THEN fresh.answer ELSE made.answer END AS answer, NULL AS error
+        FROM keyed LEFT JOIN fresh USING (cache_key) JOIN made USING (query_id)
+        UNION ALL
+        SELECT 'blank-' || conv_id, 'blank', {_q(tx.EMPTY_QUESTION_REPLY + chr(10) * 2 + tx.DISCLAIMER)},
+               {_q(tx.EMPTY_QUESTION_ERROR)} FROM conversations WHERE turn = 0""",
+    "answer_failures": f"""WITH {_KEYED_SQL},
+        e AS (SELECT query_id, CASE WHEN contains(question, 'q') THEN 'database'
+                     WHEN contains(question, 'x') THEN 'unexpected' END AS error_type FROM keyed)
+        SELECT query_id, error_type,
+               CASE error_type WHEN 'database' THEN {_q(tx.STAGE_FAILURE_REPLIES["database"] + chr(10) * 2 + tx.DISCLAIMER)}
+                    ELSE {_q(tx.STAGE_FAILURE_REPLIES["unexpected"] + chr(10) * 2 + tx.DISCLAIMER)} END AS answer,
+               CASE error_type WHEN 'database' THEN {_q(tx.STAGE_FAILURE_PREFIXES["database"] + "no route")}
+                    ELSE {_q(tx.STAGE_FAILURE_PREFIXES["unexpected"] + "broken")} END AS error
+        FROM e WHERE error_type IS NOT NULL""",
+    "answer_stages": f"""WITH a AS (SELECT DISTINCT question, fused_results, tokens_used FROM ({_ANSWER_SQL})),
+        s AS (SELECT CASE WHEN fused_results > 0 THEN 'ok' ELSE 'no_hits' END AS status, tokens_used FROM a),
+        k AS (SELECT 'embed' AS stage, NULL AS collection UNION ALL SELECT 'search', 'internal'
+              UNION ALL SELECT 'search', 'external' UNION ALL SELECT 'generate', NULL UNION ALL SELECT 'total', NULL)
+        SELECT stage, collection, status, count(*) AS events,
+               sum(CASE WHEN stage = 'generate' THEN tokens_used END)::BIGINT AS tokens
+        FROM s CROSS JOIN k WHERE stage <> 'generate' OR status = 'ok' GROUP BY ALL""",
 }

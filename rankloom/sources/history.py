@@ -26,7 +26,7 @@ def parse_history(lines: DataFrame, column: str) -> DataFrame:
     """``(timestamp, tokens, question)``; short lines are dropped.
 
     Only the first two bars separate, later ones belong to the question. Tokens
-    that are not all digits count as 0.
+    that are not all digits count as 0; a number beyond 64 bits is unknown (null).
     """
     parts = F.split(strip(F.col(column)), r"\|", 3)
     rest = [c for c in lines.columns if c != column]
@@ -36,7 +36,7 @@ def parse_history(lines: DataFrame, column: str) -> DataFrame:
         .select(
             *rest,
             F.col("_parts")[0].alias("timestamp"),
-            F.when(F.rlike(F.col("_parts")[1], F.lit("^[0-9]+$")), F.col("_parts")[1].cast("bigint"))
+            F.when(F.rlike(F.col("_parts")[1], F.lit("^[0-9]+$")), F.col("_parts")[1].try_cast("bigint"))
             .otherwise(F.lit(0).cast("bigint"))
             .alias("tokens"),
             F.col("_parts")[2].alias("question"),

@@ -38,14 +38,19 @@ def with_request_id(requests: DataFrame, started: str, ended: str) -> DataFrame:
 
 
 def stage_events(rows: DataFrame, ts: Column, model: Column, seconds: dict[str, Column]) -> DataFrame:
-    """One metrics event per stage that ran: ``(ts, stage, model, status, seconds, tokens)``.
+    """One metrics event per stage that ran: ``(ts, stage, model, status, seconds, tokens, collection)``.
 
     ``rows`` has ``status`` and ``tokens``; a stage without seconds did not run.
-    Tokens are booked on the generate stage.
+    Tokens are booked on the generate stage. A stage ``name/collection`` is an event of
+    stage ``name`` with that collection.
     """
     stages = F.array(
         *[
-            F.struct(F.lit(name).alias("stage"), value.cast("double").alias("seconds"))
+            F.struct(
+                F.lit(name.partition("/")[0]).alias("stage"),
+                F.lit(name.partition("/")[2] or None).cast("string").alias("collection"),
+                value.cast("double").alias("seconds"),
+            )
             for name, value in seconds.items()
         ]
     )
@@ -58,6 +63,7 @@ def stage_events(rows: DataFrame, ts: Column, model: Column, seconds: dict[str,
             "status",
             F.col("_s.seconds").alias("seconds"),
             F.when(F.col("_s.stage") == "generate", F.col("tokens")).alias("tokens"),
+            F.col("_s.collection").alias("collection"),
         )
     )
 

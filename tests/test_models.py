@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import text as tx
 from rankloom.operators import answers as ans
 from rankloom.operators import models as md
+from rankloom.plans.standins import LetterCountEmbedder
 from rankloom.params import Params
 from rankloom.sources import reqlog
 
@@ -129,7 +130,7 @@ def run(spark, embedder=None, generator=None, points=True, cache=None, **options
     payload = spark.createDataFrame([("p1", "x" * 600), ("p2", "kısa")], "point_id string, text string")
     return ans.answer_questions(
         questions, corpus if points else corpus.where("false"), payload,
-        embedder or md.LetterCountEmbedder(), generator or Scripted(),
+        embedder or LetterCountEmbedder(), generator or Scripted(),
         now=F.lit("2024-01-01 00:10:00").cast("timestamp"), cache=cache, **options,
     )
 
