@@ -61,10 +61,10 @@ def sustained_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def alert_descriptions(spark: SparkSession, d: str) -> DataFrame:
-    """Messages of the error alert with the value to three places."""
-    rounded = _samples(spark, d).where("metric = 'error_pct'").withColumn("value", F.round("value", 3))
+    """Messages of all alerts with the value to three places."""
+    rounded = _samples(spark, d).withColumn("value", F.round("value", 3))
     states = al.alert_states(al.apply_rules(rounded, RULES), rq.STEP).where("state = 'firing'")
-    return _naive(states, "eval_ts").select("alertname", "eval_ts", "description")
+    return _naive(states, "eval_ts").select("alertname", "severity", "series", "eval_ts", "description")
 
 
 def firing_intervals(spark: SparkSession, d: str) -> DataFrame:
@@ -119,13 +119,14 @@ QUERIES = {
 
 def _evaluations_sql(rounding: str = "") -> str:
     value = f"round(error_pct, {rounding})" if rounding else "error_pct"
+    p95 = f"round(p95, {rounding})" if rounding else "p95"
     rules = ", ".join(
         f"('{r.alertname}', '{r.metric}', {r.threshold}::DOUBLE, {r.for_seconds}, '{r.severity}')"
         for r in RULES
     )
     return f"""
     samples AS (
-        SELECT 'latency_p95' AS metric, event_type AS series, window_end AS eval_ts, p95 AS value
+        SELECT 'latency_p95' AS metric, event_type AS series, window_end AS eval_ts, {p95} AS value
         FROM ({rq.SQL["latency_p95"]})
         UNION ALL
         SELECT 'error_pct', 'all', window_end, {value} FROM ({rq.SQL["error_ratio"]})),
@@ -157,8 +158,9 @@ SQL = {
     "sustained_alerts": f"""{_HEAD} SELECT alertname, severity, series, eval_ts, state, active_since
         FROM states""",
     "alert_descriptions": f"""WITH {_evaluations_sql("3")}, {_STATES}
-        SELECT alertname, eval_ts, value || ' percent of requests fail' AS description
-        FROM firing WHERE alertname = 'HighErrorRate'""",
+        SELECT alertname, severity, series, eval_ts,
+               CASE alertname WHEN 'HighErrorRate' THEN value || ' percent of requests fail'
+                    ELSE 'p95 is ' || value || 's' END AS description FROM firing""",
     "firing_intervals": f"{_HEAD} SELECT * FROM spans",
     "inhibited_alerts": f"""{_HEAD} SELECT alertname, severity, series, fired_at, last_at FROM spans t
         WHERE NOT (severity = 'warning' AND EXISTS (SELECT 1 FROM spans c

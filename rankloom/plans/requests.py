@@ -194,13 +194,15 @@ def probe_hysteresis(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _history_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Stored history with bars inside questions, unreadable counts and short lines."""
+    """Stored history with bars inside questions, unreadable and endless counts and short lines."""
     said = tb.table(spark, d, "conversations")
     at = F.expr(
         "timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, 0, cast(conv_id as int), cast(turn as int), 0)"
     )
-    tokens = F.when(F.col("role") == "assistant", F.lit("n/a")).otherwise(
-        F.char_length("text").cast("string")
+    tokens = (
+        F.when(F.col("turn") == 2, F.lit("9" * 23))
+        .when(F.col("role") == "assistant", F.lit("n/a"))
+        .otherwise(F.char_length("text").cast("string"))
     )
     bars = F.regexp_replace("text", ",", "|")
     line = F.when(
@@ -548,10 +550,11 @@ SQL = {
         FROM m""",
     "history_parse": r"""WITH l AS (SELECT conv_id, turn,
             strftime(TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn), '%Y-%m-%d %H:%M:%S') AS stamp,
-            CASE WHEN role = 'assistant' THEN 'n/a' ELSE length(text)::VARCHAR END AS tokens,
+            CASE WHEN turn = 2 THEN repeat('9', 23) WHEN role = 'assistant' THEN 'n/a'
+                 ELSE length(text)::VARCHAR END AS tokens,
             replace(text, ',', '|') AS question FROM conversations WHERE turn <> 3)
         SELECT conv_id, turn, stamp AS timestamp,
-            CASE WHEN regexp_full_match(tokens, '[0-9]+') THEN tokens::BIGINT ELSE 0 END AS tokens,
+            CASE WHEN regexp_full_match(tokens, '[0-9]+') THEN TRY_CAST(tokens AS BIGINT) ELSE 0 END AS tokens,
             question FROM l""",
     "history_recent": """WITH r AS (SELECT user_id, event_id,
             row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place,

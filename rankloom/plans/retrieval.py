@@ -17,7 +17,7 @@ from rankloom.plans.standins import FirstSourceGenerator, LetterCountEmbedder
 
 TOP_K = 5
 DOT_THRESHOLD = 0.35
-STRICT_THRESHOLD = 0.5
+STRICT_THRESHOLD = 0.37
 
 
 def _hits(spark: SparkSession, d: str, metric: str = "dot", threshold: float | None = None) -> DataFrame:
@@ -55,13 +55,12 @@ def rrf_exclusive(spark: SparkSession, d: str) -> DataFrame:
 
 
 def retrieval_outcome(spark: SparkSession, d: str) -> DataFrame:
-    """Who finds a close neighbour in the external collection."""
+    """Who finds a close neighbour other than itself in either collection."""
     asked = tb.vector_questions(spark, d)
-    hits = search(
-        asked, tb.points(spark, d), TOP_K, "dot", STRICT_THRESHOLD, collections=["external"]
-    )
-    counts = fu.hit_counts(hits)
-    every = asked.select("query_id").join(counts, "query_id", "left")
+    hits = _hits(spark, d, "dot", STRICT_THRESHOLD)
+    others = hits.where(F.col("query_id").cast("string") != F.col("point_id"))
+    fused = fu.reciprocal_rank_fusion(others).groupBy("query_id").agg(F.count(F.lit(1)).alias("fused_results"))
+    every = asked.select("query_id").join(fused, "query_id", "left")
     return fu.retrieval_outcome(every.fillna(0))
 
 
@@ -530,7 +529,7 @@ SQL = {
     "rrf_exclusive": f"""WITH {_hits_sql()}, {_FUSED_SQL}
         SELECT query_id, point_id, fused_rank FROM fused WHERE source = 'external'""",
     "retrieval_outcome": f"""WITH {_hits_sql("dot", STRICT_THRESHOLD)}
-        SELECT CASE WHEN vec_id IN (SELECT query_id FROM hits WHERE collection = 'external')
+        SELECT CASE WHEN vec_id IN (SELECT query_id FROM hits WHERE point_id <> query_id::VARCHAR)
                     THEN 'hit' ELSE 'miss' END AS outcome, count(*) AS questions
         FROM embeddings GROUP BY 1""",
     "fused_context": f"""WITH {_hits_sql()}, {_FUSED_SQL}, {_TEXTS_SQL}
