@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from rankloom.functions.vectors import best_first, metric_name
 from rankloom.params import check_bound
+from rankloom.session import settle
 
 INTERNAL = "internal"
 EXTERNAL = "external"
@@ -38,6 +39,8 @@ BROADCAST_BYTES = 64 << 20
 _TILE_CELLS = 4 << 20
 # Points of one question block that share a join key.
 _CELL_BYTES = 1 << 30
+# What a question's id, and one of its hits, take in a Python task.
+_ID_BYTES, _HIT_BYTES = 64, 80
 
 
 def search(
@@ -60,7 +63,7 @@ def search(
     ``first_look`` may be any small part of ``points``, say one file. It is
     searched first; its k-th best scores are a lower bound on the final ones, so
     the tasks of the full scan send on only what can still win. The result is the
-    same with and without it.
+    same with and without it. It is used when the questions fit ``broadcast_bytes``.
     """
     check_bound("top_k", top_k)
     metric = metric_name(metric)
@@ -77,9 +80,10 @@ def search(
     id_type = questions.schema["query_id"].dataType
     options = _Options(top_k, metric, score_threshold)
 
-    head = _question_block(vectors, broadcast_bytes)
+    most = _questions_that_fit(vectors, top_k, broadcast_bytes)
+    head = _question_block(vectors, most)
     if head is None:
-        partial_hits = _joined_blocks(vectors, corpus, id_type, options, broadcast_bytes)
+        partial_hits = _joined_blocks(vectors, corpus, id_type, options, most)
     else:
         bars = {}
         if first_look is not None:
@@ -123,15 +127,22 @@ def _hit_schema(id_type: T.DataType) -> T.StructType:
     )
 
 
-def _question_block(vectors: DataFrame, budget: int) -> tuple[pa.Array, np.ndarray] | None:
-    """The question ids and matrix when they fit ``budget``, else ``None``."""
-    probe = vectors.select(F.size("embedding")).head()
-    if probe is None:
-        return pa.array([]), np.zeros((0, 0))
-    most = max(1, budget // (8 * max(1, probe[0])))
+def _questions_that_fit(vectors: DataFrame, top_k: int, budget: int) -> int:
+    """How many questions a task can hold: matrix, ids and ``top_k`` hits of each.
+
+    The widest vector counts, whatever its row's place.
+    """
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
+    return max(1, budget // (8 * width + _ID_BYTES + top_k * _HIT_BYTES))
+
+
+def _question_block(vectors: DataFrame, most: int) -> tuple[pa.Array, np.ndarray] | None:
+    """The question ids and matrix of up to ``most`` questions; ``None`` if there are more."""
     table = vectors.limit(most + 1).toArrow()
     if table.num_rows > most:
         return None
+    if not table.num_rows:
+        return pa.array([]), np.zeros((0, 0))
     return table.column("query_id").combine_chunks(), _matrix(table.column("embedding"))
 
 
@@ -150,16 +161,18 @@ def _bars(last_places: DataFrame, query_ids: pa.Array) -> dict[str, np.ndarray]:
 
 
 def _joined_blocks(
-    vectors: DataFrame, corpus: DataFrame, id_type: T.DataType, options: _Options, budget: int
+    vectors: DataFrame, corpus: DataFrame, id_type: T.DataType, options: _Options, per_lane: int
 ) -> DataFrame:
-    """Too many questions to ship: split them into hash blocks and shuffle.
+    """Too many questions to ship: split them into hash blocks of ``per_lane`` and shuffle.
+
+    The points are written down first: they are counted, sent and read again by retries.
 
     Every point block is sent once to each question block (``lane``). ``salt``
     spreads the point blocks of one lane over cells of bounded size, so no task
     grows with the corpus; a lane's question block is repeated once per salt.
     """
-    dim = vectors.select(F.size("embedding")).head()[0]
-    per_lane = max(1, min(4096, budget // (8 * max(1, dim))))
+    corpus = settle(corpus)
+    dim = vectors.agg(F.max(F.size("embedding"))).first()[0]
     lanes = max(1, -(-vectors.count() // per_lane))
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cell_rows = max(1, _CELL_BYTES // (4 * max(1, dim)))

@@ -1,8 +1,14 @@
-"""The event operators run as streams over the whole table; same SQL as in batch."""
+"""The event operators run as streams over the whole table; same SQL as in batch.
+
+The table is replayed in time order, slice by slice, as its log was written: in whatever
+files it lies, a slice is appended to a folder and the stream, started anew from its
+checkpoint, takes it in.
+"""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,59 +17,60 @@ from rankloom.plans import requests as rq
 from rankloom.plans import tables as tb
 from rankloom.session import ensure_checkpoint_dir
 from rankloom.streaming import folds, windows
-from rankloom.streaming.tables import append_stream, follow_table
+from rankloom.streaming.tables import append_stream, follow_table, in_time_order
 
 WATERMARK_MINUTES = 10
-# Bounds a micro-batch, and with it what a keyed fold sorts for one key at a time.
-FILES_PER_BATCH = 64
-
-
-def _events(spark: SparkSession, d: str) -> DataFrame:
-    schema = tb.table(spark, d, "events").schema
-    return follow_table(spark, d, schema, FILES_PER_BATCH, only_files="events.parquet")
+SLICES = 3
 
 
-def _drained(stream: DataFrame) -> DataFrame:
-    """Run a stream over what is there now and read the table it appended to."""
-    spark = stream.sparkSession
+def _replayed(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What the stream that ``build`` makes of the events has appended to its table."""
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    query = append_stream(stream, f"{base}/table", f"{base}/state", available_now=True)
-    query.awaitTermination()
+    events = tb.table(spark, d, "events")
+    for piece in in_time_order(events, "ts", SLICES):
+        piece.write.mode("append").parquet(f"{base}/log")
+        stream = build(follow_table(spark, f"{base}/log", events.schema))
+        append_stream(stream, f"{base}/table", f"{base}/state", available_now=True).awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/table")
 
 
+def _judged(out: DataFrame) -> DataFrame:
+    """Rows of a fold; in time order none is late, and one that were would be an error."""
+    late = F.raise_error(F.lit("a row came after its key's clock"))
+    return out.withColumn("late", F.when(F.col("late"), late)).where("late IS NULL").drop("late")
+
+
 def stream_rate_limit(spark: SparkSession, d: str) -> DataFrame:
-    out = _drained(
-        folds.stream_rate_limit(_events(spark, d), "event_type", "ts", "event_id", 2, rq.HOUR)
+    out = _replayed(
+        spark, d, lambda log: folds.stream_rate_limit(log, "event_type", "ts", "event_id", 2, rq.HOUR)
     )
-    return out.withColumn("ts", tb.naive("ts")).drop("late")
+    return _judged(out).withColumn("ts", tb.naive("ts"))
 
 
 def stream_ttl_cache(spark: SparkSession, d: str) -> DataFrame:
-    out = _drained(
-        folds.stream_ttl_cache(_events(spark, d), "user_id", "ts", "event_id", 6 * rq.HOUR)
+    out = _replayed(
+        spark, d, lambda log: folds.stream_ttl_cache(log, "user_id", "ts", "event_id", 6 * rq.HOUR)
     )
-    return out.withColumn("ts", tb.naive("ts")).drop("late")
+    return _judged(out).withColumn("ts", tb.naive("ts"))
 
 
 def stream_outage_monitor(spark: SparkSession, d: str) -> DataFrame:
-    out = _drained(
-        folds.stream_outage_events(
-            _events(spark, d), "event_type", "ts", "event_id", F.expr(rq._OK), 3, 60,
-            (22 * 60, 6 * 60),
-        )
-    )
-    return out.select("event_type", "event_id", "event")
+    def watched(log: DataFrame) -> DataFrame:
+        quiet = (22 * 60, 6 * 60)
+        return folds.stream_outage_events(log, "event_type", "ts", "event_id", F.expr(rq._OK), 3, 60, quiet)
+
+    return _judged(_replayed(spark, d, watched)).select("event_type", "event_id", "event")
 
 
 def stream_event_rate(spark: SparkSession, d: str) -> DataFrame:
     """Windows the watermark has closed."""
-    out = _drained(
-        windows.stream_event_rate(
-            _events(spark, d), "ts", ["event_type"], rq.WINDOW, rq.STEP, f"{WATERMARK_MINUTES} minutes"
-        )
-    )
+
+    def rates(log: DataFrame) -> DataFrame:
+        patience = f"{WATERMARK_MINUTES} minutes"
+        return windows.stream_event_rate(log, "ts", ["event_type"], rq.WINDOW, rq.STEP, patience)
+
+    out = _replayed(spark, d, rates)
     return out.withColumn("window_start", tb.naive("window_start")).withColumn(
         "window_end", tb.naive("window_end")
     )

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import OrderedDict, deque
 from datetime import datetime, timedelta
@@ -383,3 +384,28 @@ def test_silences(spark):
     quiet = al.Silence({"alertname": "HighX", "series": "c.*"}, str(at(0)), str(at(10)))
     assert al.apply_silences(data, [quiet]).count() == 3
     assert al.apply_silences(data, []).count() == 4
+
+
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.95, 1.0])
+def test_exact_quantile(spark, q):
+    """The row at the rank, also where a group holds over a million values."""
+    n = 1_200_000
+    values = spark.range(n).select(
+        F.lit("many").alias("k"), (F.pmod(F.xxhash64("id"), F.lit(10**9)) / 7.0).alias("v")
+    )
+    few = spark.createDataFrame(
+        [("few", float(v)) for v in (5, 1, 1, 3, 9)] + [("one", 2.0), ("none", None), (None, 4.0), (None, None)],
+        "k string, v double",
+    )
+    got = {r.k: r["quantile"] for r in mx.exact_quantile(values.unionByName(few), F.col("v"), q, ["k"]).collect()}
+    rank = lambda some: sorted(some)[max(1, math.ceil(q * len(some))) - 1]
+    assert got["few"] == rank([5.0, 1.0, 1.0, 3.0, 9.0]) and got["one"] == 2.0 and got[None] == 4.0
+    assert "none" not in got
+    every = [r.v for r in values.select("v").toLocalIterator(prefetchPartitions=True)] if q == 0.95 else None
+    if every:
+        assert got["many"] == rank(every)
+
+
+def test_exact_quantile_without_labels(spark):
+    rows = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "v double")
+    assert [r["quantile"] for r in mx.exact_quantile(rows, F.col("v"), 0.5, []).collect()] == [2.0]

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from rankloom.functions import text as tx
 from rankloom.operators import answers as ans
 from rankloom.operators import models as md
-from rankloom.plans.standins import LetterCountEmbedder
 from rankloom.params import Params
+from rankloom.plans.standins import LetterCountEmbedder
 from rankloom.sources import reqlog
 
 
@@ -47,7 +47,7 @@ class Scripted:
         return "cevap", 12
 
 
-def test_single_embed(tmp_path):
+def test_single_embed(spark, tmp_path):
     e = Counting(tmp_path / "c")
     assert md.embed("  Test text ", e) == [9.0, 1.0]
     assert md.embed("a" * 10000, e)[0] == 8000.0
@@ -75,7 +75,7 @@ def test_retry_waits():
     assert len(tries) == 3 and waits == [0.2, 0.4]
 
 
-def test_list_embed(tmp_path):
+def test_list_embed(spark, tmp_path):
     e = Counting(tmp_path / "c")
     assert len(md.embed_batch(["text1", "", "text2", "   "], e)) == 2
     assert len(md.embed_batch([f"text{i}" for i in range(25)], e, 10)) == 25
@@ -155,7 +155,11 @@ def test_answer_job(spark):
     assert got[4].answer.metadata.error == "Empty question" and got[4].answer.sources == []
     assert job.cache_entries.count() == 2
     stages = {(r.stage, r.tokens) for r in job.stage_events.collect()}
-    assert stages == {("embed", None), ("generate", 12)}
+    assert stages == {("embed", None), ("search", None), ("generate", 12), ("total", None)}
+    searched = [(r.collection, r.seconds >= 0) for r in job.stage_events.where("stage = 'search'").collect()]
+    assert sorted(searched) == [("external", True)] * 2 + [("internal", True)] * 2
+    for r in job.stage_events.groupBy("stage").agg(F.sum("seconds").alias("s")).collect():
+        assert r.s >= 0
 
 
 def test_cache_round_trip(spark, tmp_path):
@@ -240,3 +244,59 @@ def test_stage_events_table(spark, tmp_path):
     reqlog.append_events(out, str(tmp_path / "events"))
     reqlog.append_events(out, str(tmp_path / "events"))
     assert spark.read.parquet(str(tmp_path / "events")).count() == 2
+
+
+class Slow:
+    """Embedder that takes longer than an entry of the test below has left to live."""
+
+    def embed(self, texts):
+        import time
+
+        time.sleep(4)
+        return [[float(len(t)), 1.0] for t in texts]
+
+
+def test_entries_that_expire_meanwhile_are_answered(spark, tmp_path):
+    """On the real clock: the entry is fresh at the start and expired at the end."""
+    path = str(tmp_path / "cache")
+    stored = run(spark, Length()).cache_entries
+    left = F.current_timestamp() - F.expr("interval 7 seconds")
+    one = stored.where("answer.question = 'iki'").withColumn("set_ts", left)
+    ans.append_cache(one, path)
+    questions = spark.createDataFrame([(1, "iki"), (2, "yeni soru"), (3, " ")], "query_id long, q string")
+    corpus = spark.createDataFrame([("p1", "internal", [3.0, 1.0])], "point_id string, collection string, embedding array<double>")
+    payload = spark.createDataFrame([("p1", "x")], "point_id string, text string")
+    job = ans.answer_questions(
+        questions, corpus, payload, Slow(), Scripted(), cache=spark.read.parquet(path),
+        params=Params(cache_ttl_seconds=10),
+    )
+    for _ in range(2):
+        got = {r.query_id: (r.cache_event, r.answer is not None) for r in job.answers.collect()}
+        assert got[2] == ("miss", True) and got[3] == ("blank", True)
+        assert got[1][1] and len(got) == 3
+    times = {r.set_ts for r in job.cache_entries.collect()}
+    assert len(times) == 1 and times == {r.set_ts for r in job.cache_entries.collect()}
+
+
+def test_cache_entries_of_the_future_and_ties(spark):
+    rows = [("a", "2024-01-01 00:00:05", "x"), ("a", "2024-01-01 00:00:05", "y"), ("b", "2024-01-01 00:00:50", "z")]
+    cache = spark.createDataFrame(rows, "cache_key string, set_ts string, answer string")
+    now = F.lit("2024-01-01 00:00:10")
+    for kind in ("timestamp", "timestamp_ntz"):
+        table = cache.withColumn("set_ts", F.col("set_ts").cast(kind))
+        found = ans.fresh_entries(table, now.cast(kind), 60).collect()
+        assert [tuple(r) for r in found] == [("a", "y")]
+
+
+def test_vectors_are_made_once(spark, tmp_path):
+    """A corpus that a search reads from an embedding is not embedded again."""
+    e = Counting(tmp_path / "calls")
+    rows = spark.createDataFrame([(f"p{i}", "t" * i) for i in range(1, 9)], "point_id string, text string")
+    corpus = md.embed_texts(rows, "text", e, 100).withColumn("collection", F.lit("internal"))
+    before = sum(e.calls())
+    q = spark.createDataFrame([(1, [1.0, 1.0])], "query_id long, embedding array<double>")
+    for budget in (1, 1 << 20):
+        from rankloom.operators.similarity import search
+
+        assert search(q, corpus, 3, broadcast_bytes=budget).count() == 3
+    assert sum(e.calls()) == before == 8

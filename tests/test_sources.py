@@ -99,3 +99,9 @@ def test_request_ids(spark):
     rows = spark.createDataFrame([(datetime(2024, 1, 1, 0, 0, 0), datetime(2024, 1, 1, 0, 0, 1, 500000))] * 3, "a timestamp, b timestamp")
     out = reqlog.with_request_id(rows, "a", "b").collect()
     assert [r.duration_ms for r in out] == [1500.0] * 3 and len({r.request_id for r in out}) == 3
+
+
+def test_history_with_endless_numbers(spark):
+    lines = [("t|" + "9" * 23 + "|q",), ("t|" + "0" * 40 + "7|q",), ("t|12|a|b",), ("t|-1|q",)]
+    rows = hist.parse_history(spark.createDataFrame(lines, "value string"), "value").collect()
+    assert [(r.tokens, r.question) for r in rows] == [(None, "q"), (7, "q"), (12, "a|b"), (0, "q")]

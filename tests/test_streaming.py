@@ -167,3 +167,30 @@ def test_events_to_alert_states(spark, feed, tmp_path):
     same(got, batch.select(got.columns))
     every = mx.event_rate(rows, "ts", ["k"], 120, 60)
     assert 0.9 * every.count() < spark.read.parquet(closed).count() <= every.count()
+
+
+@pytest.fixture(scope="module")
+def shuffled_table(spark, tmp_path_factory):
+    """The events in several files that each span the whole time."""
+    folder = tmp_path_factory.mktemp("tables")
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(5, F.xxhash64("event_id")).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["stream_rate_limit", "stream_ttl_cache", "stream_outage_monitor", "stream_event_rate"])
+def test_registered_streams_on_any_layout(spark, shuffled_table, name):
+    from rankloom.plans import streams
+
+    run = streams.QUERIES[name]
+    got = sorted(map(tuple, run(spark, shuffled_table).collect()))
+    assert got and got == sorted(map(tuple, run(spark, "/root/testdata/sf0.001").collect()))
+
+
+def test_slices_in_time_order(spark, feed):
+    _, rows = feed
+    parts = [[r.ts for r in p.collect()] for p in tables.in_time_order(rows, "ts", 4)]
+    assert len(parts) == 4 and sum(map(len, parts)) == 600
+    assert all(max(a) < min(b) for a, b in zip(parts, parts[1:]))
+    assert [p.count() for p in tables.in_time_order(rows.limit(0), "ts", 4)] == [0]
+    assert [p.count() for p in tables.in_time_order(rows, "ts", 1)] == [600]
