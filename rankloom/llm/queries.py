@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, decontaminate, exact_dedup, language, pii, repeats, secret_scan, simhash, token_counts, warc
+from rankloom.llm import bpe, decontaminate, exact_dedup, language, oracles, pii, repeats, secret_scan, simhash, token_counts, warc
 from rankloom.plans.tables import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -48,7 +48,9 @@ def op2_secrets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, d: str) -> DataFrame:
-    return warc.archived_pages(table(spark, d, "pages"))
+    return warc.archived_pages(table(spark, d, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
 
 
 def op4_decontamination(spark: SparkSession, d: str) -> DataFrame:
@@ -104,15 +106,9 @@ QUERIES = {
 }
 
 SQL = {
-    "op5_exact_dedup": r"""
-        WITH rows AS (
-            SELECT doc_id, length(coalesce(text, '')) AS n,
-                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS normal
-            FROM documents),
-        classes AS (
-            SELECT normal, count(*) AS group_size,
-                   arg_min(doc_id, (-n, doc_id)) AS keep_id
-            FROM rows GROUP BY normal)
-        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(normal) AS text_sha256
-        FROM rows JOIN classes USING (normal)""",
+    "op2_secrets": oracles.SECRETS,
+    "op3_warc": oracles.WARC,
+    "op4_decontamination": oracles.LEAKS,
+    "op5_exact_dedup": oracles.EXACT_DEDUP,
+    "op9_suffix_arrays": oracles.REPEATS,
 }
