@@ -82,7 +82,8 @@ def _items(items: DataFrame, width: int) -> DataFrame:
         own = rows.where(F.size("words") >= k if k == width else F.size("words") == k)
         own = own.select("item_id", "item_key", F.lit(k).alias("width"), _shingles(k).alias("all"))
         parts = own if parts is None else parts.unionAll(own)
-    parts = parts.select("item_id", "item_key", "width", F.size("all").alias("size"), F.explode_outer("all").alias("hash"))
+    size, each = F.size("all").alias("size"), F.explode_outer("all").alias("hash")
+    parts = parts.select("item_id", "item_key", "width", size, each)
     return parts.groupBy("item_id", "item_key", "width", "size", "hash").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -101,7 +102,8 @@ def _index(items: DataFrame, similarity: float) -> DataFrame:
     blocks = prints.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("block"))
     blocks = blocks.withColumn("known", _block("certain"))
     best = blocks.groupBy("item_key").agg(F.max_by("block", F.struct(F.bit_count("known"), "block")).alias("block"))
-    values = blocks.join(best, ["item_key", "block"]).select("*", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("value"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(255))).alias("value")
+    values = blocks.join(best, ["item_key", "block"]).select("*", every)
     return values.where((_block("print").bitwiseXOR(F.col("value"))).bitwiseAND(F.col("known")) == 0).drop("known")
 
 
@@ -136,7 +138,8 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, width: int
     Items may have up to 65,535 shingles each.
     """
     own_items = written(_items(items, width), "items")
-    shingles = own_items.select("item_key", "width", F.col("size").alias("item_size"), "hash", F.col("n").alias("item_n"))
+    renamed = F.col("size").alias("item_size"), F.col("n").alias("item_n")
+    shingles = own_items.select("item_key", "width", "hash", *renamed)
     widths = [r[0] for r in own_items.select("width").distinct().collect()]
     send = F.broadcast if own_items.count() <= SENT_SHINGLES else (lambda table: table)
     index = written(_index(own_items, similarity), "item-index")
@@ -185,9 +188,8 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, width: int
     common = shared.groupBy(*_WINDOW, "item_key", "item_size").agg(F.sum(F.least("n", "item_n")).alias("common"))
     alike = common.withColumn("similarity", F.col("common") / (F.col("size") + F.col("item_size") - F.col("common")))
     alike = alike.where(F.col("similarity") >= similarity - 1e-12)
-    best = alike.groupBy(*_DOC, "item_key").agg(
-        F.max(F.struct("similarity", (-F.col("start")).alias("back"), (F.col("size") + F.col("width") - 1).alias("words"))).alias("b")
-    )
+    back, words = (-F.col("start")).alias("back"), (F.col("size") + F.col("width") - 1).alias("words")
+    best = alike.groupBy(*_DOC, "item_key").agg(F.max(F.struct("similarity", back, words)).alias("b"))
     names = own_items.select("item_key", "item_id").distinct()
     return best.join(send(names), "item_key").select(
         "doc_id", "item_id", (-F.col("b.back")).alias("start"), "b.words", "b.similarity", "text_key"

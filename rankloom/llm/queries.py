@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, decontaminate, exact_dedup, language, oracles, pii, repeats, secret_scan, simhash, token_counts, warc
+from rankloom.llm import (
+    bpe,
+    decontaminate,
+    exact_dedup,
+    language,
+    oracles,
+    pii,
+    repeats,
+    secret_scan,
+    simhash,
+    token_counts,
+    warc,
+)
 from rankloom.plans.tables import table
 
 BYTE_BPE = "byte_bpe_50k.json"

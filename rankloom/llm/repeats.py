@@ -204,7 +204,8 @@ class Family:
 def _span_rows(docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """Documents and their spans ``(start, end)`` of bytes, merged, as 32-bit numbers."""
     order = np.lexsort((starts, docs))
-    docs, starts, ends = docs[order], starts[order].astype(np.int64), (starts[order] + sizes[order].astype(np.int64) + WIDTH - 1)
+    docs, starts, sizes = docs[order], starts[order].astype(np.int64), sizes[order].astype(np.int64)
+    ends = starts + sizes + WIDTH - 1
     if not len(docs):
         return docs, []
     # Ends grow along with starts but for runs within runs, so carry the largest within a document.
@@ -286,14 +287,14 @@ def _found(dealt: DataFrame) -> DataFrame:
     """Settled spans, and open runs with ``spans`` null, from what the batches sent."""
 
     def spans(docs: np.ndarray, contents: list[bytes]) -> pa.RecordBatch:
-        nothing = pa.nulls(len(contents), pa.int32())
-        return pa.record_batch(
-            [pa.array(docs, pa.int64()), pa.nulls(len(contents), pa.int64()), nothing, nothing, nothing, pa.array(contents, pa.binary())],
-            schema=_FOUND,
-        )
+        key, nothing = pa.nulls(len(contents), pa.int64()), pa.nulls(len(contents), pa.int32())
+        found = pa.array(contents, pa.binary())
+        columns = [pa.array(docs, pa.int64()), key, nothing, nothing, nothing, found]
+        return pa.record_batch(columns, schema=_FOUND)
 
     def open_(runs: np.ndarray) -> pa.RecordBatch:
-        numbers = [runs["doc"], runs["key"].view(np.int64), *(runs[n].astype(np.int32) for n in ("start", "lead", "size"))]
+        numbers = [runs["doc"], np.ascontiguousarray(runs["key"]).view(np.int64)]
+        numbers += [runs[name].astype(np.int32) for name in ("start", "lead", "size")]
         return pa.record_batch([*map(pa.array, numbers), pa.nulls(len(runs), pa.binary())], schema=_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +329,8 @@ def _found(dealt: DataFrame) -> DataFrame:
 
 def _packed(docs: DataFrame) -> DataFrame:
     """Texts as compressed bytes, for the shuffles that they take."""
-    rows = docs.select(_id().alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), whole_text().cast("binary").alias("text"))
+    text, no_id = whole_text().cast("binary").alias("text"), F.col("doc_id").isNull().alias("no_id")
+    rows = docs.select(_id().alias("doc_id"), no_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
@@ -336,7 +338,8 @@ def _packed(docs: DataFrame) -> DataFrame:
             data, bounds = flat_bytes(batch.column(2))
             cuts = bounds.tolist()
             packed = [pack.compress(data[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "no_id", "packed"])
+            columns = [batch.column(0), batch.column(1), pa.array(packed, pa.binary())]
+            yield pa.record_batch(columns, ["doc_id", "no_id", "packed"])
 
     return rows.mapInArrow(run, "doc_id bigint, no_id boolean, packed binary")
 

@@ -194,7 +194,8 @@ def write_arc(pages: DataFrame, folder: str) -> None:
         " ", url, F.lit("0.0.0.0"), F.lit("20240101000000"), F.lit("text/html"), F.lit("200"),
         F.lit(_MISSING), F.lit(_MISSING), page, F.lit("pages.arc"), F.octet_length(body).cast("string"),
     )
-    about = "2 0 rankloom\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n"
+    names = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename"
+    about = f"2 0 rankloom\n{names} Archive-length\n"
     first = F.lit(f"filedesc://pages.arc 0.0.0.0 20240101000000 text/plain {len(about)}\n{about}")
     # Each record comes with its own version block, so that files may be cut anywhere.
     rows = pages.select(F.concat(first, line, F.lit("\n"), body).alias("value"))
@@ -254,7 +255,8 @@ def revisits(records: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
     first = large.groupBy("sha256", "bytes").agg(
         F.max(F.struct("page_id", "name")).alias("first"), F.count(F.lit(1)).alias("members")
     )
-    first = written(first.where("members > 1").select("sha256", "bytes", F.col("first.name").alias("refers_to")), "responses")
+    first = first.where("members > 1").select("sha256", "bytes", F.col("first.name").alias("refers_to"))
+    first = written(first, "responses")
     found = large.join(first, ["sha256", "bytes"]).where("name <> refers_to")
     return found.select("path", "name", "refers_to").distinct()
 
@@ -263,7 +265,8 @@ def convert(spark: SparkSession, arc_folder: str, warc_folder: str, least_bytes:
     """Write the records of all ARC files of a folder as WARC files."""
     repeats = revisits(arc_records(spark, arc_folder), least_bytes)
     # A file holds a bounded number of records, and so does its list.
-    lists = repeats.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("name", "refers_to"))).alias("refers"))
+    pairs = F.collect_list(F.struct("name", "refers_to"))
+    lists = repeats.groupBy("path").agg(F.map_from_entries(pairs).alias("refers"))
     files = _files(spark, arc_folder).join(lists, "path", "left").select(
         "content",
         F.map_keys("refers").alias("names"),
@@ -329,7 +332,10 @@ def archived_pages(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFr
     write_arc(pages, arc)
     convert(spark, arc, warc, least_bytes)
     records = written(read_archives(spark, warc), "warc-index")
-    targets = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to")).distinct()
+    targets = records.where("record_type = 'response'").select(
+        F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to")
+    )
+    targets = targets.distinct()
     targets = written(targets, "warc-targets")
     return records.join(targets, "refers_id", "left").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
