@@ -80,11 +80,24 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows that repeat, one."""
-    kept = exact_duplicates(docs).where("kept").select("doc_id", "text_sha256").distinct()
-    kept = written(kept, "kept")
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col("a.text"), F.lit("")), f"{BLANKS}+", ""), 256)
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (sha == F.col("b.text_sha256"))
+    """The rows of ``docs`` that stay, with all their columns; of rows that repeat, one.
+
+    Rows that go are fewer than those that stay, so their ids are what the texts meet.
+    Rows without ``doc_id`` and ids of several rows are told apart by their text.
+    """
+    verdicts = written(exact_duplicates(docs).select("doc_id", "kept", "text_sha256"), "verdicts")
+    by_id = verdicts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_and("kept").alias("kept"))
+    several = (F.col("rows") > 1) | F.col("doc_id").isNull()
+    odd = written(by_id.where(several).select("doc_id"), "odd-ids")
+    gone = written(by_id.where(several | ~F.col("kept")).select("doc_id"), "gone")
+    same_id = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
+    stay = docs.alias("a").join(gone.alias("b"), same_id, "left_anti")
+    if odd.isEmpty():
+        return stay
     row = F.struct(*[F.col(f"a.`{name}`") for name in docs.columns]).alias("row")
-    found = docs.alias("a").join(kept.alias("b"), same).select(row, "b.doc_id", "b.text_sha256")
-    return found.dropDuplicates(["doc_id", "text_sha256"]).select("row.*")
+    sha = F.sha2(F.regexp_replace(F.coalesce(F.col("a.text"), F.lit("")), f"{BLANKS}+", ""), 256)
+    texts = docs.alias("a").join(odd.alias("b"), same_id, "left_semi").select(row, sha.alias("sha"))
+    kept = verdicts.where("kept").select("doc_id", "text_sha256").distinct()
+    same = F.col("row.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("sha") == F.col("k.text_sha256"))
+    told = texts.join(kept.alias("k"), same).select("row", "k.doc_id", "k.text_sha256")
+    return stay.unionAll(told.dropDuplicates(["doc_id", "text_sha256"]).select("row.*"))

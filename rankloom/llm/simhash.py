@@ -269,10 +269,10 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, radius: int = 3) -> Da
 def one_of_each(docs: DataFrame, words_each: int = 3, radius: int = 3) -> DataFrame:
     """The rows of ``docs`` with their component's smallest ``doc_id``, with all their columns.
 
-    A row without ``doc_id`` stays if nobody else has its print.
+    Rows that go are fewer than those that stay, so their ids are what the texts meet.
+    Rows without ``doc_id`` stay.
     """
     found = near_duplicates(docs, words_each, radius)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    first = written(first, "first")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
-    return docs.alias("a").join(first.alias("b"), same, "left_semi")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    same = F.col("a.doc_id") == F.col("b.doc_id")
+    return docs.alias("a").join(written(gone, "gone").alias("b"), same, "left_anti")
