@@ -9,6 +9,7 @@ from rankloom.operators.answers import (
 )
 from rankloom.operators.cache_replay import cache_stats
 from rankloom.operators.fusion import reciprocal_rank_fusion
+from rankloom.operators.ingest import chunks
 from rankloom.operators.models import embed, embed_batch, embed_texts, generate_answers
 from rankloom.operators.similarity import search
 from rankloom.sources.collections import collection_exists, get_collection_info
@@ -16,6 +17,7 @@ from rankloom.sources.collections import collection_exists, get_collection_info
 __all__ = [
     "answer_questions",
     "cache_stats",
+    "chunks",
     "collection_exists",
     "embed",
     "embed_batch",

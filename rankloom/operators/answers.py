@@ -14,7 +14,7 @@ from rankloom.operators import context as ctx
 from rankloom.operators.fusion import hit_counts, reciprocal_rank_fusion
 from rankloom.operators.models import Embedder, Generator, embed_distinct, generate_answers
 from rankloom.operators.similarity import COLLECTIONS, search
-from rankloom.params import Params, effective_top_k
+from rankloom.params import Params, check_bound, effective_top_k
 from rankloom.session import settle
 from rankloom.sources.reqlog import stage_events
 
@@ -78,6 +78,7 @@ def cache_lookup(keyed: DataFrame, cache: DataFrame, now: Column, ttl_seconds: i
     Old entries are needed to tell expired from miss only, so their answers are
     not read.
     """
+    check_bound("cache_ttl_seconds", ttl_seconds)
     fresh = fresh_entries(cache, now, ttl_seconds).withColumn("_fresh", F.lit(True))
     seen = F.col("set_ts") <= now.cast(cache.schema["set_ts"].dataType)
     known = cache.where(seen).select("cache_key").distinct().withColumn("_known", F.lit(True))
@@ -96,6 +97,7 @@ def cache_lookup(keyed: DataFrame, cache: DataFrame, now: Column, ttl_seconds: i
 
 def cache_misses(keyed: DataFrame, cache: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
     """Questions without a fresh cache entry."""
+    check_bound("cache_ttl_seconds", ttl_seconds)
     fresh = fresh_entries(cache, now, ttl_seconds)
     return keyed.join(fresh.select("cache_key"), "cache_key", "left_anti")
 

@@ -180,7 +180,11 @@ def sampled_rate(
     window_seconds: int,
     step_seconds: int,
 ) -> DataFrame:
-    """Rate of sampled counters; a falling sample is a restart and counts in full."""
+    """Rate of sampled counters; a falling sample is a restart and counts in full.
+
+    Each rise is booked at the later of its two samples, so the rise since the last
+    sample before a window belongs to the window.
+    """
     before = carry_last(samples, series, ts, order, F.col(value), "_before", exclusive=True)
     grown = before.withColumn(
         "_delta",

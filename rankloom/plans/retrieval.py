@@ -9,6 +9,7 @@ from rankloom.functions import text as tx
 from rankloom.operators import answers as ans
 from rankloom.operators import context as ctx
 from rankloom.operators import fusion as fu
+from rankloom.operators.ingest import chunks
 from rankloom.operators.models import embed_texts
 from rankloom.operators.similarity import search
 from rankloom.params import Params
@@ -18,6 +19,7 @@ from rankloom.plans.standins import FirstSourceGenerator, LetterCountEmbedder
 TOP_K = 5
 DOT_THRESHOLD = 0.35
 STRICT_THRESHOLD = 0.37
+CHUNK_CHARS, CHUNK_OVERLAP = 500, 50
 
 
 def _hits(spark: SparkSession, d: str, metric: str = "dot", threshold: float | None = None) -> DataFrame:
@@ -222,6 +224,10 @@ def json_messages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def document_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunks(tb.table(spark, d, "documents"), "doc_id", "text", CHUNK_CHARS, CHUNK_OVERLAP)
+
+
 def embed_batches(spark: SparkSession, d: str) -> DataFrame:
     """Letters counted by the stand-in embedder; blank pieces keep a null."""
     pieces = embed_texts(_sentences(spark, d), "q", LetterCountEmbedder())
@@ -355,6 +361,7 @@ QUERIES = {
     "previews": previews,
     "json_requests": json_requests,
     "json_messages": json_messages,
+    "document_chunks": document_chunks,
     "embed_batches": embed_batches,
     "answer_job": answer_job,
     "answer_job_cached": answer_job_cached,
@@ -587,6 +594,10 @@ SQL = {
         FROM conversations""",
     "json_messages": """SELECT conv_id, turn, json_object('text', text)::VARCHAR AS message
         FROM conversations""",
+    "document_chunks": f"""WITH p AS (SELECT doc_id, text, unnest(range(0, length(text))) AS pos FROM documents)
+        SELECT doc_id, pos::INT AS pos,
+               substring(text, pos * {CHUNK_CHARS - CHUNK_OVERLAP} + 1, {CHUNK_CHARS}) AS chunk
+        FROM p WHERE pos = 0 OR pos * {CHUNK_CHARS - CHUNK_OVERLAP} + {CHUNK_OVERLAP} < length(text)""",
     "embed_batches": f"""WITH {_SENTENCES_SQL}
         SELECT src, pos,
             CASE WHEN {_strip_sql('q')} <> '' THEN length(regexp_replace(q, '[^a-z]', '', 'g')) END AS letters,

@@ -105,3 +105,22 @@ def test_history_with_endless_numbers(spark):
     lines = [("t|" + "9" * 23 + "|q",), ("t|" + "0" * 40 + "7|q",), ("t|12|a|b",), ("t|-1|q",)]
     rows = hist.parse_history(spark.createDataFrame(lines, "value string"), "value").collect()
     assert [(r.tokens, r.question) for r in rows] == [(None, "q"), (7, "q"), (12, "a|b"), (0, "q")]
+
+
+def test_chunks(spark):
+    from rankloom.operators.ingest import chunks
+
+    texts = [None, "", "abc", "0123456789", "0123456789a", "é💥\nx" * 9, "x" * 61]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    for size, overlap in ((10, 3), (10, 0), (4, 2)):
+        got = sorted(map(tuple, chunks(rows, "k", "t", size, overlap).collect()))
+        step = size - overlap
+        want = [
+            (k, i, t[i * step : i * step + size])
+            for k, t in enumerate(texts)
+            for i in range(len(t or ""))
+            if i == 0 or i * step + overlap < len(t)
+        ]
+        assert got == sorted(want)
+    with pytest.raises(ValueError):
+        chunks(rows, "k", "t", 5, 3)
