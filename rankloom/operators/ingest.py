@@ -24,7 +24,8 @@ def chunks(
 
     def whole(piece: Column, at: Column) -> Column:
         after = F.coalesce(F.get("_steps", at + 1), F.lit(""))
-        return F.when((at == 0) | (F.char_length(piece) > overlap), F.concat(piece, F.left(after, F.lit(overlap))))
+        adds = (at == 0) | (F.char_length(piece) + F.char_length(after) > overlap)
+        return F.when(adds, F.concat(piece, F.left(after, F.lit(overlap))))
 
     # The outer form: for the other a filter is inferred that cuts the texts a second time.
     pieces = steps.select(key, F.posexplode_outer(F.transform("_steps", whole)).alias("pos", "chunk"))
