@@ -8,6 +8,21 @@ from rankloom.llm import queries
 from rankloom.llm import secret_scan as ss
 
 
+# The base kinds as the contract has them: pattern, group, least length.
+BASE = [
+    (r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
+    (r"AKIA[A-Z0-9]+", 0, 18),
+    (r"[0-9a-f]+", 0, 16),
+]
+
+
+def test_base_rules_equal_the_contract(texts):
+    for text in [*texts, "AKIAAKIA" + "A" * 9, "AKIAAKIA" + "A" * 10, "xAKIA0123456789ABCDx", "f" * 15, "F" + "f" * 16 + "g"]:
+        for k, (pattern, group, least) in enumerate(BASE):
+            want = [m.span() for m in re.finditer(pattern, text, re.ASCII) if len(m[group]) >= least]
+            assert [(a, b) for a, j, _, b in spans_of(text) if j == k] == want
+
+
 def spans_of(text, rules=ss.RULES):
     out = []
     for k, rule in enumerate(rules):
