@@ -152,9 +152,10 @@ def candidates(rows: DataFrame, queries: dict[str, list[Clause]]) -> DataFrame:
         for a, alternative in enumerate(sorted(clause, key=sorted))
         for trigram in alternative
     ]
-    spark = rows.sparkSession
-    schema = "trigram string, kind string, clause int, alternative int, grams int, clauses int"
-    parts_of = F.broadcast(spark.createDataFrame(wanted, schema))
+    names = ["trigram", "kind", "clause", "alternative", "grams", "clauses"]
+    listed = [F.struct(*[F.lit(value).alias(name) for name, value in zip(names, w)]) for w in wanted]
+    one = rows.sparkSession.range(1)
+    parts_of = F.broadcast(one.select(F.explode(F.array(*listed)).alias("w")).select("w.*"))
     lists = postings(rows, sorted({w[0] for w in wanted}))
     held = lists.join(parts_of, "trigram").groupBy(
         "row_key", "kind", "clauses", "clause", "alternative", "grams"
