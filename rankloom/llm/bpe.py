@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import arrow_schema, flat_bytes, whole_text, with_id
+from rankloom.llm.common import arrow_schema, content_key, flat_bytes, whole_text, with_id
 
 # Code points that the regex module takes for letters and for numbers, but
 # the Unicode version of the vocabulary's library does not.
@@ -258,27 +258,23 @@ class Codec:
         return self._numbers.join(ids)[:-1]
 
 
-_BUILT: dict[int, Codec] = {}
-
-
-def _codec(shared) -> Codec:
-    """The worker's codec for a broadcast vocabulary."""
-    key = shared.id if hasattr(shared, "id") else id(shared)
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Codec(shared.value)
-    return _BUILT[key]
+# The codecs that a Python worker has built, by the content of their vocabulary.
+_BUILT: dict[str, Codec] = {}
 
 
 def _mapped(
     spark: SparkSession, rows: DataFrame, path: str, schema: str, work: Callable
 ) -> DataFrame:
     """``work(codec, batch)`` for each Arrow batch; the vocabulary file is read once, here."""
-    shared = spark.sparkContext.broadcast(read_vocabulary(path))
+    vocabulary = read_vocabulary(path)
+    content, shared = content_key(vocabulary), spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if content not in _BUILT:
+            _BUILT.clear()
+            _BUILT[content] = Codec(shared.value)
         for batch in batches:
-            yield from work(_codec(shared), batch)
+            yield from work(_BUILT[content], batch)
 
     return rows.mapInArrow(run, schema)
 

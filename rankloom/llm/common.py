@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import uuid
 
 import numpy as np
@@ -59,3 +61,8 @@ def with_id(ids: pa.Array, made: list[tuple], schema: pa.Schema) -> pa.RecordBat
     columns = zip(*made) if made else ([] for _ in schema)
     arrays = [pa.array(c, f.type) for c, f in zip(columns, schema)]
     return pa.record_batch([ids, *arrays], ["doc_id", *schema.names])
+
+
+def content_key(value: object) -> str:
+    """Tells what a Python worker has built from one broadcast value from what of another."""
+    return hashlib.sha256(pickle.dumps(value)).hexdigest()

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.bpe import PreTokens, slices, texts_of
-from rankloom.llm.common import whole_text
+from rankloom.llm.common import content_key, whole_text
 
 #: Pre-tokens whose numbers a Python worker remembers. Only speed depends on it.
 REMEMBERED = 400_000
@@ -82,7 +82,8 @@ class Counter:
         return len(pre_tokens), pieces, math.fsum(map(self._sums.__getitem__, pre_tokens))
 
 
-_BUILT: dict[int, Counter] = {}
+# The counters that a Python worker has built, by the content of their scores.
+_BUILT: dict[str, Counter] = {}
 
 
 def token_counts(docs: DataFrame, scores: dict[bytes, float]) -> DataFrame:
@@ -95,15 +96,14 @@ def token_counts(docs: DataFrame, scores: dict[bytes, float]) -> DataFrame:
     """
     if any(bytes([b]) not in scores for b in range(256)):
         raise ValueError("each byte has to be a piece")
-    shared = docs.sparkSession.sparkContext.broadcast(scores)
+    content, shared = content_key(scores), docs.sparkSession.sparkContext.broadcast(scores)
     rows = docs.select("doc_id", whole_text().cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = shared.id if hasattr(shared, "id") else id(shared)
-        if key not in _BUILT:
+        if content not in _BUILT:
             _BUILT.clear()
-            _BUILT[key] = Counter(shared.value)
-        counter = _BUILT[key]
+            _BUILT[content] = Counter(shared.value)
+        counter = _BUILT[content]
         for whole in batches:
             for batch in slices(whole):
                 cut = [counter.cut(text) for text in texts_of(batch.column(1))]

@@ -91,3 +91,20 @@ def test_encode_then_decode(odd):
     texts = {(r.doc_id, r.text) for r in bpe.decode(encoded, PATH).collect()}
     assert texts == {(r.doc_id, r.text or "") for r in odd.collect()}
     assert bpe.encode(odd.limit(0), PATH).collect() == []
+
+
+def test_two_vocabularies_in_one_session(odd, tmp_path):
+    """A worker keeps a codec for its vocabulary, not for whichever came first."""
+    import json
+
+    with open(PATH, encoding="utf-8") as file:
+        content = json.load(file)
+    content["model"]["merges"] = []
+    content["model"]["vocab"] = {t: i for t, i in content["model"]["vocab"].items() if len(t) == 1}
+    small = tmp_path / "bytes.json"
+    small.write_text(json.dumps(content))
+    some = odd.where("length(text) < 100 and doc_id <> 13")
+    for path in (PATH, str(small), PATH):
+        bytes_only = path != PATH
+        for r in bpe.encode(some, path).join(some, "doc_id").collect():
+            assert (len(r.ids) == len(r.text.encode())) == bytes_only or len(r.text) < 4
