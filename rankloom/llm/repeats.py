@@ -136,68 +136,83 @@ def _firsts(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return runs[new], runs[~new & elsewhere]
 
 
+def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``wanted`` are among sorted distinct keys, and which of them are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+class _KeySet:
+    """A growing set of keys as sorted arrays of geometric sizes."""
+
+    def __init__(self) -> None:
+        self.parts: list[np.ndarray] = []
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), bool)
+        for part in self.parts:
+            out |= _places(part, keys)[1]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        if len(keys):
+            self.parts.append(np.unique(keys))
+        while len(self.parts) > 1 and len(self.parts[-2]) < 2 * len(self.parts[-1]):
+            self.parts[-2:] = [np.union1d(*self.parts[-2:])]
+
+
 class Family:
     """Levels of runs sorted by key, each at least twice as long as the next.
 
     A key has one run in all levels. Keys with several different runs are marked; what is
-    known of them is handed out as open and no longer kept.
+    known of them is handed out as open, never looked at again, and left behind when its
+    level is merged. A batch costs as much as the batch and its share of the merges.
     """
 
     def __init__(self) -> None:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # keys, runs
-        self.marked = np.zeros(0, np.uint64)
-
-    def _is_marked(self, keys: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.marked, keys)
-        return np.append(self.marked, 0)[at] == keys if len(self.marked) else np.zeros(len(keys), bool)
-
-    def _take(self, level: int, at: np.ndarray) -> np.ndarray:
-        """Remove runs from a level."""
-        keys, runs = self.levels[level]
-        taken = runs[at]
-        self.levels[level] = np.delete(keys, at), np.delete(runs, at)
-        return taken
+        self.marked = _KeySet()
 
     def add(self, runs: np.ndarray, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scan a batch's array against the levels; returns repeated runs and open ones.
+        """Scan a batch's sorted array against the levels; returns repeated runs and open ones.
 
         Keys in ``crowded`` are known to have several different runs.
         """
-        runs, repeated = _firsts(_sorted(runs))
+        runs, repeated = _firsts(runs)
         keys = runs["key"]
         several = np.union1d(crowded, keys[1:][keys[1:] == keys[:-1]])
+        several = several[~self.marked.has(several)]
         gone, open_ = [repeated], []
-        if len(several):
-            self.marked = np.union1d(self.marked, several)
-            for k, (known, _) in enumerate(self.levels):
-                at = np.flatnonzero(np.isin(known, several))
-                open_.append(self._take(k, at))
-        marked = self._is_marked(keys)
+        for known, level in self.levels:
+            at, there = _places(known, several)
+            open_.append(level[at[there]])
+        self.marked.add(several)
+        marked = self.marked.has(keys)
         open_.append(runs[marked])
         runs = runs[~marked]
-        keys, clashes = np.ascontiguousarray(runs["key"]), []
-        for k, (known, level) in enumerate(self.levels):
-            if not len(known):
+        keys = np.ascontiguousarray(runs["key"])
+        for known, level in self.levels:
+            at, there = _places(known, keys)
+            hit = np.flatnonzero(there)
+            if not len(hit):
                 continue
-            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            hit = np.flatnonzero(known[at] == keys)
             old, new, place = level[at[hit]], runs[hit], at[hit]
             equal = old["hash"] == new["hash"]
             earlier = equal & ((new["doc"] < old["doc"]) | ((new["doc"] == old["doc"]) & (new["start"] < old["start"])))
             elsewhere = (new["doc"] != old["doc"]) | (new["start"] != old["start"])
             gone += [old[earlier], new[equal & ~earlier & elsewhere]]
             level[place[earlier]] = new[earlier]
-            open_ += [new[~equal], self._take(k, place[~equal])]
-            clashes.append(keys[hit][~equal])
+            open_ += [new[~equal], old[~equal]]
+            self.marked.add(keys[hit][~equal])
             runs, keys = np.delete(runs, hit), np.delete(keys, hit)
-        if sum(map(len, clashes)):
-            self.marked = np.union1d(self.marked, np.concatenate(clashes))
         self.levels.append((keys, runs))
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-            (keys, runs), (more_keys, more) = self.levels[-2:]
-            keys = np.concatenate([keys, more_keys])
-            order = np.argsort(keys, kind="stable")
-            self.levels[-2:] = [(keys[order], np.concatenate([runs, more])[order])]
+            keys, runs = (np.concatenate(x) for x in zip(*self.levels[-2:]))
+            live = np.flatnonzero(~self.marked.has(keys))
+            order = live[np.argsort(keys[live], kind="stable")]
+            self.levels[-2:] = [(keys[order], runs[order])]
         return np.concatenate(gone), np.concatenate(open_)
 
 
