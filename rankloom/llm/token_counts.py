@@ -16,7 +16,6 @@ from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from rankloom.llm.bpe import PreTokens, slices, texts_of
 from rankloom.llm.common import content_key, whole_text
