@@ -29,9 +29,3 @@ def odd(documents):
         (None, None), (9, LONG), (10, LONG), (11, "é"), (12, "1234 5678"), (13, "💥 <|endoftext|> \x00"),
     ]
     return documents(rows, lang=["en", None] * 7)
-
-
-def by_id(rows, *names):
-    """Sorted tuples of the named columns, nulls first."""
-    out = [tuple(r[n] for n in names) for r in rows]
-    return sorted(out, key=lambda t: [(v is not None, str(type(v)), v) for v in t])

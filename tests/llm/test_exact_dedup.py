@@ -2,7 +2,6 @@ import hashlib
 import re
 from collections import defaultdict
 
-from conftest import by_id
 from rankloom.llm import exact_dedup as ed
 
 NAMES = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
@@ -54,5 +53,4 @@ def test_rows_that_stay(odd):
 
 
 def test_columns_named(odd):
-    assert by_id(ed.exact_duplicates(odd).collect(), "doc_id")
     assert ed.exact_duplicates(odd).columns == NAMES
