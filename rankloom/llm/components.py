@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import written
 
+#: Keys of rows that go, 16 bytes each, that may be sent to every executor.
+SENT_KEYS = 1_000_000
+
 
 def _pull(links: DataFrame, over: str, whole: bool) -> DataFrame:
     """Tie what a node is linked with to the least node it is linked with.
@@ -49,3 +52,23 @@ def components(links: DataFrame) -> DataFrame:
         both = stars.unionAll(stars.select(F.col("other").alias("node"), F.col("node").alias("other")))
         grown = written(_tidy(_pull(both, "node", whole=False)), "grown")
         stars = written(_tidy(_pull(grown, "node", whole=True)), "stars")
+
+
+def least_of_each(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are first in their component, with all their columns.
+
+    ``labels`` are ``(doc_id, text_key, component)``, ``text_key`` being the text's ``xxhash64``.
+    First is the smallest ``doc_id``, null last, then the smallest ``text_key``. Rows that go are
+    fewer than those that stay, so their keys are what the texts meet.
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("nobody"), "doc_id", "text_key")
+    labels = written(labels.select("component", rank.alias("rank")), "labels")
+    several = labels.groupBy("component").agg(F.min("rank").alias("least"), F.max("rank").alias("most"))
+    several = written(several.where("least != most").select("component", "least"), "several")
+    gone = labels.join(several, "component").where("rank != least").select("rank.doc_id", "rank.text_key").distinct()
+    gone = written(gone, "gone")
+    if gone.count() <= SENT_KEYS:
+        gone = F.broadcast(gone)
+    text_key = F.xxhash64(F.coalesce(F.col("a.text").cast("string"), F.lit("")))
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (text_key == F.col("b.text_key"))
+    return docs.alias("a").join(gone.alias("b"), same, "left_anti")
