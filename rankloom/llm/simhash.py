@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import flat_bytes, whole_text, written
-from rankloom.llm.components import components
+from rankloom.llm.components import components, least_of_each
 
 SEED = 42
 #: Fingerprints in a share of a cell; a cell of more is dealt out.
@@ -55,18 +55,20 @@ def fingerprint(text: bytes, words_each: int = 3) -> int:
     return int(set_bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words_each: int = 3) -> DataFrame:
-    """Rows ``(doc_id, print)``, the print as a signed 64-bit number."""
-    rows = docs.select(F.col("doc_id").cast("long"), whole_text().cast("binary").alias("text"))
+def fingerprints(docs: DataFrame, words_each: int = 3, keyed: bool = False) -> DataFrame:
+    """Rows ``(doc_id, print)``, the print as a signed 64-bit number; ``keyed``, with ``text_key`` too."""
+    key = [F.xxhash64(whole_text()).alias("text_key")] if keyed else []
+    names = ["doc_id", "print", *["text_key"] * keyed]
+    rows = docs.select(F.col("doc_id").cast("long"), whole_text().cast("binary").alias("text"), *key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = flat_bytes(batch.column(1))
             cuts = bounds.tolist()
             prints = [fingerprint(data[a:b].tobytes(), words_each) for a, b in zip(cuts, cuts[1:])]
-            yield pa.record_batch([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "print"])
+            yield pa.record_batch([batch.column(0), pa.array(prints, pa.int64()), *batch.columns[2:]], names)
 
-    return rows.mapInArrow(run, "doc_id bigint, print bigint")
+    return rows.mapInArrow(run, ", ".join(f"{name} bigint" for name in names))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -267,12 +269,15 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, radius: int = 3) -> Da
 
 
 def one_of_each(docs: DataFrame, words_each: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` with their component's smallest ``doc_id``, with all their columns.
+    """The rows of ``docs`` that are first in their component, with all their columns.
 
-    Rows that go are fewer than those that stay, so their ids are what the texts meet.
-    Rows without ``doc_id`` stay.
+    Prints are what links connect, so an id's texts and rows without ``doc_id`` are judged each on
+    their own. The smallest ``doc_id`` stays, null last; rows that repeat id and text count as one.
     """
-    found = near_duplicates(docs, words_each, radius)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    same = F.col("a.doc_id") == F.col("b.doc_id")
-    return docs.alias("a").join(written(gone, "gone").alias("b"), same, "left_anti")
+    prints = written(fingerprints(docs, words_each, keyed=True), "prints")
+    nodes = written(prints.select(F.col("print").alias("id"), "print").distinct(), "print-nodes")
+    found = written(components(near_links(nodes, radius)), "print-components")
+    labels = prints.join(found, prints["print"] == found["node"], "left").select(
+        "doc_id", "text_key", F.coalesce("component", "print").alias("component")
+    )
+    return least_of_each(docs, labels)

@@ -9,6 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
 from rankloom.llm import near_copies as nc  # noqa: E402
+from rankloom.llm import simhash as sh  # noqa: E402
 
 
 def grams(text):
@@ -78,3 +79,12 @@ def test_odd_rows(odd):
     assert kept.columns == odd.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "11", "12", "13", "4", "4", "9", "None"]
     assert nc.one_of_each(odd.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("one_of_each", [nc.one_of_each, sh.one_of_each])
+def test_ids_that_do_not_tell_rows_apart(documents, one_of_each):
+    """An id's other text stays; near copies without id go, of theirs and of others."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (2, a.upper()), (2, b), (None, a.title()), (None, c), (None, c.upper()), (None, None)]
+    got = [(r.doc_id, (r.text or "").lower()) for r in one_of_each(documents(rows)).collect()]
+    assert set(got) == {(1, a), (2, b), (None, c), (None, "")} and len(got) == 4
