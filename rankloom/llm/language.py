@@ -232,9 +232,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def determined(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose language isn't ``und``, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _where(docs: DataFrame, judge) -> DataFrame:
+    """The rows of ``docs`` whose texts ``judge(data, bounds)`` says true to, with all their columns."""
     row = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
     rows = docs.select(row.alias("row"), whole_text().cast("binary").alias("bytes"))
 
@@ -242,7 +241,17 @@ def determined(docs: DataFrame, model: Model) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                found = shared.value.answers(*flat_bytes(batch.column(1))).any(axis=1)
-                yield batch.select([0]).filter(pa.array(found))
+                yield batch.select([0]).filter(pa.array(judge(*flat_bytes(batch.column(1))), pa.bool_()))
 
     return rows.mapInArrow(run, rows.select("row").schema).select("row.*")
+
+
+def determined(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose language isn't ``und``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return _where(docs, lambda data, bounds: shared.value.answers(data, bounds).any(axis=1))
+
+
+def lettered(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter, with all their columns; needs no model."""
+    return _where(docs, lambda data, bounds: [_has_letter(data[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])])
