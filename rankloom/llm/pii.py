@@ -191,6 +191,16 @@ address {1:203.0.113.250}, port 80
 and {1:198.51.100.3} answered. Then it stopped
 card {2:4111 1111 1111 1111} was charged
 paid with {2:5500-0000-0000-0004} on friday
+the card {2:4000.0000.0000.0002} was declined
+paid by {2:5105.1051.0510.5100} at noon
+number {2:4242  4242  4242  4242} on file
+used {2:6011  0000  0000  0004}, then left
+charge {2:3782.822463.10005} for it
+the server {1:10 . 1 . 2 . 3} is down
+ping {1:172 . 16 . 0 . 9} from here
+logged {1:198 . 51 . 100 . 24} twice
+seen at {1:203. 0. 113. 77} today
+blocked {1:192. 0. 2. 45} again
 call {3:+1 (555) 010-2030} after six
 phone {3:+44 20 7946 0018} or write
 tel {3:+49 30 901820} today
@@ -209,13 +219,13 @@ about 3.5 or 4.25 in all
 it cost $19.99 or $5 then
 see pages 10-20 and 31-35
 rule 4 (2) of part 7
-token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" the
-key = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" then
-the row 47369625730995 was read
-And thes 7567553925670233 atatble streth
-one, 5374040645122205 eringst. Then
-. Esanwh 2353820953013749 4550997810720808 thheed
-| of | 9093441080585879 | enonin |
+token = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567" the
+key = "fedcba98765432100123456789abcdef00112233" then
+the row 10203040506071 was read
+And then 1234567890123456 came later
+one, 1122334455667789 more. Then
+. Between 1020304050607081 9080706050403021 again
+| of | 1357913579135791 | in all |
 row 239047 and 81 of 9
 id 998877665544332211009988 in the log
 a 50% cut on 3/4 of it
@@ -335,16 +345,38 @@ def _labelled_spans(texts: list[str], field: Field) -> list[list[tuple[str, int,
 # What a marked span has to look like to be added.
 _WELL_FORMED = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+\x20?@\x20?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(?:\x20?\.\x20?[0-9]+){3}"),
+    "card": re.compile(r"[0-9](?:[\x20.-]{0,2}[0-9]){12,18}"),
     "phone": re.compile(r"\(?[0-9]{2,4}[\x20).-]+[0-9]{2,4}[\x20.-]+[0-9]{2,5}(?:[\x20.-][0-9]{2,4})?"),
 }
 
 
+def _well_formed(kind: str, span: str) -> bool:
+    if not _WELL_FORMED[kind].fullmatch(span):
+        return False
+    digits = "".join(_DIGIT.findall(span))
+    if kind == "card":
+        return luhn(digits)
+    return kind != "ip" or all(len(p.strip(" 0")) <= 3 and int(p.strip()) <= 255 for p in span.split("."))
+
+
+def _judged(kind: str, a: int, b: int, matches: list) -> bool:
+    """Whether a span meets a pattern's span, or its own kind's pattern has failed there.
+
+    What failed for an ip address or a card may be a part of a wider form, so there it has to hold the span.
+    """
+    part = kind in ("ip", "card")
+    return any(
+        a < y and x < b and (good or k == kind and (not part or (x <= a and b <= y)))
+        for k, x, y, good in matches
+    )
+
+
 def find(texts: list[str], field: Field) -> list[tuple[list, list]]:
     """For each text the spans ``(kind, start, end)`` of the patterns, and those the field adds.
 
-    A span is added if it is well formed and meets no pattern's span, and no match of its
-    own kind's pattern that failed: that one was judged already. The patterns of ip
-    addresses and cards judge every form of these, so the field adds none.
+    A span is added if it is well formed (an ip address's numbers are at most 255, a card's digits
+    pass Luhn's check) and was not judged by the patterns already.
     """
     out = []
     for text, marked in zip(texts, _labelled_spans(texts, field)):
@@ -353,9 +385,7 @@ def find(texts: list[str], field: Field) -> list[tuple[list, list]]:
         added = [
             (kind, a, b)
             for kind, a, b in marked
-            if kind in _WELL_FORMED
-            and _WELL_FORMED[kind].fullmatch(text, a, b)
-            and not any(a < y and x < b and (good or k == kind) for k, x, y, good in matches)
+            if _well_formed(kind, text[a:b]) and not _judged(kind, a, b, matches)
         ]
         out.append((base, added))
     return out
