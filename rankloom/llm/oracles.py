@@ -109,3 +109,34 @@ REPEATS = """
     SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(n, 0) AS n_spans,
            sha256(unhex(coalesce(rest, h))) AS kept_sha256
     FROM d LEFT JOIN kept USING (doc_id)"""
+
+# The level is found in closed form: clamping any first few sources by cap over weight gives a level
+# that is too low, or the right one.
+MIXTURE = r"""
+    WITH d AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+        FROM documents),
+    u AS (SELECT *, md5('13:' || coalesce(doc_id::VARCHAR, 'null') || ':' || size) AS draw FROM d),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap,
+                 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight
+          FROM u GROUP BY source),
+    l AS (SELECT ((SELECT sum(source_size) FROM s)
+                  - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+                 / (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+          FROM s WINDOW o AS (ORDER BY cap / weight, source)),
+    t AS (SELECT source, source_size, least(cap::DOUBLE, weight::DOUBLE * (SELECT max(level) FROM l)) AS target FROM s),
+    w AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3)::BIGINT ELSE 0 END AS whole FROM t),
+    m AS (SELECT *, greatest(target - whole * source_size, 0) AS more FROM w),
+    c AS (SELECT u.doc_id, u.source, size, draw, source_size, target, whole, more,
+                 sum(size) OVER (PARTITION BY u.source ORDER BY draw) AS upto
+          FROM u JOIN m ON u.source IS NOT DISTINCT FROM m.source),
+    e AS (SELECT source, min(draw) AS edge FROM c WHERE upto > more GROUP BY source),
+    r AS (SELECT c.source, edge, any_value(more) - coalesce(sum(size) FILTER (WHERE draw < edge), 0) AS rest
+          FROM c JOIN e ON c.source IS NOT DISTINCT FROM e.source GROUP BY c.source, edge),
+    a AS (SELECT c.source, arg_min(draw, (abs(rest - size), size, draw)) AS added
+          FROM c JOIN r ON c.source IS NOT DISTINCT FROM r.source
+          WHERE draw >= edge AND abs(rest - size) < rest GROUP BY c.source)
+    SELECT doc_id, size, source_size, target,
+           size * (whole + coalesce(draw < edge OR draw = added, draw < edge, false)::BIGINT) AS taken
+    FROM c LEFT JOIN r ON c.source IS NOT DISTINCT FROM r.source
+    LEFT JOIN a ON c.source IS NOT DISTINCT FROM a.source"""

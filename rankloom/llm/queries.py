@@ -13,13 +13,16 @@ from rankloom.llm import (
     decontaminate,
     exact_dedup,
     language,
+    mixing,
     oracles,
     pii,
     repeats,
     secret_scan,
     simhash,
+    spelling,
     token_counts,
     warc,
+    whitening,
 )
 from rankloom.plans.tables import table
 
@@ -104,6 +107,19 @@ def op10_pii(spark: SparkSession, d: str) -> DataFrame:
     return pii.map_spans(table(spark, d, "documents"), pii.train(), made, _counted)
 
 
+def op11_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whitened(table(spark, d, "embeddings"))[0]
+
+
+def op12_spelling(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.variants(spelling.spelled_words(table(spark, d, "documents")))
+
+
+def op13_mixing(spark: SparkSession, d: str) -> DataFrame:
+    mix = mixing.mixture(table(spark, d, "documents"), lambda s: mixing.repeating_weights(s, [1, 2, 3]))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_secrets": op2_secrets,
@@ -115,6 +131,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_suffix_arrays": op9_suffix_arrays,
     "op10_pii": op10_pii,
+    "op11_whitening": op11_whitening,
+    "op12_spelling": op12_spelling,
+    "op13_mixing": op13_mixing,
 }
 
 SQL = {
@@ -123,4 +142,5 @@ SQL = {
     "op4_decontamination": oracles.LEAKS,
     "op5_exact_dedup": oracles.EXACT_DEDUP,
     "op9_suffix_arrays": oracles.REPEATS,
+    "op13_mixing": oracles.MIXTURE,
 }

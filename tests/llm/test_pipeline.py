@@ -68,7 +68,7 @@ def test_stages_on_nothing(spark, odd):
 
 def test_operators_used():
     assert [n for n in entry.queries() if re.match(r"op\d+_", n)] == list(queries.QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert "pipeline" in entry.queries() and 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
