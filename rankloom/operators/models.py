@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as tx
+from rankloom.functions.masking import mask
 from rankloom.params import BOUNDS, Params
 from rankloom.session import settle
 
@@ -131,20 +132,25 @@ def embed_texts(
     batch_size: int = Params.embed_batch_size,
     max_chars: int | None = None,
     parallel_calls: int | None = None,
+    masking_key: str | None = None,
 ) -> DataFrame:
     """Add ``embedding``, ``embed_error_type``, ``embed_error`` and ``embed_seconds``.
 
+    With ``masking_key`` the model sees texts whose personal data is masked; ``text`` itself stays.
+
     Equal texts are embedded once, and the vectors are written down before they are read,
     so no later job calls the model again. Blank texts keep their row, with a null
     vector. A failed batch marks its rows instead of failing the job.
     """
-    vectors = settle(embed_distinct(rows, text, embedder, batch_size, max_chars, parallel_calls))
-    keyed = rows.withColumn("_text_key", F.sha2(_prepared(text, max_chars), 256))
+    vectors = settle(embed_distinct(rows, text, embedder, batch_size, max_chars, parallel_calls, masking_key))
+    keyed = rows.withColumn("_text_key", F.sha2(_prepared(text, max_chars, masking_key), 256))
     return keyed.join(vectors, "_text_key", "left").drop("_text_key")
 
 
-def _prepared(text: str, max_chars: int | None):
+def _prepared(text: str, max_chars: int | None, masking_key: str | None = None):
     bare = tx.strip(F.col(text))
+    if masking_key is not None:
+        bare = mask(bare, masking_key)
     return bare if max_chars is None else F.substring(bare, 1, max_chars)
 
 
@@ -155,12 +161,13 @@ def embed_distinct(
     batch_size: int = Params.embed_batch_size,
     max_chars: int | None = None,
     parallel_calls: int | None = None,
+    masking_key: str | None = None,
 ) -> DataFrame:
-    """One row per distinct non-blank text, keyed by the hash of the text."""
+    """One row per distinct non-blank text, keyed by the hash of the text as the model sees it."""
     _check_batch_size(batch_size)
     distinct = (
-        rows.select(_prepared(text, max_chars).alias("_text"))
-        .where(F.col("_text") != "")
+        rows.where(tx.strip(F.col(text)) != "")
+        .select(_prepared(text, max_chars, masking_key).alias("_text"))
         .groupBy(F.sha2("_text", 256).alias("_text_key"))
         .agg(F.any_value("_text").alias("_text"))
     )
