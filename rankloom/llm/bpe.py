@@ -61,8 +61,12 @@ ASCII_PRE_TOKENS = (
     r"| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
 )
 
-#: Pre-tokens and token pairs that a Python worker remembers. Only speed depends on it.
-REMEMBERED = 400_000
+#: Bytes of pre-tokens, and number of token pairs, that a Python worker remembers. Only speed depends on it.
+REMEMBERED_BYTES = 32 << 20
+REMEMBERED_PAIRS = 100_000
+#: What an entry takes besides its letters and ids, and the letters of the longest that is worth it.
+ENTRY_BYTES = 200
+LONGEST_REMEMBERED = 64
 
 
 def _byte_letters() -> list[str]:
@@ -84,8 +88,13 @@ class Vocabulary:
 
 def read_vocabulary(path: str) -> Vocabulary:
     """Read a byte-level BPE file of the tokenizers library, on the driver."""
-    with open(path, encoding="utf-8") as file:
-        content = json.load(file)
+    with open(path, "rb") as file:
+        return parse_vocabulary(file.read())
+
+
+def parse_vocabulary(file: bytes) -> Vocabulary:
+    """What the bytes of such a file hold."""
+    content = json.loads(file)
     to_byte = {letter: b for b, letter in enumerate(_byte_letters())}
 
     def as_bytes(token: str) -> bytes:
@@ -156,6 +165,7 @@ class Codec:
         self._specials = regex.compile("(" + "|".join(names) + ")") if names else None
         self._cut = PreTokens()
         self._known: dict[str, bytes] = {}
+        self._known_bytes = 0
         self._fits: dict[tuple[int, int], bool] = {}
         self._texts = OffsetTable(vocabulary.tokens)
         self._numbers = OffsetTable({i: b"%d," % i for i in vocabulary.tokens})
@@ -183,7 +193,7 @@ class Codec:
                 else:
                     # Equal merges apply from the left, so this one counts as later.
                     undone, b = made_b[0] + 1, made_b[1]
-            if len(self._fits) >= REMEMBERED:
+            if len(self._fits) >= REMEMBERED_PAIRS:
                 self._fits.clear()
             self._fits[left, right] = answer
         return answer
@@ -226,17 +236,28 @@ class Codec:
     def _plain(self, text: str) -> bytes:
         known = self._known
         pre_tokens = self._cut(text)
-        for pre_token in set(pre_tokens).difference(known):
-            if len(known) >= REMEMBERED:
-                known.clear()
-                return self._plain_slowly(pre_tokens)
-            known[pre_token] = self._pieces(pre_token)
-        return b"".join(map(known.__getitem__, pre_tokens))
-
-    def _plain_slowly(self, pre_tokens: list[str]) -> bytes:
-        """For the text at which the memory was full: each of its pre-tokens is worked out."""
-        own = {p: self._pieces(p) for p in set(pre_tokens)}
-        return b"".join(map(own.__getitem__, pre_tokens))
+        new = {p: self._pieces(p) for p in set(pre_tokens).difference(known)}
+        if not new:
+            return b"".join(map(known.__getitem__, pre_tokens))
+        out = b"".join([new[p] if p in new else known[p] for p in pre_tokens])
+        self._remember(new)
+        return out
+
+    def _remember(self, new: dict[str, bytes]) -> None:
+        """Keep what was worked out; the memory is emptied before it outgrows its bytes."""
+        for pre_token, pieces in new.items():
+            if len(pre_token) > LONGEST_REMEMBERED:
+                continue
+            size = ENTRY_BYTES + 4 * len(pre_token) + len(pieces)
+            if self._known_bytes + size > REMEMBERED_BYTES:
+                self.forget()
+            self._known[pre_token] = pieces
+            self._known_bytes += size
+
+    def forget(self) -> None:
+        """Empty the memory of pre-tokens."""
+        self._known.clear()
+        self._known_bytes = 0
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a whole text; the strings of added tokens become those tokens."""
@@ -258,23 +279,32 @@ class Codec:
         return self._numbers.join(ids)[:-1]
 
 
-# The codecs that a Python worker has built, by the content of their vocabulary.
+# The codec that a Python worker has built, by the content of its vocabulary file.
 _BUILT: dict[str, Codec] = {}
 
 
 def _mapped(
     spark: SparkSession, rows: DataFrame, path: str, schema: str, work: Callable
 ) -> DataFrame:
-    """``work(codec, batch)`` for each Arrow batch; the vocabulary file is read once, here."""
-    vocabulary = read_vocabulary(path)
-    content, shared = content_key(vocabulary), spark.sparkContext.broadcast(vocabulary)
+    """``work(codec, batch)`` for each Arrow batch; the vocabulary file is read once, here.
+
+    Workers get the file as it is, a few megabytes, and keep the codec; what it remembers
+    of the texts goes at the end of each task.
+    """
+    with open(path, "rb") as opened:
+        file = opened.read()
+    content, shared = content_key(file), spark.sparkContext.broadcast(file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if content not in _BUILT:
             _BUILT.clear()
-            _BUILT[content] = Codec(shared.value)
-        for batch in batches:
-            yield from work(_BUILT[content], batch)
+            _BUILT[content] = Codec(parse_vocabulary(shared.value))
+        codec = _BUILT[content]
+        try:
+            for batch in batches:
+                yield from work(codec, batch)
+        finally:
+            codec.forget()
 
     return rows.mapInArrow(run, schema)
 

@@ -17,12 +17,9 @@ from os.path import commonprefix
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rankloom.llm.bpe import PreTokens, slices, texts_of
+from rankloom.llm.bpe import ENTRY_BYTES, LONGEST_REMEMBERED, REMEMBERED_BYTES, PreTokens, slices, texts_of
 from rankloom.llm.common import content_key, whole_text
 
-#: Pre-tokens whose numbers a Python worker remembers. Only speed depends on it.
-REMEMBERED = 400_000
-
 
 def read_ranks(path: str) -> list[bytes]:
     """The pieces of a file of base64 pieces and ranks, by rank."""
@@ -49,13 +46,14 @@ class Counter:
         self._longest = max(map(len, self._scores), default=0)
         self._pieces: dict[str, int] = {}
         self._sums: dict[str, float] = {}
+        self._long: list[str] = []
+        self._bytes = 0
         self.cut = PreTokens()
 
     def learn(self, pre_tokens: set[str]) -> None:
         """Store the numbers of new pre-tokens."""
-        if len(self._pieces) + len(pre_tokens) > REMEMBERED:
-            self._pieces.clear()
-            self._sums.clear()
+        if self._bytes > REMEMBERED_BYTES:
+            self.forget()
         scores, longest = self._scores, self._longest
         path, sums, pieces = "", [0.0], [0]
         spelled = ((p.encode().decode("latin-1"), p) for p in pre_tokens.difference(self._pieces))
@@ -74,6 +72,23 @@ class Counter:
                 pieces.append(fewest)
             path = letters
             self._pieces[pre_token], self._sums[pre_token] = pieces[-1], sums[-1]
+            self._bytes += ENTRY_BYTES + 4 * len(pre_token)
+            if len(pre_token) > LONGEST_REMEMBERED:
+                self._long.append(pre_token)
+
+    def forget(self) -> None:
+        """Empty the memory of pre-tokens."""
+        self._pieces.clear()
+        self._sums.clear()
+        self._long.clear()
+        self._bytes = 0
+
+    def forget_long(self) -> None:
+        """Empty the memory of those that rarely come back, once their texts are counted."""
+        for pre_token in self._long:
+            del self._pieces[pre_token], self._sums[pre_token]
+            self._bytes -= ENTRY_BYTES + 4 * len(pre_token)
+        self._long.clear()
 
     def count(self, pre_tokens: list[str]) -> tuple[int, int, float]:
         """Pre-tokens, pieces and score of a text whose pre-tokens have been learnt."""
@@ -103,15 +118,19 @@ def token_counts(docs: DataFrame, scores: dict[bytes, float]) -> DataFrame:
             _BUILT.clear()
             _BUILT[content] = Counter(shared.value)
         counter = _BUILT[content]
-        for whole in batches:
-            for batch in slices(whole):
-                cut = [counter.cut(text) for text in texts_of(batch.column(1))]
-                counter.learn(set().union(*cut))
-                counts = zip(*map(counter.count, cut)) if cut else ([], [], [])
-                yield pa.record_batch(
-                    [batch.column(0), *(pa.array(c) for c in counts)],
-                    ["doc_id", "n_pre_tokens", "n_tokens", "score"],
-                )
+        try:
+            for whole in batches:
+                for batch in slices(whole):
+                    cut = [counter.cut(text) for text in texts_of(batch.column(1))]
+                    counter.learn(set().union(*cut))
+                    counts = zip(*map(counter.count, cut)) if cut else ([], [], [])
+                    yield pa.record_batch(
+                        [batch.column(0), *(pa.array(c) for c in counts)],
+                        ["doc_id", "n_pre_tokens", "n_tokens", "score"],
+                    )
+                    counter.forget_long()
+        finally:
+            counter.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, n_pre_tokens bigint, n_tokens bigint, score double")

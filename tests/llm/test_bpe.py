@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -53,12 +54,27 @@ def test_pre_tokens_of_every_code_point(library):
 
 
 def test_memory_limit_changes_nothing(library, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 7)
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 2000)
+    monkeypatch.setattr(bpe, "REMEMBERED_PAIRS", 7)
     codec = bpe.Codec(bpe.read_vocabulary(PATH))
     for text in ("the quick brown fox jumps over the lazy dog", "again the lazy dog naps, naps, naps", "fox"):
         assert codec.encode(text).tolist() == ids_of(library, text)
 
 
+def test_long_pre_tokens_are_not_remembered(codec):
+    """10,000 pre-tokens of 2,000 letters, and 300,000 short ones, stay within the bytes allowed."""
+    rng = random.Random(12)
+    for _ in range(20):
+        codec.encode(" ".join("".join(rng.choices("abcdefgh", k=2000)) for _ in range(20)))
+    assert not codec._known or max(map(len, codec._known)) <= bpe.LONGEST_REMEMBERED
+    for k in range(6):
+        codec.encode(" ".join(f"w{n}x" for n in range(50_000 * k, 50_000 * (k + 1))))
+        held = sum(map(sys.getsizeof, [*codec._known, *codec._known.values()])) + sys.getsizeof(codec._known)
+        assert codec._known_bytes <= bpe.REMEMBERED_BYTES and held <= bpe.REMEMBERED_BYTES
+    codec.forget()
+    assert not codec._known
+
+
 def test_decode_of_broken_bytes(library, codec):
     ids = [i for i, t in bpe.read_vocabulary(PATH).tokens.items() if t in (b"\xc3", b"\xff", b"a")]
     assert codec.decode(np.array(ids * 2)) == library.decode(ids * 2, skip_special_tokens=False)

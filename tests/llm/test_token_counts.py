@@ -51,7 +51,7 @@ def test_shares_are_probabilities(scores):
 
 
 def test_memory_limit_changes_nothing(scores, monkeypatch):
-    monkeypatch.setattr(tc, "REMEMBERED", 5)
+    monkeypatch.setattr(tc, "REMEMBERED_BYTES", 1000)
     counter = tc.Counter(scores)
     for text in ("the quick brown fox jumps over the lazy dog again", "the lazy dog"):
         cut = counter.cut(text)
