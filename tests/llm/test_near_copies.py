@@ -66,6 +66,12 @@ def test_stage_keeps_one_of_near_copies(spark, documents, rows, monkeypatch, sha
     assert got.columns == docs.columns and stays(got) == want
 
 
+def test_sets_with_one_hash(spark, documents, rows, monkeypatch):
+    """Different sets whose first hash agrees stay different."""
+    monkeypatch.setattr(nc, "_node", lambda hashes: int(hashes.sum() % 50) if len(hashes) else 0)
+    assert stays(nc.one_of_each(documents(rows))) == brute(rows)
+
+
 def test_sample_table(spark):
     """Pairs of similarity 0.8 and more go, though their fingerprints differ in more than 3 bits."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
