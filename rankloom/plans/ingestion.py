@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.masking import KINDS, PSEUDONYM_LETTERS, audit, mask_column
+from rankloom.operators.chunk_copies import chunk_copies
 from rankloom.operators.ingest import chunks
 from rankloom.operators.models import embed_texts
 from rankloom.plans import tables as tb
@@ -29,9 +30,20 @@ def masking_audit(spark: SparkSession, d: str) -> DataFrame:
     return audit(mask_column(tb.table(spark, d, "documents"), "text", MASKING_KEY))
 
 
+def chunk_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """The class of each chunk, and the one that stays for it."""
+    cut = chunks(tb.table(spark, d, "documents"), "doc_id", "text", CHUNK_CHARS, CHUNK_OVERLAP)
+    found = chunk_copies(cut, ["doc_id", "pos"], "chunk")
+    return found.select(
+        "doc_id", "pos", F.col("first.doc_id").alias("first_doc_id"), F.col("first.pos").alias("first_pos"),
+        "copies", "kept",
+    )
+
+
 QUERIES = {
     "masked_chunks": masked_chunks,
     "masking_audit": masking_audit,
+    "chunk_duplicates": chunk_duplicates,
 }
 
 
@@ -80,16 +92,39 @@ def _masking_sql() -> str:
 
 
 _STEP = CHUNK_CHARS - CHUNK_OVERLAP
-_MASKED_CHUNKS_SQL = f"""{_masking_sql()},
-    places AS (SELECT doc_id, text, unnest(range(0, length(text))) AS pos FROM masked),
+
+
+def _chunks_sql(source: str) -> str:
+    return f"""places AS (SELECT doc_id, text, unnest(range(0, length(text))) AS pos FROM {source}),
     cut AS (SELECT doc_id, pos::INT AS pos, substring(text, pos * {_STEP} + 1, {CHUNK_CHARS}) AS chunk
             FROM places WHERE pos = 0 OR pos * {_STEP} + {CHUNK_OVERLAP} < length(text))"""
 
+
+# Every two texts that share a shingle are compared, and classes are what is reached step by step.
+_COPIES_SQL = f"""WITH RECURSIVE {_chunks_sql("documents")},
+    t AS (SELECT chunk, row_number() OVER (ORDER BY chunk) AS id FROM (SELECT DISTINCT chunk FROM cut)),
+    w AS (SELECT id, regexp_extract_all(translate(chunk, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\\x20\\x09-\\x0D]+') AS words FROM t),
+    h AS (SELECT id, list_distinct(list_transform(range(1, greatest(len(words) - 3, 2)),
+                     lambda i: array_to_string(words[i:i + 4], ' '))) AS own FROM w WHERE len(words) > 0),
+    s AS (SELECT id, len(own) AS n, unnest(own) AS shingle FROM h),
+    near AS (SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.shingle = b.shingle AND a.id <> b.id
+             GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+    reach AS (SELECT id, id AS to_id FROM t UNION
+              SELECT reach.id, near.b FROM reach JOIN near ON near.a = reach.to_id),
+    named AS (SELECT doc_id, pos, class FROM cut JOIN t USING (chunk)
+              JOIN (SELECT id, min(to_id) AS class FROM reach GROUP BY id) USING (id)),
+    classes AS (SELECT class, min((doc_id, pos)) AS first, count(*) AS copies FROM named GROUP BY class)
+    SELECT doc_id, pos, first[1] AS first_doc_id, first[2] AS first_pos, copies,
+           doc_id = first[1] AND pos = first[2] AS kept
+    FROM named JOIN classes USING (class)"""
+
 SQL = {
-    "masked_chunks": f"""WITH {_MASKED_CHUNKS_SQL}
+    "masked_chunks": f"""WITH {_masking_sql()}, {_chunks_sql("masked")}
         SELECT doc_id, pos, chunk, length(regexp_replace(chunk, '[^a-z]', '', 'g'))::BIGINT AS letters FROM cut""",
     "masking_audit": f"""WITH {_masking_sql()},
         long AS (UNPIVOT masked ON {", ".join(f"n_{kind.name}" for kind in KINDS)} INTO NAME kind VALUE n)
         SELECT substring(kind, 3) AS kind, sum(n)::BIGINT AS found, count_if(n > 0)::BIGINT AS texts
         FROM long GROUP BY kind""",
+    "chunk_duplicates": _COPIES_SQL,
 }
