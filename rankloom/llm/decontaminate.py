@@ -50,17 +50,20 @@ def _shingles(width: int) -> Column:
 
 
 def _sums(counted: DataFrame, by: list[str]) -> DataFrame:
-    """How often each of 64 bits is set in ``hash``, ``n`` times each: four counts in a number."""
+    """How often each of 64 bits is set in ``hash``, ``n`` times each: two counts of 32 bits in a number.
+
+    A text has less than 2^31 bytes, and so shingles; no count runs into the other.
+    """
     lanes = [
-        F.expr(f"sum((shiftrightunsigned(hash, {k}) & 281479271743489) * n)").alias(f"lane{k}")
-        for k in range(16)
+        F.expr(f"sum((shiftrightunsigned(hash, {k}) & 4294967297L) * n)").alias(f"lane{k}")
+        for k in range(32)
     ]
     return counted.groupBy(*by).agg(*lanes)
 
 
 def _bit_sum(bit: int) -> str:
     """The sum of +1 and -1 over ``size`` shingles, for one bit of the hash."""
-    return f"(2 * (shiftrightunsigned(lane{bit % 16}, {16 * (bit // 16)}) & 65535) - size)"
+    return f"(2 * (shiftrightunsigned(lane{bit % 32}, {32 * (bit // 32)}) & 4294967295L) - size)"
 
 
 def _bits(condition: str) -> Column:
@@ -135,7 +138,6 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, width: int
     many shingles as the item, or all of a shorter text. Null and empty texts and items
     without words leak nothing. Rows that repeat count once, texts that share a
     ``doc_id`` apart (``text_key`` tells them apart), and other columns are not read.
-    Items may have up to 65,535 shingles each.
     """
     own_items = written(_items(items, width), "items")
     renamed = F.col("size").alias("item_size"), F.col("n").alias("item_n")

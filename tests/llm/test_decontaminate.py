@@ -113,3 +113,14 @@ def test_empty(spark, odd):
     for nothing in (items.limit(0), table(spark, [(1, None), (2, "--")])):
         assert dc.leaks(odd, nothing).collect() == []
         assert dc.without_leaks(odd, nothing).count() == odd.count()
+
+
+@pytest.mark.parametrize("distinct", [1, 65_536, 200_000])
+def test_items_of_very_many_shingles(spark, documents, distinct):
+    """Counts of a fingerprint's bits are as wide as texts can be long."""
+    words = [f"w{k % distinct}" for k in range(max(distinct, 40_000))]
+    item = " ".join(words)
+    near = " ".join(words[:1000] + ["other"] + words[1000:])
+    docs = documents([(1, item), (2, near), (3, " ".join(words[: len(words) // 2])), (4, "w0 w1 w2")])
+    found = {i: s for i, _, _, _, s in got(docs, table(spark, [(7, item)]))}
+    assert found[1] == 1 and 0.99 < found[2] <= 1 and set(found) == {1, 2}
