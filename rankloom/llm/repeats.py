@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import arrow_schema, flat_bytes, whole_text, with_id, written
@@ -39,7 +39,6 @@ CROWDED = 4
 #: Runs of one anchor gram that are settled in one place; more are dealt out by string.
 SHARE = 20_000
 _BLOCK = 1 << 20
-_LAST_ID = 2**63 - 1
 # Fixed: the mixing constants of a 64-bit hash.
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -247,7 +246,7 @@ def _rows(bucket, kind: int, docs, contents) -> pa.RecordBatch:
 
 def _dealt(docs: DataFrame, buckets: int) -> DataFrame:
     """What each batch of texts sends: runs by bucket, settled spans, open runs, crowded keys."""
-    rows = docs.select(_id().alias("doc_id"), whole_text().cast("binary").alias("text"))
+    rows = docs.select("doc_id", whole_text().cast("binary").alias("text"))
 
     def send(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         runs, repeated = _firsts(_sorted(np.concatenate(parts)))
@@ -288,8 +287,28 @@ def _dealt(docs: DataFrame, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket int, kind int, doc_id bigint, content binary")
 
 
-def _id():
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID))
+def in_order(docs: DataFrame) -> DataFrame:
+    """Rows ``(doc_id, id, text)`` whose ``doc_id`` is one row's only, in the order of the ids.
+
+    Where all ids tell rows apart they are taken as they are. Else rows are numbered by id,
+    null last, then by a hash of the text, then as they come: in ranges of that order, whose
+    sizes are added up, so no task holds all rows of an id. The texts are written once for it.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text"))
+    several = rows.groupBy("id").count().where("count > 1 OR id IS NULL")
+    if several.isEmpty():
+        return rows.select(F.col("id").alias("doc_id"), "id", "text")
+    order = [F.col("id").isNull(), F.col("id"), F.col("hash"), F.col("row")]
+    rows = rows.select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    # Written first: sorted ranges are cut by a sample, and rows have to stay what they were then.
+    rows = written(rows, "rows").repartitionByRange(*order).withColumn("range", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    placed = written(rows.select("range", place.alias("place"), "id", "text"), "placed")
+    upto = F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    before = placed.groupBy("range").count().select("range", F.coalesce(upto, F.lit(0)).alias("before"))
+    return placed.join(F.broadcast(before), "range").select(
+        (F.col("before") + F.col("place")).alias("doc_id"), "id", "text"
+    )
 
 
 _FOUND = pa.schema([
@@ -344,8 +363,7 @@ def _found(dealt: DataFrame) -> DataFrame:
 
 def _packed(docs: DataFrame) -> DataFrame:
     """Texts as compressed bytes, for the shuffles that they take."""
-    text, no_id = whole_text().cast("binary").alias("text"), F.col("doc_id").isNull().alias("no_id")
-    rows = docs.select(_id().alias("doc_id"), no_id, text)
+    rows = docs.select("doc_id", "id", whole_text().cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
@@ -354,9 +372,9 @@ def _packed(docs: DataFrame) -> DataFrame:
             cuts = bounds.tolist()
             packed = [pack.compress(data[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
             columns = [batch.column(0), batch.column(1), pa.array(packed, pa.binary())]
-            yield pa.record_batch(columns, ["doc_id", "no_id", "packed"])
+            yield pa.record_batch(columns, ["doc_id", "id", "packed"])
 
-    return rows.mapInArrow(run, "doc_id bigint, no_id boolean, packed binary")
+    return rows.mapInArrow(run, "doc_id bigint, id bigint, packed binary")
 
 
 def _unpack(packed: bytes) -> bytes:
@@ -441,8 +459,8 @@ def _string_spans(docs: DataFrame, open_runs: DataFrame, buckets: int) -> DataFr
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Rows ``(doc_id, spans)``: bytes covered by an earlier string, as 32-bit pairs; many rows a document.
 
-    Two families of rows come of one pass over the texts: what is settled, and open runs,
-    whose texts are looked up once more.
+    ``docs`` is as ``in_order`` gives it. Two families of rows come of one pass over the
+    texts: what is settled, and open runs, whose texts are looked up once more.
     """
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -470,12 +488,13 @@ def map_repeats(docs: DataFrame, made: str, make) -> DataFrame:
     covered by a string of ``WIDTH`` bytes which also starts earlier: in a document with a
     smaller ``doc_id``, or before it in the same one; ``kept`` is the text without them.
     A null or empty text, and one shorter than ``WIDTH``, has none. Texts of any length
-    count whole. Rows without ``doc_id`` count as one last document; rows that repeat a
-    ``doc_id`` have to repeat its text and get equal rows. Other columns are not read.
+    count whole. Each row is a document of its own: rows that share a ``doc_id`` come in
+    the order of a hash of their texts, rows without one come last in that order, and of
+    rows that repeat the first one is the earlier. Other columns are not read.
     """
+    docs = in_order(docs)
     spans = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-    texts = _packed(docs).join(spans, "doc_id", "left")
-    texts = texts.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "packed", "spans")
+    texts = _packed(docs).join(spans, "doc_id", "left").select(F.col("id").alias("doc_id"), "packed", "spans")
     schema = arrow_schema(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,13 +59,32 @@ def test_crowded_anchors(documents):
     assert {r[0]: tuple(r)[1:] for r in got(documents(list(texts.items())))} == brute(texts)
 
 
+def one_by_one(rows):
+    """Rows as documents of their own, by id, null last, and then by Spark's hash of the text."""
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+
+
+def check_rows(docs):
+    rows = docs.selectExpr("doc_id", "text", "xxhash64(coalesce(text, ''))").collect()
+    want = brute(dict(enumerate(r[1] for r in one_by_one(rows))))
+    ids = [r[0] for r in one_by_one(rows)]
+    assert sorted(map(repr, map(tuple, got(docs)))) == sorted(repr((ids[k], *v)) for k, v in want.items())
+    return want
+
+
 def test_odd_rows(odd):
-    rows = got(odd)
-    texts = {r.doc_id: r.text for r in odd.collect() if r.doc_id is not None}
-    want = brute(texts)
-    assert len(rows) == odd.count()
-    assert {r[0]: tuple(r)[1:] for r in rows if r[0] is not None} == want
-    assert sorted(r.n_bytes for r in rows if r.doc_id is None) == [0, 13]
+    check_rows(odd)
+
+
+def test_ids_that_do_not_tell_rows_apart(documents):
+    """Spans of a row are cut out of that row alone, whether ids are null or shared."""
+    rng = random.Random(21)
+    prose = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    p = prose(300)
+    rows = [(1, p), (None, p + prose(200)), (None, prose(419)), (None, p), (2, prose(419)), (2, prose(50) + p), (2, p)]
+    rows += [(2, p), (3, prose(500)), (-5, prose(200)), (2**63 - 1, p + prose(100)), (None, None)]
+    want = check_rows(documents(rows))
+    assert [v[1] for v in want.values()].count(300) == 6 and sum(v[1] == 0 for v in want.values()) == 6
 
 
 def test_empty(odd):
