@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +36,8 @@ ARC_FIELDS = {
 }
 NO_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MISSING = "-"
+#: How the body of a version block begins.
+_VERSION = re.compile(rb"[12] \d+ [^\n]+\n")
 
 
 @dataclass(frozen=True)
@@ -62,7 +65,8 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
     """The records of an ARC file of either version, without its version block.
 
     Bodies are taken by the declared length, so they may hold anything. Line ends between
-    records are skipped. A header line with the wrong number of fields, or a body that
+    records are skipped. A version block is a record of type text/plain whose url begins
+    with ``filedesc://`` and whose body names the version, a number, the maker and the fields. A header line with the wrong number of fields, or a body that
     ends early, raises ``ValueError`` with its place.
     """
     version, at = 1, 0
@@ -72,7 +76,8 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
             continue
         end = data.find(b"\n", at)
         line = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r")
-        about = line.startswith("filedesc://")
+        # A version block is one by its body, too; a page may have such a url.
+        about = line.startswith("filedesc://") and bool(_VERSION.match(data, end + 1)) and end >= 0
         names = ARC_FIELDS[1 if about else version]
         values = line.split(" ")
         if about and len(values) == len(ARC_FIELDS[2]):

@@ -90,6 +90,15 @@ def test_round_trip(spark):
     assert got(pages(spark, rows)) == brute(rows)
 
 
+def test_urls_like_version_blocks(spark):
+    rows = [(1, "filedesc://pages.arc", "2 0 rankloom\nURL"), (2, "filedesc://", "x" * 1200), (3, "u", "x" * 1200),
+            (4, "filedesc://a b", None)]
+    assert got(pages(spark, rows)) == brute(rows)
+    line = f"filedesc://b 0.0.0.0 20010203040506 text/html 404 abc - 77 f.arc {len(BODY)}"
+    (record,) = warc.read_arc(arc(2, (line, BODY)))
+    assert (record.fields["url"], record.body) == ("filedesc://b", BODY)
+
+
 def test_empty(spark):
     assert got(pages(spark, [(1, "a", "b")]).limit(0)) == []
 
