@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import alerts as al
 from rankloom.operators import metrics as mx
+from rankloom.operators.silences import apply_silence_table
 from rankloom.plans import requests as rq
 from rankloom.plans import tables as tb
 
@@ -90,7 +91,10 @@ SILENCES = (
 
 
 def silenced_alerts(spark: SparkSession, d: str) -> DataFrame:
-    heard = al.apply_silences(_states(spark, d).where("state = 'firing'"), SILENCES)
+    rows = [(s.matchers, s.starts_at, s.ends_at) for s in SILENCES]
+    silences = spark.createDataFrame(rows, "matchers map<string,string>, starts_at string, ends_at string")
+    firing = _states(spark, d).where("state = 'firing'")
+    heard = apply_silence_table(firing, silences, ["alertname", "severity", "series"])
     return _naive(heard, "eval_ts").select("alertname", "severity", "series", "eval_ts")
 
 
