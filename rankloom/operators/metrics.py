@@ -7,6 +7,9 @@ multiplied by the number of windows it lies in.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +83,8 @@ def bucket_quantile(counts: Column, bounds: tuple[float, ...], q: float) -> Colu
 
 #: Parts of a group within which an estimated quantile lies from the true one.
 BRACKET_PARTS = 10_000
+#: Such parts between the wanted rank and either end of its bracket, at first.
+BRACKET_SPREAD = 2
 #: Groups whose brackets, a few numbers each, may be sent to every executor.
 SENT_GROUPS = 100_000
 
@@ -89,38 +94,63 @@ def exact_quantile(events: DataFrame, value: Column, q: float, labels: list[str]
 
     Estimates bracket the wanted rank. A second pass counts the values below the bracket
     and each value within it, and the rank is found among these: some
-    ``1 / BRACKET_PARTS`` of a group. Null values are left out; a group of nulls has none.
+    ``1 / BRACKET_PARTS`` of a group. The counts show whether the rank lies in the bracket; groups
+    for which it doesn't are looked at again with a wider one, in the end with all their
+    values. Null values are left out; a group of nulls has none.
     """
-    rows = events.select(*labels, value.alias("_value"))
-    ends = [max(0.0, q - 2 / BRACKET_PARTS), min(1.0, q + 2 / BRACKET_PARTS)]
+    rows = events.select(*labels, value.alias("_value")).where("_value IS NOT NULL")
+    done, spread = None, BRACKET_SPREAD
+    while True:
+        found = settle(_in_bracket(rows, q, labels, spread / BRACKET_PARTS))
+        sure = found.where("_sure").drop("_sure")
+        done = sure if done is None else done.unionAll(sure)
+        missed = found.where("NOT _sure")
+        if missed.isEmpty():
+            return done
+        spread = 20 * max(spread, 1)
+        rows = rows.alias("a").join(missed.alias("b"), _same_group(labels), "left_semi")
+
+
+def _same_group(labels: list[str]) -> Column:
+    """Equal labels in the tables ``a`` and ``b``, null-safe."""
+    return reduce(and_, [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in labels], F.lit(True))
+
+
+def _in_bracket(rows: DataFrame, q: float, labels: list[str], spread: float) -> DataFrame:
+    """``(*labels, quantile, _sure)``, one row a group: the quantile, if the bracket holds its rank."""
+    ends = [max(0.0, q - spread), min(1.0, q + spread)]
     bracket = settle(
         rows.groupBy(*labels).agg(
             F.percentile_approx("_value", ends, BRACKET_PARTS).alias("_ends"),
             F.count("_value").alias("_n"),
         )
-    ).select(
+    ).where("_n > 0").select(
         *labels,
         F.when(F.lit(ends[0] > 0), F.col("_ends")[0]).alias("_low"),
         F.when(F.lit(ends[1] < 1), F.col("_ends")[1]).alias("_high"),
         F.greatest(F.ceil(F.col("_n") * F.lit(q)), F.lit(1)).alias("_rank"),
     )
     # One row a group: joined null-safe, as a label may be null.
-    same = [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in labels]
     few = bracket.count() <= SENT_GROUPS
     brackets = F.broadcast(bracket) if few else bracket
-    placed = rows.alias("a").join(brackets.alias("b"), same or F.lit(True))
+    placed = rows.alias("a").join(brackets.alias("b"), _same_group(labels))
     below = F.col("_value") < F.col("_low")
     above = F.col("_value") > F.col("_high")
     # Values outside of the bracket collapse into one count each, before they are shuffled.
     spot = F.when(below, F.lit(None)).otherwise(F.col("_value"))
     counted = (
-        placed.where(F.col("_value").isNotNull() & ~F.coalesce(above, F.lit(False)))
+        placed.where(~F.coalesce(above, F.lit(False)))
         .groupBy(*[F.col(f"a.`{c}`").alias(c) for c in labels], spot.alias("_spot"), "_rank")
         .agg(F.count(F.lit(1)).alias("_count"))
     )
     upto = Window.partitionBy(*labels).orderBy(F.asc_nulls_first("_spot"))
-    reached = counted.withColumn("_upto", F.sum("_count").over(upto))
-    return reached.where("_upto >= _rank").groupBy(*labels).agg(F.min("_spot").alias("quantile"))
+    reached = counted.withColumn("_upto", F.sum("_count").over(upto)).where("_upto >= _rank")
+    # The first to reach the rank is a value, or what lies below the bracket, which is null.
+    first = reached.groupBy(*labels).agg(F.min_by("_spot", "_upto").alias("quantile"))
+    every = bracket.alias("a").join(first.alias("b"), _same_group(labels), "left")
+    return every.select(
+        *[F.col(f"a.`{c}`").alias(c) for c in labels], "quantile", F.col("quantile").isNotNull().alias("_sure")
+    )
 
 
 def windowed(

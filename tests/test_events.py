@@ -406,6 +406,22 @@ def test_exact_quantile(spark, q):
         assert got["many"] == rank(every)
 
 
+def test_exact_quantile_beyond_its_bracket(spark, monkeypatch):
+    """Poor estimates without any room: the counts show it, and wider brackets follow."""
+    monkeypatch.setattr(mx, "BRACKET_PARTS", 30)
+    monkeypatch.setattr(mx, "BRACKET_SPREAD", 0)
+    rows = spark.range(40_000).select(
+        F.expr("CASE id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END").alias("k"),
+        (F.pmod(F.xxhash64("id"), F.lit(10**6)) / 3.0).alias("v"),
+    )
+    values = {}
+    for r in rows.collect():
+        values.setdefault(r.k, []).append(r.v)
+    for q in (0.33, 0.95):
+        want = {k: sorted(v)[math.ceil(q * len(v)) - 1] for k, v in values.items()}
+        assert {r.k: r["quantile"] for r in mx.exact_quantile(rows, F.col("v"), q, ["k"]).collect()} == want
+
+
 def test_exact_quantile_without_labels(spark):
     rows = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "v double")
     assert [r["quantile"] for r in mx.exact_quantile(rows, F.col("v"), 0.5, []).collect()] == [2.0]
