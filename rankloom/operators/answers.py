@@ -229,7 +229,7 @@ def _compute(
     asked = embedded.where("embedding IS NOT NULL").count()
     search_seconds = (time.perf_counter() - began) / max(1, asked)
     fused = reciprocal_rank_fusion(hits, params.rrf_k)
-    with_text = ctx.attach_payload(fused, payload, top_k, most_hits=hits.count())
+    with_text = ctx.attach_payload(fused, payload, top_k)
     contexts = settle(ctx.collect_context(with_text))
     known = (
         embedded.select("cache_key", "question", "embed_error_type", "embed_error", "embed_seconds")

@@ -6,18 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as tx
+from rankloom.operators.idfilter import passing, wanted_bits
 from rankloom.params import Params
 
-# Fused hits up to this many rows are sent to the payload scan instead of
-# shuffling the payload table to them.
-BROADCAST_HITS = 500_000
-
 
 def attach_payload(
     fused: DataFrame,
     payload: DataFrame,
     top_k: int,
-    most_hits: int | None = None,
 ) -> DataFrame:
     """The ``top_k`` fused hits of each question with ``text`` and ``metadata``.
 
@@ -26,9 +22,8 @@ def attach_payload(
     both. Ids without payload get empty text and an empty map.
 
     The texts are the widest column of the system, so they are joined last and
-    only for winners. ``most_hits`` is an upper bound on the number of winners
-    the caller can prove (questions x top_k); at or below ``BROADCAST_HITS`` the
-    winners' ids filter the payload scan before its shuffle.
+    only for winners: a filter of the winners' ids, of bounded size, is sent to the
+    payload scan, so little else is shuffled.
     """
     winners = fused.where(F.col("fused_rank") <= top_k)
     keys = ["point_id"]
@@ -43,8 +38,7 @@ def attach_payload(
     texts = payload.select(
         *[F.col(c).cast("string").alias(c) for c in keys], "text", "metadata"
     )
-    if most_hits is not None and most_hits <= BROADCAST_HITS:
-        texts = texts.join(F.broadcast(winners.select(*keys).distinct()), keys, "left_semi")
+    texts = passing(texts, keys, wanted_bits(winners, keys))
     joined = winners.join(texts, keys, "left")
     return joined.select(
         *fused.columns,

@@ -67,8 +67,7 @@ def retrieval_outcome(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _with_payload(spark: SparkSession, d: str, fused: DataFrame) -> DataFrame:
-    most_hits = tb.vector_questions(spark, d).count() * TOP_K
-    return ctx.attach_payload(fused, tb.payload(spark, d), TOP_K, most_hits)
+    return ctx.attach_payload(fused, tb.payload(spark, d), TOP_K)
 
 
 def _context(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rankloom.operators.idfilter import SLOTS, passing, wanted_bits
 from rankloom.operators import context as ctx
 from rankloom.operators import fusion as fu
 from rankloom.operators import similarity as sim
@@ -201,14 +202,29 @@ def test_payload_defaults_and_internal_preference(spark):
         [("a", "internal", "inside", {"u": "1"}), ("a", "external", "outside", None), ("b", "external", None, None)],
         "point_id string, collection string, text string, metadata map<string,string>",
     )
-    for bound in (None, 10):
-        out = ctx.attach_payload(fu.reciprocal_rank_fusion(hits), payload, 5, bound)
-        got = {r.point_id: (r.text, r.metadata) for r in out.collect()}
-        assert got == {"a": ("inside", {"u": "1"}), "b": ("", {}), "c": ("", {})}
+    out = ctx.attach_payload(fu.reciprocal_rank_fusion(hits), payload, 5)
+    got = {r.point_id: (r.text, r.metadata) for r in out.collect()}
+    assert got == {"a": ("inside", {"u": "1"}), "b": ("", {}), "c": ("", {})}
     top = ctx.attach_payload(fu.reciprocal_rank_fusion(hits), payload, 2).collect()
     assert sorted(r.point_id for r in top) == ["a", "c"]
 
 
+def test_id_filter_passes_what_is_wanted(spark):
+    """All wanted ids pass and hardly any other; the filter's size is bounded."""
+    every = spark.range(200_000).select(F.col("id").cast("string").alias("point_id"), F.lit("c").alias("collection"), F.lit("x").alias("text"))
+    keys = ["point_id", "collection"]
+    wanted = every.where("CAST(point_id AS INT) % 1000 < 5")
+    bits = wanted_bits(wanted, keys)
+    out = passing(every, keys, bits)
+    assert out.columns == every.columns
+    found = {r.point_id for r in out.collect()}
+    assert found >= {str(k) for k in range(200_000) if k % 1000 < 5} and len(found) < 1050
+    assert bits.count() <= SLOTS // 32_768 and bits.select(F.max(F.octet_length("_bits"))).first()[0] == 4096
+    assert passing(every, keys, wanted_bits(wanted.limit(0), keys)).count() == 0
+    whole = spark.range(300_000).select(F.col("id").alias("k"))
+    assert passing(whole, ["k"], wanted_bits(whole, ["k"])).count() == 300_000
+
+
 def test_markdown_and_report(spark, tmp_path):
     answer = F.struct(
         F.lit("q").alias("question"), F.lit("a").alias("answer"),
