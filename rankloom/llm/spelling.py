@@ -1,15 +1,17 @@
 """Spelling variants: words one edit apart, found through pivotal grams, and the form each leads to.
 
-A word's bigrams are put into one order for all words, rare ones first. The first three
-are its gram prefix, with all others that equal the third. Two disjoint bigrams of the
-prefix are its pivots, the cheapest pair by dynamic programming. One edit spoils at most
-one of two disjoint bigrams, so of two words one edit apart, the one whose prefix ends
-earlier in the order has a pivot that the other has too, and there it lies in the prefix.
-
-Position limits: an edit that leaves a bigram alone lies on one side of it. If it is
-behind the first pivot, that pivot stands at the same place from the start and all before
-it is equal; else the second pivot stands at the same place from the end and all behind it
-is equal. So pivots are looked up with the letters on that side.
+A word's bigrams are put into one order for all words, rare ones first. The first few
+are its gram prefix, with all others that equal the last of them. Two disjoint bigrams of
+the prefix are its pivots. One edit spoils at most one of two disjoint bigrams, so of two
+words one edit apart, the one whose prefix ends earlier in the order has a pivot that the
+other has too, and there it lies in the prefix.
+
+Position limits: the pivots cut a word into three segments, up to the end of the first, between
+them, and from the second on. One edit lies in one segment, so whatever is before and behind
+that segment stands in the other word unchanged, at the same place from the start and from the
+end, with the pivot that is left. That is what pivots are looked up by; the other words
+are indexed by what can stand so around the grams of their prefix. Of the prefix those two pivots
+are chosen, by dynamic programming, whose segments leave the least to chance.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,13 @@ OCCURRENCES = 3
 COUNTERS = 1 << 16
 EDITS = 1
 GRAM = 2
+#: Grams of a prefix; three would do, with more there are better pivots among them.
+PREFIX = 5
+#: Places of a prefix up to which pairs of them are indexed; a word of many equal grams has more.
+PAIRED = 12
+#: So many letters might stand where one does.
+CHANCES = 6
+_MASK, _ODD = (1 << 64) - 1, 0x9E3779B97F4A7C15
 
 
 def spelled_words(docs: DataFrame) -> DataFrame:
@@ -70,43 +80,58 @@ def gram_counts(words: DataFrame) -> np.ndarray:
 
 def prefix_of(grams: list[tuple[int, str]]) -> list[int]:
     """Places of a word's gram prefix, from left to right; ``grams`` are ``(count, gram)`` by place."""
-    needed = GRAM * EDITS + 1
-    last = sorted(grams)[min(needed, len(grams)) - 1]
+    last = sorted(grams)[min(PREFIX, len(grams)) - 1]
     return [at for at, gram in enumerate(grams) if gram <= last]
 
 
-def pivots_of(prefix: list[int], costs: list[int]) -> tuple[int, ...]:
-    """The places of the cheapest ``EDITS + 1`` disjoint grams of a prefix.
+def pivots_of(prefix: list[int], length: int) -> tuple[int, ...]:
+    """The places of ``EDITS + 1`` disjoint grams of a prefix that cut a word best.
 
-    ``cheapest[j]`` is the best choice of so many grams among the first ``j``: either the
-    last of them is left out, or it is taken with the best of those that end before it.
+    A segment of so many letters costs ``CHANCES`` to that power. ``cheapest[j]`` is the best
+    way to take so many grams of which the last is the ``j``-th: from the first on, each is
+    put behind the best of those that end before it.
     """
-    cheapest: list = [(0, ())] * (len(prefix) + 1)
-    for _ in range(EDITS + 1):
-        chosen: list = [None]
-        clear = 0  # grams of the prefix that end before the one at hand
+    costs = [CHANCES ** min(size, 64) for size in range(length + 1)]
+    cheapest: list = [(costs[at + GRAM], (at,)) for at in prefix]
+    for _ in range(EDITS):
+        longer: list = []
         for j, at in enumerate(prefix):
-            while prefix[clear] + GRAM <= at:
-                clear += 1
-            best, fewer = chosen[j], cheapest[clear]
-            if fewer is not None:
-                taken = (fewer[0] + costs[j], (*fewer[1], at))
-                best = taken if best is None else min(best, taken)
-            chosen.append(best)
-        cheapest = chosen
-    return cheapest[-1][1]
+            before = (c for c in cheapest[:j] if c and c[1][-1] + GRAM <= at)
+            ways = ((cost + costs[at - taken[-1] - GRAM], (*taken, at)) for cost, taken in before)
+            longer.append(min(ways, default=None))
+        cheapest = longer
+    whole = ((c[0] + costs[length - c[1][-1]], c[1]) for c in cheapest if c)
+    return min(whole)[1]
 
 
-def parts_of(word: str, gram_key) -> tuple[list[str], list[str]]:
-    """What a word's pivots are looked up by, and what its prefix answers to.
+def keys_of(word: str, gram_key) -> tuple[list[int], list[int]]:
+    """Hashes of what a word's pivots are looked up by, and of what its prefix answers to.
 
-    A part is the word up to the end of a gram, or from a gram on; the mark before it says which.
+    The edit is in the first segment: all behind it is equal; in the last: all before it;
+    between the pivots: both. A word of many equal grams answers to the part up to a
+    gram instead of all pairs of parts.
     """
-    grams = [gram_key(word[at : at + GRAM]) for at in range(len(word) - GRAM + 1)]
-    prefix = prefix_of(grams)
-    first, *_, second = pivots_of(prefix, [grams[at][0] for at in prefix])
-    asked = ["<" + word[: first + GRAM], ">" + word[second:]]
-    return asked, [m for at in prefix for m in ("<" + word[: at + GRAM], ">" + word[at:])]
+    data, digest, length = memoryview(word.encode("utf-32-le", "surrogatepass")), xxhash.xxh3_64_intdigest, len(word)
+
+    def head(end: int, mark: int = 1) -> int:
+        return digest(data[: 4 * end], mark)
+
+    def tail(start: int) -> int:
+        return digest(data[4 * start :], 2)
+
+    def both(end: int, start: int) -> int:
+        return (head(end) * _ODD + tail(start)) & _MASK
+
+    prefix = prefix_of([gram_key(word[at : at + GRAM]) for at in range(length - GRAM + 1)])
+    first, second = pivots_of(prefix if len(prefix) <= PAIRED else [prefix[0], *prefix[-2:]], length)
+    end = first + GRAM
+    asked = [tail(end), head(second), both(end, second), head(end, 3)]
+    held = [tail(at) for at in range(1, prefix[-1] + 1)] + [head(at) for at in range(prefix[0] + GRAM, length)]
+    if len(prefix) <= PAIRED:
+        held += [both(x + GRAM, y) for k, x in enumerate(prefix) for y in prefix[k + 1 :] if y >= x + GRAM]
+    else:
+        held += [head(at + GRAM, 3) for at in prefix]
+    return asked, held
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
@@ -131,17 +156,18 @@ def near_pairs(words: DataFrame) -> DataFrame:
                 part = batch.slice(at, 1024)
                 of, asks, keys = [], [], []
                 for k, word in enumerate(part.column(0).to_pylist()):
-                    asked, held = parts_of(word, gram_key)
+                    asked, held = keys_of(word, gram_key)
                     of += [k] * (len(asked) + len(held))
                     asks += [True] * len(asked) + [False] * len(held)
                     keys += asked + held
                 rows = part.take(pa.array(of, pa.int64()))
-                columns = [*rows.columns, pa.array(asks, pa.bool_()), pa.array(keys, pa.string())]
-                yield pa.record_batch(columns, ["word", "n", "asks", "part"])
+                hashes = np.array(keys, np.uint64).view(np.int64)
+                yield pa.record_batch(
+                    [*rows.columns, pa.array(asks, pa.bool_()), pa.array(hashes)], ["word", "n", "asks", "key"]
+                )
 
-    rows = words.select("word", "n").mapInArrow(index, "word string, n bigint, asks boolean, part string")
-    key, size = F.xxhash64("part").alias("key"), F.char_length("word").alias("size")
-    rows = written(rows.select("asks", key, size, "word", "n"), "grams")
+    rows = words.select("word", "n").mapInArrow(index, "word string, n bigint, asks boolean, key bigint")
+    rows = written(rows.select("asks", "key", F.char_length("word").alias("size"), "word", "n"), "grams")
     # Lengths differ by one at most.
     near = F.explode(F.array(*[F.col("size") + d for d in (-1, 0, 1)])).alias("size")
     asked = rows.where("asks").select("key", near, F.col("word").alias("w"), F.col("n").alias("w_n"))

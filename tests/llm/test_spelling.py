@@ -124,8 +124,17 @@ def test_runs(spark):
 def test_cheapest_disjoint_pivots():
     rng = random.Random(3)
     for _ in range(500):
-        prefix = sorted(rng.sample(range(12), rng.randint(3, 7)))
-        costs = [rng.randint(1, 9) for _ in prefix]
-        at = dict(zip(prefix, costs))
-        pairs = [(at[a] + at[b], (a, b)) for a in prefix for b in prefix if b >= a + 2]
-        assert sp.pivots_of(prefix, costs) == min(pairs)[1]
+        length = rng.randint(5, 16)
+        prefix = sorted(rng.sample(range(length - 1), rng.randint(3, min(7, length - 1))))
+        if prefix[-1] - prefix[0] < 2:
+            continue
+        cost = lambda a, b: sum(sp.CHANCES**n for n in (a + 2, b - a - 2, length - b))
+        pairs = [(cost(a, b), (a, b)) for a in prefix for b in prefix if b >= a + 2]
+        a, b = sp.pivots_of(prefix, length)
+        assert (cost(a, b), (a, b)) == min(pairs)
+
+
+def test_very_long_words(spark):
+    """Runs of one letter and of two, of which many have equal grams."""
+    words = {"ab" * 1500: 50, "ab" * 1500 + "a": 20, "a" + "ab" * 1499 + "b": 8, "xy" * 10: 9, "xy" * 9 + "y": 4}
+    assert found(sp.variants(as_words(spark, words))) == brute(words)
