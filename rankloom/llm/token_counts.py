@@ -42,8 +42,9 @@ class Counter:
     """
 
     def __init__(self, scores: dict[bytes, float]) -> None:
-        self._scores = {piece.decode("latin-1"): score for piece, score in scores.items()}
-        self._longest = max(map(len, self._scores), default=0)
+        spelled = {piece.decode("latin-1"): score for piece, score in scores.items()}
+        # With the ends of pieces, without a score: where none ends so, no longer piece does.
+        self._ends = dict.fromkeys(p[k:] for p in spelled for k in range(1, len(p))) | spelled
         self._pieces: dict[str, int] = {}
         self._sums: dict[str, float] = {}
         self._long: list[str] = []
@@ -54,7 +55,7 @@ class Counter:
         """Store the numbers of new pre-tokens."""
         if self._bytes > REMEMBERED_BYTES:
             self.forget()
-        scores, longest = self._scores, self._longest
+        known_end = self._ends.get
         path, sums, pieces = "", [0.0], [0]
         spelled = ((p.encode().decode("latin-1"), p) for p in pre_tokens.difference(self._pieces))
         for letters, pre_token in sorted(spelled):
@@ -62,8 +63,10 @@ class Counter:
             del sums[shared + 1 :], pieces[shared + 1 :]
             for end in range(shared + 1, len(letters) + 1):
                 best, fewest = -math.inf, 0
-                for start in range(max(0, end - longest), end):
-                    score = scores.get(letters[start:end])
+                for start in range(end - 1, -1, -1):
+                    score = known_end(letters[start:end], False)
+                    if score is False:
+                        break
                     if score is not None:
                         total, n = sums[start] + score, pieces[start] + 1
                         if total > best or (total == best and n < fewest):
