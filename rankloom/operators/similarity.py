@@ -21,7 +21,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,10 +34,10 @@ EXTERNAL = "external"
 COLLECTIONS = (INTERNAL, EXTERNAL)
 
 # Question matrices up to this size go to every executor; larger question tables
-# are split into blocks that meet the points in an equi-join instead.
+# are split into blocks that meet slices of the points in a grid instead.
 BROADCAST_BYTES = 64 << 20
 _TILE_CELLS = 4 << 20
-# Points of one question block that share a join key.
+# Points of one cell of that grid.
 _CELL_BYTES = 1 << 30
 # What a question's id, and one of its hits, take in a Python task.
 _ID_BYTES, _HIT_BYTES = 64, 80
@@ -163,20 +163,21 @@ def _bars(last_places: DataFrame, query_ids: pa.Array) -> dict[str, np.ndarray]:
 def _joined_blocks(
     vectors: DataFrame, corpus: DataFrame, id_type: T.DataType, options: _Options, per_lane: int
 ) -> DataFrame:
-    """Too many questions to ship: split them into hash blocks of ``per_lane`` and shuffle.
+    """Too many questions to ship: a grid of hash blocks of questions and slices of points.
 
     The points are written down first: they are counted, sent and read again by retries.
 
-    Every point block is sent once to each question block (``lane``). ``salt``
-    spreads the point blocks of one lane over cells of bounded size, so no task
-    grows with the corpus; a lane's question block is repeated once per salt.
+    A cell of the grid takes the questions of one ``lane`` and the points of one ``salt``. What
+    is sent is the questions once for each salt, with the hits that come back, and the
+    points once for each lane; of the grids with cells enough for all cores the one that
+    sends least is taken. A lane holds at most ``per_lane`` questions on average, and a
+    cell at most ``_CELL_BYTES`` of points; a task reads these batch by batch.
     """
     corpus = settle(corpus)
+    spark = vectors.sparkSession
     dim = vectors.agg(F.max(F.size("embedding"))).first()[0]
-    lanes = max(1, -(-vectors.count() // per_lane))
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cell_rows = max(1, _CELL_BYTES // (4 * max(1, dim)))
-    salts = max(1, parts // lanes, -(-corpus.count() // cell_rows))
+    asked, held = vectors.count(), corpus.count()
+    lanes, salts = _grid(asked, held, dim, options.top_k, per_lane, _cells(spark))
 
     question_blocks = (
         vectors.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(lanes)).alias("lane"))
@@ -193,15 +194,38 @@ def _joined_blocks(
     point_blocks = corpus.mapInArrow(
         partial(_pack_points, options.top_k, salts), block_schema
     ).withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
-    # A merge join delivers its rows sorted by lane, which the scorer relies on
-    # to hold one lane's lists at a time.
+    # A cell's questions come before its points, so a task holds one lane's lists at a time and
+    # no question block more than once.
     return (
-        point_blocks.join(question_blocks.hint("merge"), ["lane", "salt"])
-        .select("lane", "query_ids", "query_vectors", "collection", "point_ids", "point_vectors")
-        .mapInArrow(partial(_score_pairs, options), _hit_schema(id_type))
+        question_blocks.unionByName(point_blocks, allowMissingColumns=True)
+        .repartition("lane", "salt")
+        .sortWithinPartitions("lane", "salt", F.col("query_ids").isNull())
+        .select("lane", "salt", "query_ids", "query_vectors", "collection", "point_ids", "point_vectors")
+        .mapInArrow(partial(_score_cells, options), _hit_schema(id_type))
     )
 
 
+def _cells(spark: SparkSession) -> int:
+    """So many cells keep all cores busy."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(parts, 4 * spark.sparkContext.defaultParallelism))
+
+
+def _grid(asked: int, held: int, dim: int, top_k: int, per_lane: int, cells: int) -> tuple[int, int]:
+    """The number of lanes and of salts.
+
+    With the cells of a number the bytes sent grow with the input, and not with its square,
+    until a lane's or a cell's bound asks for more of them.
+    """
+    width = max(1, 4 * dim)
+    per_question = width + len(COLLECTIONS) * top_k * _HIT_BYTES // 2
+    least_lanes = max(1, -(-asked // per_lane))
+    least_salts = max(1, -(-held * width // _CELL_BYTES))
+    lanes = round((cells * asked * per_question / max(1, held * width)) ** 0.5)
+    lanes = max(least_lanes, min(lanes, cells))
+    return lanes, max(least_salts, -(-cells // lanes))
+
+
 # --- task side ---------------------------------------------------------------
 
 
@@ -462,46 +486,56 @@ def _score_partition(shared, options: _Options, batches: Iterable[pa.RecordBatch
 
 
 def _pack_points(top_k: int, salts: int, batches: Iterable[pa.RecordBatch]):
+    """A batch's points in ascending order of their ids, cut into a slice for each salt."""
     for batch in batches:
         for name, ids, matrix in _blocks(batch, top_k):
-            if len(ids) == 0:
-                continue
-            rows, dim = matrix.shape
-            flat = pa.array(matrix.ravel())
-            vectors = pa.ListArray.from_arrays(
-                pa.array(np.arange(rows + 1, dtype=np.int32) * dim), flat
-            )
-            whole = pa.array([0, rows], pa.int32())
-            # A block's salt depends on its content only, so a retry repeats it.
-            salt = zlib.crc32(f"{ids[0].as_py()}|{ids[-1].as_py()}".encode())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([name], pa.string()),
-                    pa.ListArray.from_arrays(whole, ids.cast(pa.string())),
-                    pa.ListArray.from_arrays(whole, vectors),
-                    pa.array([salt % salts], pa.int32()),
-                ],
-                names=["collection", "point_ids", "point_vectors", "salt"],
-            )
+            ids = ids.cast(pa.string())
+            # Which salt gets the first slice depends on the content only, so a retry repeats it.
+            turn = zlib.crc32(f"{ids[0].as_py()}|{ids[-1].as_py()}".encode()) if len(ids) else 0
+            cuts = np.linspace(0, len(ids), salts + 1).astype(int).tolist()
+            for k, (start, end) in enumerate(zip(cuts, cuts[1:])):
+                if start == end:
+                    continue
+                rows, dim = end - start, matrix.shape[1]
+                vectors = pa.ListArray.from_arrays(
+                    pa.array(np.arange(rows + 1, dtype=np.int32) * dim), pa.array(matrix[start:end].ravel())
+                )
+                whole = pa.array([0, rows], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([name], pa.string()),
+                        pa.ListArray.from_arrays(whole, ids.slice(start, rows)),
+                        pa.ListArray.from_arrays(whole, vectors),
+                        pa.array([(turn + k) % salts], pa.int32()),
+                    ],
+                    names=["collection", "point_ids", "point_vectors", "salt"],
+                )
+
+
+def _score_cells(options: _Options, batches: Iterable[pa.RecordBatch]):
+    """Score the cells of a task, each its question block and then its points."""
+    cell, query_ids, queries, best = None, None, None, {}
+
+    def found():
+        for name, hits in best.items():
+            yield hits.rows(query_ids, name, _arrow_schema(query_ids))
 
-
-def _score_pairs(options: _Options, batches: Iterable[pa.RecordBatch]):
-    """Score joined block pairs, holding the best lists of one lane at a time."""
-    lane, query_ids, best = None, None, {}
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
-            if row.column("lane")[0].as_py() != lane:
-                for name, hits in best.items():
-                    yield hits.rows(query_ids, name, _arrow_schema(query_ids))
-                lane, best = row.column("lane")[0].as_py(), {}
+            here = (row.column("lane")[0].as_py(), row.column("salt")[0].as_py())
+            if row.column("query_ids").null_count == 0:
+                yield from found()
+                cell, best = here, {}
                 query_ids = row.column("query_ids").flatten()
                 queries = _matrix(row.column("query_vectors").flatten())
+                continue
+            if here != cell:  # a lane without questions
+                continue
             name = row.column("collection")[0].as_py()
             if name not in best:
                 best[name] = _BestHits(queries, options)
             best[name].offer(
                 row.column("point_ids").flatten(), _matrix(row.column("point_vectors").flatten())
             )
-    for name, hits in best.items():
-        yield hits.rows(query_ids, name, _arrow_schema(query_ids))
+    yield from found()

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,3 +247,38 @@ def test_requests_and_responses(spark):
     answer = F.struct(F.lit("q").alias("question"), F.array(F.lit("s")).alias("sources"))
     got = spark.range(1).select(ctx.json_response(answer)).first()[0]
     assert got == '{"question":"q","sources":["s"]}'
+
+
+@pytest.mark.parametrize("partitions", ["100", "600"])
+def test_what_the_grid_sends_grows_with_the_input(spark, partitions):
+    """Six times the rows are sent as six times the rows, however many partitions there are."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        cells = sim._cells(spark)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+    def sent(rows):
+        lanes, salts = sim._grid(rows, rows, 64, 5, 70_000, cells)
+        assert lanes * salts >= cells and rows / lanes <= 70_000
+        return rows * (lanes + salts)
+
+    assert sent(600_000) <= 8 * sent(100_000)
+    assert sent(600_000) <= 20 * 600_000
+
+
+def test_points_of_a_lane_without_questions():
+    def row(lane, questions=None, points=None):
+        return {
+            "lane": lane, "salt": 0, "query_ids": questions and [k for k, _ in questions],
+            "query_vectors": questions and [v for _, v in questions], "collection": points and "internal",
+            "point_ids": points and [k for k, _ in points], "point_vectors": points and [v for _, v in points],
+        }
+
+    rows = [row(0, questions=[(7, [1.0])]), row(0, points=[("a", [2.0])]), row(1, points=[("b", [3.0])])]
+    rows += [row(2, questions=[(8, [1.0])]), row(2, points=[("c", [4.0]), ("d", [5.0])])]
+    out = list(sim._score_cells(sim._Options(1, "dot", None), [pa.RecordBatch.from_pylist(rows)]))
+    assert [r for batch in out for r in zip(*batch.to_pydict().values())] == [
+        (7, "internal", "a", 2.0), (8, "internal", "d", 5.0)
+    ]
