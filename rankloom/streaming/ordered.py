@@ -1,13 +1,14 @@
 """Keyed folds in event-time order: rows may arrive in any order within the watermark.
 
-A row waits in its key's list state until the watermark has passed it; an event-time timer
-then folds all waiting rows of the key that are due, in ``(ts, order)`` order. What the
+A row waits in a list state until the watermark has passed it; an event-time timer then folds
+all waiting rows that are due, key by key in ``(ts, order)`` order. Keys share states and timers by
+hash buckets: what a call to the state store costs is spent on a bucket, not on each key. What the
 folds decide is thus what the batch operators decide over the same rows, in whatever order
 and files these came. Rows behind the watermark can't be put in order any more: the engine
 drops them and counts them (``late_rows``). A fold says when its state tells no more than no
 state would; the state then goes, so that keys that are gone take no room.
 
-The waiting rows of a key are those of one watermark's delay and one micro-batch; the
+The waiting rows of a bucket are those of one watermark's delay and one micro-batch; the
 source's limit per trigger bounds the latter. State lies in RocksDB.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,9 @@ from rankloom.operators.clock import micros
 from rankloom.params import Params
 from rankloom.streaming.folds import _advance, _is_quiet, _limit, _ttl
 
+#: Keys are dealt to so many buckets, whose rows and states are one read and one write each.
+BUCKETS = 512
+_NEVER = 1 << 50
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -53,22 +58,25 @@ class Fold:
 
 
 class _InOrder(StatefulProcessor):
-    def __init__(self, fold: Fold, names: list[str], inside: list[str], waiting: T.StructType) -> None:
+    """The keys of one bucket: their waiting rows and their states are each read and put in one go."""
+
+    def __init__(self, fold: Fold, keys: list[str], inside: list[str], waiting: T.StructType, held: T.StructType) -> None:
         # Columns arrive numbered: names may clash with the key's, or not be ones Python can say.
-        self._fold, self._names, self._inside, self._schema = fold, names, inside, waiting
+        self._fold, self._keys, self._inside = fold, keys, inside
+        self._waiting_schema, self._held_schema = waiting, held
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._waiting = handle.getListState("waiting", self._schema)
-        self._held = handle.getValueState("held", self._fold.state)
+        self._waiting = handle.getListState("waiting", self._waiting_schema)
+        self._held = handle.getListState("held", self._held_schema)
         self._due = handle.getValueState("due", "ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         least = None
         for frame in rows:
-            came = frame[self._schema.names].astype(object)
-            self._waiting.appendList(list(came.itertuples(index=False, name=None)))
-            first = int(frame[self._schema.names[0]].min())
+            came = frame[self._waiting_schema.names]
+            self._waiting.appendList(_tuples(came, len(self._keys)))
+            first = int(frame["in0"].min())
             least = first if least is None else min(least, first)
         if least is not None:
             self._wake_after(least)
@@ -77,32 +85,51 @@ class _InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self._due.clear()
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = pd.DataFrame(list(self._waiting.get()), columns=self._inside)
-        ready = rows["_us"] <= passed
+        many = len(self._keys)
+        rows = pd.DataFrame(list(self._waiting.get()), columns=[*self._keys, *self._inside])
+        held = {tuple(r[:many]): tuple(_plain(v) for v in r[many:]) for r in self._held.get()}
+        ready = (rows["_us"] <= passed).astype(bool)
         self._waiting.clear()
+        wakes = []
         if (~ready).any():
-            later = rows[~ready].astype(object)
-            self._waiting.put(list(later.itertuples(index=False, name=None)))
-            self._wake_after(int(rows.loc[~ready, "_us"].min()))
-        state = tuple(self._held.get()) if self._held.exists() else None
+            self._waiting.put(_tuples(rows[~ready], many))
+            wakes.append(int(rows.loc[~ready, "_us"].min()))
         if ready.any():
-            due = rows[ready].sort_values(["_us", "_order"], ignore_index=True)
-            state, events = self._fold.step(state, due)
-            out = due[["_order"]].assign(**events)
-            out["_ts"] = pd.to_datetime(due["_us"], unit="us", utc=True)
-            for name, value in zip(self._names, key):
-                out[name] = value
-            self._held.update(tuple(state))
-            yield out
-        if state is None or ready.all() and self._fold.spent(tuple(state), passed):
-            self._held.clear()
-        elif ready.all():
-            self._wake_after(passed + self._patience(state, passed))
+            yield self._folded(rows[ready], held)
+        for name, state in list(held.items()):
+            wait = self._patience(state, passed)
+            if wait == 0:
+                del held[name]
+            elif wait < _NEVER:
+                wakes.append(passed + wait)
+        self._held.clear()
+        if held:
+            self._held.put([(*name, *state) for name, state in held.items()])
+        if wakes:
+            self._wake_after(min(wakes))
+
+    def _folded(self, rows: pd.DataFrame, held: dict[tuple, tuple]) -> pd.DataFrame:
+        """The events of ``rows``, one key after another; ``held`` gets the keys' new states."""
+        places: dict[tuple, int] = {}
+        place = [places.setdefault(name, len(places)) for name in zip(*(rows[k] for k in self._keys))]
+        due = rows.assign(_place=place).sort_values(["_place", "_us", "_order"], ignore_index=True)
+        ends = np.cumsum(np.bincount(due["_place"], minlength=len(places))).tolist()
+        made: dict[str, list] = {}
+        for name, start, end in zip(places, [0, *ends], ends):
+            state, events = self._fold.step(held.get(name), due.iloc[start:end])
+            held[name] = tuple(state)
+            for column, values in events.items():
+                made.setdefault(column, []).extend(values)
+        out = due[["_order"]].assign(**made)
+        out["_ts"] = pd.to_datetime(due["_us"], unit="us", utc=True)
+        return out.assign(**{k: due[k] for k in self._keys})
 
     def _patience(self, state: tuple, passed: int) -> int:
-        """Microseconds until the state is spent, found by doubling."""
+        """Microseconds until the state is spent, found by doubling; 0 if it is."""
+        if self._fold.spent(state, passed):
+            return 0
         wait = 1_000_000
-        while wait < 1 << 50 and not self._fold.spent(tuple(state), passed + wait):
+        while wait < _NEVER and not self._fold.spent(state, passed + wait):
             wait *= 2
         return wait
 
@@ -120,6 +147,37 @@ class _InOrder(StatefulProcessor):
         pass
 
 
+def _tuples(frame: pd.DataFrame, keys: int) -> list[tuple]:
+    """Rows for a list state; the first columns are keys, whose nulls are None."""
+    columns = [frame.iloc[:, at].astype(object) for at in range(frame.shape[1])]
+    columns[:keys] = [column.where(column.notna(), None) for column in columns[:keys]]
+    return list(zip(*columns))
+
+
+def _plain(value):
+    """A state's value as Python has it, not numpy."""
+    return value.tolist() if hasattr(value, "tolist") else value
+
+
+def _as_text(name: str, kind: T.DataType) -> Column:
+    """A key as text that tells all keys apart; Python gets no nulls among numbers."""
+    if isinstance(kind, T.BinaryType):
+        return F.hex(name)
+    if isinstance(kind, T.TimestampType):  # local time may be ambiguous
+        return F.unix_micros(name).cast("string")
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        raise TypeError(f"{name} is no plain key: {kind.simpleString()}")
+    return F.col(name).cast("string")
+
+
+def _from_text(text: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.BinaryType):
+        return F.unhex(text)
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_micros(text.cast("long"))
+    return text.cast(kind)
+
+
 def in_order(
     rows: DataFrame, key: list[str], ts: str, order: str, extra: list[Column], fold: Fold, watermark: str | None
 ) -> DataFrame:
@@ -133,17 +191,25 @@ def in_order(
         timed = timed.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
     inside = ["_us", "_order", *timed.select(*extra).columns]
     columns = [micros(ts), F.col(order), *extra]
-    narrow = timed.select(*key, F.col(ts).alias("in_ts"), *[c.alias(f"in{k}") for k, c in enumerate(columns)])
-    waiting = T.StructType([narrow.schema[f"in{k}"] for k in range(len(columns))])
+    kinds = {name: timed.schema[name].dataType for name in key}
+    names = [f"key{k}" for k in range(len(key))]
+    narrow = timed.select(
+        F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).alias("bucket"),
+        *[_as_text(name, kind).alias(n) for n, (name, kind) in zip(names, kinds.items())],
+        F.col(ts).alias("in_ts"), *[c.alias(f"in{k}") for k, c in enumerate(columns)],
+    )
+    texts = [T.StructField(n, T.StringType()) for n in names]
+    waiting = T.StructType([*texts, *[narrow.schema[f"in{k}"] for k in range(len(columns))]])
+    held = T.StructType([*texts, *T.StructType.fromDDL(fold.state).fields])
     events = T.StructType.fromDDL(fold.events)
     made = T.StructType([
-        T.StructField("_order", narrow.schema["in1"].dataType), *events.fields,
-        T.StructField("_ts", T.TimestampType()), *[T.StructField(k, narrow.schema[k].dataType) for k in key],
+        T.StructField("_order", narrow.schema["in1"].dataType), *events.fields, T.StructField("_ts", T.TimestampType()), *texts,
     ])
-    out = narrow.groupBy(*key).transformWithStateInPandas(
-        _InOrder(fold, key, inside, waiting), made, outputMode="Append", timeMode="EventTime"
+    out = narrow.groupBy("bucket").transformWithStateInPandas(
+        _InOrder(fold, names, inside, waiting, held), made, outputMode="Append", timeMode="EventTime"
     )
-    return out.select(*key, F.col("_ts").alias(ts), F.col("_order").alias(order), *events.names)
+    back = [_from_text(F.col(n), kind).alias(name) for n, (name, kind) in zip(names, kinds.items())]
+    return out.select(*back, F.col("_ts").alias(ts), F.col("_order").alias(order), *events.names)
 
 
 def _events(name: str, step: Callable) -> Callable:
