@@ -21,12 +21,16 @@ _DIGITS, _LETTERS = "0123456789", "ghijklmnop"
 
 @dataclass(frozen=True)
 class Kind:
-    """What is masked: candidates, the normal form of one, and whether that is valid."""
+    """What is masked: candidates, the normal form of one, and whether that is valid.
+
+    ``sign`` is a quick pattern found in every text with a valid candidate; texts without it are left at once.
+    """
 
     name: str
     pattern: str
     normal: Callable[[Column], Column]
     valid: Callable[[Column], Column]
+    sign: str = ""
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -82,11 +86,12 @@ KINDS = [
         r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})++",
         F.lower,
         lambda _: F.lit(True),
+        "@",
     ),
-    Kind("phone", r"\+[0-9](?:[ ().-]{0,3}[0-9])*+", _digits, lambda d: F.length(d).between(9, 15)),
-    Kind("card", r"[0-9](?:[ -]?[0-9])*+", _digits, luhn),
-    Kind("national_id", r"[0-9]+", _digits, national_id),
-    Kind("ip", r"[0-9]+(?:\.[0-9]+)*+", lambda m: m, _octets),
+    Kind("phone", r"\+[0-9](?:[ ().-]{0,3}[0-9])*+", _digits, lambda d: F.length(d).between(9, 15), r"\+[0-9]"),
+    Kind("card", r"[0-9](?:[ -]?[0-9])*+", _digits, luhn, r"[0-9](?:[ -]?[0-9]){12}"),
+    Kind("national_id", r"[0-9]+", _digits, national_id, r"[0-9]{11}"),
+    Kind("ip", r"[0-9]+(?:\.[0-9]+)*+", lambda m: m, _octets, r"[0-9](?:\.[0-9]{1,3}){3}"),
 ]
 
 
@@ -119,7 +124,9 @@ def _masking_of(kind: Kind, key: str) -> Callable[[Column], Column]:
         text = state["text"]
         found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
         parts = F.struct(found.alias("found"), F.split(text, kind.pattern, -1).alias("gaps"))
-        return bound(parts, lambda p: joined(state["counts"], p))
+        changed = bound(parts, lambda p: joined(state["counts"], p))
+        same = F.struct(text.alias("text"), F.concat(state["counts"], F.array(F.lit(0))).alias("counts"))
+        return F.when(text.rlike(kind.sign), changed).otherwise(same) if kind.sign else changed
 
     return step
 

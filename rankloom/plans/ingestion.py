@@ -11,6 +11,7 @@ from rankloom.operators.ingest import chunks
 from rankloom.operators.models import embed_texts
 from rankloom.plans import tables as tb
 from rankloom.plans.standins import LetterCountEmbedder
+from rankloom.session import settle
 
 CHUNK_CHARS, CHUNK_OVERLAP = 500, 50
 #: Of the registered queries only; a real key belongs in a secret store.
@@ -20,7 +21,8 @@ MASKING_KEY = "example-key"
 def masked_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of masked articles, with the letters that the embedder saw."""
     docs = tb.table(spark, d, "documents")
-    cut = chunks(docs, "doc_id", "text", CHUNK_CHARS, CHUNK_OVERLAP, masking_key=MASKING_KEY)
+    # Written down: the vectors' keys and the rows they are joined to both read the chunks.
+    cut = settle(chunks(docs, "doc_id", "text", CHUNK_CHARS, CHUNK_OVERLAP, masking_key=MASKING_KEY))
     seen = embed_texts(cut, "chunk", LetterCountEmbedder())
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
     return seen.select("doc_id", "pos", "chunk", total.cast("long").alias("letters"))
