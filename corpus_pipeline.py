@@ -32,7 +32,10 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a five-word similarity of 0.8 or more keep the smallest doc_id."""
+    """Of documents linked by a five-word similarity of 0.8 or more keep the smallest doc_id.
+
+    SimHash links first, verified; an exact step finds the pairs that fingerprints miss.
+    """
     ship_package(spark)
     return one_of_each(docs)
 

@@ -1,15 +1,19 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-A set that is alike to another lacks at most a fifth of its shingles there. So first, on a
+First SimHash: texts whose fingerprints are connected within ``RADIUS`` bits make a group, by the
+index in Gray order, and within a group the whole sets are compared.
+
+No radius finds all pairs: they differ in up to 17 bits on the sample tables, and with a radius of
+that size no block of bits selects anything. So what fingerprints leave open is settled exactly.
+A set that is alike to another lacks at most a fifth of its shingles there. On a
 third of all shingles' hashes, texts are ruled out in which more than a fifth of the whole
 set is found there and in no other text. The shingles of the texts left are put in order, rare
 ones first. Two sets that are alike share a shingle among the first fifth of both. Texts that share
-one of those, and are of like size, are tied into groups, and within a group the whole
-sets are compared. A text that is found alike to one is looked at once itself and then left out,
-so a large group of copies isn't compared pair by pair. No step loses a pair.
+one of those, and are of like size, are tied into groups. A group that SimHash has connected
+already needs nothing more; in the others the whole sets are compared.
 
-Fingerprints of 64 bits can't find these pairs: they differ in up to 17 bits on the sample
-tables, and with a radius of that size no block of bits selects anything.
+A text that is found alike to one is looked at once itself and then left out,
+so a large group of copies isn't compared pair by pair. No step loses a pair.
 """
 
 from __future__ import annotations
@@ -24,10 +28,12 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import whole_text, written
 from rankloom.llm.components import components, least_of_each
-from rankloom.llm.simhash import SEED, _shingles
+from rankloom.llm.simhash import _STEP, SEED, _shingles, near_links, print_of
 
 #: Texts whose keys are sent to every executor.
 SENT_TEXTS = 1_000_000
+#: Bits in which fingerprints that link may differ.
+RADIUS = 3
 #: Texts are first ruled out on the hashes that this divides.
 DRAWN = 3
 #: Shingles in a share of a group; a group of more is dealt out.
@@ -48,25 +54,26 @@ def _least_shared(size, similarity: float):
 
 
 def _keys(docs: DataFrame, words_each: int) -> DataFrame:
-    """Rows ``(doc_id, text_key, node, check, size, drawn)``; texts with equal sets have one ``node``."""
+    """Rows ``(doc_id, text_key, node, check, print, size, drawn)``; texts with equal sets have one ``node``."""
     text = whole_text()
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), text.cast("binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, checks, sizes, drawn = [], [], [], []
+            nodes, checks, prints, sizes, drawn = [], [], [], [], []
             for text in batch.column(2):
                 hashes = _set(text.as_py(), words_each)
                 nodes.append(_node(hashes))
                 checks.append(_check(hashes))
+                prints.append(print_of(hashes[at : at + _STEP] for at in range(0, len(hashes), _STEP)))
                 sizes.append(len(hashes))
                 drawn.append(int(np.count_nonzero(hashes % np.uint64(DRAWN) == 0)))
-            made = [pa.array(c, pa.int64()) for c in (nodes, checks)]
+            made = [pa.array(c, pa.int64()) for c in (nodes, checks, prints)]
             made += [pa.array(c, pa.int32()) for c in (sizes, drawn)]
             columns = [batch.column(0), batch.column(1), *made]
-            yield pa.record_batch(columns, ["doc_id", "text_key", "node", "check", "size", "drawn"])
+            yield pa.record_batch(columns, ["doc_id", "text_key", "node", "check", "print", "size", "drawn"])
 
-    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, node bigint, check bigint, size int, drawn int")
+    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, node bigint, check bigint, print bigint, size int, drawn int")
 
 
 def _node(hashes: np.ndarray) -> int:
@@ -268,19 +275,48 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.alias("a").join(wanted.alias("b"), same).select("b.*", "text")
 
 
+def _near_prints(keys: DataFrame) -> DataFrame:
+    """Rows ``(node, component)`` of the nodes whose fingerprints are connected with another's."""
+    nodes = keys.where("size > 0").select("node", "print").distinct()
+    prints = written(nodes.groupBy("print").agg(F.min("node").alias("id")), "near-prints")
+    found = written(components(near_links(prints, RADIUS)), "near-print-ties")
+    named = prints.join(found, prints["id"] == found["node"], "left")
+    named = nodes.join(named.select("print", F.coalesce("component", "id").alias("component")), "print")
+    named = written(named.select("node", "component"), "near-print-groups")
+    several = named.groupBy("component").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
+    return named.join(several.select("component"), "component", "left_semi")
+
+
 def _links(docs: DataFrame, keys: DataFrame, words_each: int, similarity: float, apart: dict) -> DataFrame:
     """Links ``(a, b)`` that connect nodes as the pairs of alike sets do."""
     one = F.min(F.struct("doc_id", "text_key")).alias("one")
     nodes = keys.where("size > 0").groupBy("node", "size", "drawn").agg(one)
+    nodes = written(nodes.select("node", "size", "drawn", "one.*"), "near-nodes")
+    first = written(nodes.drop("drawn").join(_near_prints(keys), "node"), "near-first")
+    sure = written(components(_compared(docs, first, words_each, similarity)), "near-sure")
+
     counted = _held(docs, words_each, DRAWN, apart).groupBy("node").agg(F.sum("held").alias("held"))
     may_lack = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9)
     left = nodes.join(counted, "node", "left").where(F.coalesce("held", F.lit(0)) >= F.col("drawn") - may_lack)
-    left = written(left.select("node", "size", "one.*"), "near-left")
+    left = written(left.select("node", "size", "doc_id", "text_key"), "near-left")
     held = _held(_texts(docs, left), words_each, 1, apart)
     fronts = _fronts(held, left.select("node", "size"), similarity)
     found = written(components(_ties(written(fronts, "near-fronts"), similarity)), "near-ties")
     both = found.unionAll(found.select(F.col("component").alias("node"), "component").distinct())
-    wanted = written(left.join(both, "node"), "near-groups")
+    known = sure.select("node", F.col("component").alias("known"))
+    groups = left.join(both, "node").join(known, "node", "left").withColumn("known", F.coalesce("known", "node"))
+    groups = written(groups, "near-groups")
+    open_ = groups.groupBy("component").agg(F.min("known").alias("low"), F.max("known").alias("high"))
+    open_ = written(open_.where("low != high").select("component"), "near-open")
+    rest = _compared(docs, groups.drop("known").join(open_, "component"), words_each, similarity)
+    return rest.unionAll(sure.select(F.col("node").alias("a"), F.col("component").alias("b")))
+
+
+def _compared(docs: DataFrame, wanted: DataFrame, words_each: int, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` that connect what pairs of alike sets connect in the groups of ``wanted``.
+
+    ``wanted`` has ``node, size, doc_id, text_key, component``; it is read several times.
+    """
     large = wanted.groupBy("component").agg(F.ceil(F.sum("size") / SHARE).cast("int").alias("shares"))
     large = written(large.where("shares > 1"), "near-shares")
     shares = F.coalesce("shares", F.lit(1)).alias("shares")

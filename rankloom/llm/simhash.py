@@ -14,7 +14,7 @@ connect, not pairs, so their number is bounded by the members.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -46,12 +46,18 @@ def _shingles(text: bytes, words_each: int) -> list[bytes]:
 def fingerprint(text: bytes, words_each: int = 3) -> int:
     """A bit is 1 if it is set in over half of the shingles' hashes; no words give 0."""
     shingles = _shingles(text, words_each)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(shingles), _STEP):
-        hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles[at : at + _STEP]], "<u8")
+    parts = (shingles[at : at + _STEP] for at in range(0, len(shingles), _STEP))
+    return print_of(np.array([xxhash.xxh64_intdigest(s, SEED) for s in part], "<u8") for part in parts)
+
+
+def print_of(parts: Iterable[np.ndarray]) -> int:
+    """The fingerprint of hashes that come in parts, as a signed number."""
+    ones, many = np.zeros(64, np.int64), 0
+    for hashes in parts:
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int32)
-    set_bits = np.packbits(2 * ones > len(shingles), bitorder="little")
+        many += len(hashes)
+    set_bits = np.packbits(2 * ones > many, bitorder="little")
     return int(set_bits.view("<i8")[0])
 
 

@@ -94,3 +94,18 @@ def test_ids_that_do_not_tell_rows_apart(documents, one_of_each):
     rows = [(1, a), (2, a.upper()), (2, b), (None, a.title()), (None, c), (None, c.upper()), (None, None)]
     got = [(r.doc_id, (r.text or "").lower()) for r in one_of_each(documents(rows)).collect()]
     assert set(got) == {(1, a), (2, b), (None, c), (None, "")} and len(got) == 4
+
+
+def test_fingerprints_link_first(spark, documents, rows, monkeypatch):
+    """SimHash alone finds a part of the near copies, and only such; groups it has connected are settled."""
+    docs = documents(rows)
+    compared = []
+
+    def watched(docs, wanted, words_each, similarity, run=nc._compared):
+        compared.append((wanted.count(), run(docs, wanted, words_each, similarity)))
+        return compared[-1][1]
+
+    monkeypatch.setattr(nc, "_compared", watched)
+    assert stays(nc.one_of_each(docs)) == brute(rows)
+    (by_prints, links), _ = compared
+    assert by_prints > 50 and links.count() > 30
