@@ -163,14 +163,14 @@ def test_audit(spark):
     assert {r.found for r in mk.audit(out.limit(0)).collect()} <= {0}
 
 
-@pytest.mark.parametrize("kind", KINDS, ids=lambda kind: kind.name)
+@pytest.mark.parametrize("kind", mk.KINDS, ids=lambda kind: kind.name)
 def test_texts_without_the_sign_of_a_kind_hold_none(spark, kind):
     """What a kind's quick pattern leaves out has no valid candidate; what is masked has the sign."""
     rng = random.Random(9)
     texts = ["".join(rng.choice("0123456789.+-@ ab") for _ in range(rng.randrange(40))) for _ in range(3000)]
     texts += ["4111 1111 1111 1111", "10000000146", "1.2.3.4", "255.1.22.333", "+49 30 1234567", "a@b.c", "A@b-c.de.f"]
-    plain = Kind(kind.name, kind.pattern, kind.normal, kind.valid)
+    plain = mk.Kind(kind.name, kind.pattern, kind.normal, kind.valid)
     table = spark.createDataFrame([(t,) for t in texts], "text string")
-    both = table.select("text", masked(F.col("text"), "k", [kind]).alias("a"), masked(F.col("text"), "k", [plain]).alias("b"))
+    both = table.select("text", mk.masked(F.col("text"), "k", [kind]).alias("a"), mk.masked(F.col("text"), "k", [plain]).alias("b"))
     assert kind.sign and both.where("a != b").isEmpty()
     assert not both.where("a.counts[0] > 0").isEmpty()
