@@ -10,6 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
 from rankloom.llm import near_copies as nc  # noqa: E402
 from rankloom.llm import simhash as sh  # noqa: E402
+from rankloom.llm.common import written  # noqa: E402
 
 
 def grams(text):
@@ -96,16 +97,13 @@ def test_ids_that_do_not_tell_rows_apart(documents, one_of_each):
     assert set(got) == {(1, a), (2, b), (None, c), (None, "")} and len(got) == 4
 
 
-def test_fingerprints_link_first(spark, documents, rows, monkeypatch):
-    """SimHash alone finds a part of the near copies, and only such; groups it has connected are settled."""
-    docs = documents(rows)
-    compared = []
-
-    def watched(docs, wanted, words_each, similarity, run=nc._compared):
-        compared.append((wanted.count(), run(docs, wanted, words_each, similarity)))
-        return compared[-1][1]
-
-    monkeypatch.setattr(nc, "_compared", watched)
-    assert stays(nc.one_of_each(docs)) == brute(rows)
-    (by_prints, links), _ = compared
-    assert by_prints > 50 and links.count() > 30
+def test_fingerprints_link_first(documents):
+    """Long texts with one word changed are in the groups that SimHash makes; others are not."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(3000)]
+    base = [rng.choice(words) for _ in range(900)]
+    texts = [edited(rng, base, 1, words) for _ in range(20)] + [[rng.choice(words) for _ in range(60)] for _ in range(20)]
+    keys = nc._keys(documents([(k, " ".join(t)) for k, t in enumerate(texts)]), 5)
+    keys = written(keys, "test-keys")
+    found = nc._near_prints(keys).join(keys, "node").select("doc_id").collect()
+    assert len(found) > 10 and all(r.doc_id < 20 for r in found)
