@@ -141,3 +141,72 @@ def test_connected(spark):
     table = spark.createDataFrame(links, "a long, b long").repartition(3)
     assert {r.node: r.label for r in cc.connected(table).collect()} == {n: top(n) for n in parent}
     assert cc.connected(table.limit(0)).collect() == []
+
+
+def test_members_of_bands_that_several_texts_have(spark, monkeypatch):
+    """Against counting every band's texts: many buckets, a band of most texts, bands met in one batch or in two."""
+    rng = random.Random(11)
+    monkeypatch.setattr(cc, "BUCKETS", 40)
+    monkeypatch.setattr(cc, "BANDS", 8)
+    hot, rare = -5, [rng.getrandbits(64) - (1 << 63) for _ in range(900)]
+    rows = []
+    for k in range(700):
+        bands = [*rng.sample(rare, 7), hot if k % 5 else rng.getrandbits(64) - (1 << 63)]
+        body = b"" if k % 50 == 0 else b"".join(band.to_bytes(8, "little", signed=True) for band in bands)
+        rows.append((k.to_bytes(15, "big") + b"\0", k, body, bands if body else []))
+    # Some texts come again in other batches.
+    again = [r[:3] for r in rows] + [r[:3] for r in rows[::3]]
+    table = spark.createDataFrame(again, "key binary, size int, bands binary").coalesce(1).repartition(5)
+    of = {}
+    for key, size, _, bands in rows:
+        for band in bands:
+            of.setdefault(band, []).append((band, key, size))
+    want = sorted(m for members in of.values() if len(members) > 1 for m in members)
+    assert len(of) > len({m[0] for m in want}) > 300
+    for batch in ("10000", "64"):
+        before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        found = sorted((r.band, bytes(r.key), r.size) for r in cc._members(table, iter).collect())
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        assert found == want
+
+
+def test_a_band_goes_to_its_bucket_once_a_batch():
+    import numpy as np
+    import pyarrow as pa
+
+    bands = np.arange(3000 * 4, dtype=np.uint64).reshape(3000, 4) << np.uint64(40)
+    bands[:, 0] = 7
+    keys = [k.to_bytes(16, "big") for k in range(3000)]
+    columns = [pa.array(keys), pa.array([9] * 3000, pa.int32()), pa.array([b.tobytes() for b in bands])]
+    (out,) = cc._dealt(6, iter([pa.record_batch(columns, ["key", "size", "bands"])]))
+    entries = np.frombuffer(b"".join(out["entries"].to_pylist()), cc._ENTRY)
+    assert (entries["band"] == 7).sum() == 1 and entries["sure"][entries["band"] == 7].all()
+    assert len(entries) == 3000 * 3 + 1 and not entries["sure"][entries["band"] != 7].any()
+    met = np.frombuffer(b"".join(out["met"].to_pylist()), cc._ENTRY)
+    assert len(met) == 2999 and (met["band"] == 7).all()
+
+
+def test_shingles_are_sets_of_runs():
+    """Equal exactly where the runs of words are, in texts shorter and longer than a run, in any batch."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abc") for _ in range(n % 13)) for n in range(200)] + ["a\t\x0bb  a\x0cb a", "a b a b a"]
+    values, sizes = cc._shingles([t.encode() for t in texts], 5)
+    assert sizes.tolist() == [len(shingles(t)) for t in texts]
+    ends, by_run = sizes.cumsum().tolist(), {}
+    for t, end, n in zip(texts, ends, sizes.tolist()):
+        own = values[end - n : end].tolist()
+        assert own == sorted(set(own)) == cc.shingles_of(t.encode()).tolist()
+        by_run.setdefault(frozenset(own), set()).add(frozenset(shingles(t)))
+    assert all(len(sets) == 1 for sets in by_run.values())
+    assert len(by_run) == len({frozenset(shingles(t)) for t in texts})
+
+
+def test_rounds_do_not_add_to_the_plan(spark):
+    """What Spark infers about the labels is no more after many rounds than after few."""
+
+    def inferred(length):
+        chain = spark.createDataFrame([(k, k + 1) for k in range(length)], "a long, b long").repartition(2)
+        return cc.connected(chain)._jdf.queryExecution().optimizedPlan().constraints().size()
+
+    assert inferred(100) == inferred(3) < 10
