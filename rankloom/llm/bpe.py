@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -51,10 +52,10 @@ def _pre_tokens(letter: str, number: str) -> str:
     )
 
 
+LETTERS = rf"[\p{{L}}--[{_spans(NEWER_LETTERS)}]]"
+NUMBERS = rf"[\p{{N}}--[{_spans(NEWER_NUMBERS)}]]"
 # For texts with newer letters or numbers, for other texts, and for ASCII, which is faster.
-PRE_TOKENS = "(?V1)" + _pre_tokens(
-    rf"[\p{{L}}--[{_spans(NEWER_LETTERS)}]]", rf"[\p{{N}}--[{_spans(NEWER_NUMBERS)}]]"
-)
+PRE_TOKENS = "(?V1)" + _pre_tokens(LETTERS, NUMBERS)
 USUAL_PRE_TOKENS = _pre_tokens(r"\p{L}", r"\p{N}")
 ASCII_PRE_TOKENS = (
     r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+"
@@ -66,6 +67,8 @@ REMEMBERED_BYTES = 32 << 20
 REMEMBERED_PAIRS = 100_000
 #: What an entry takes besides its letters and ids, and the letters of the longest that is worth it.
 ENTRY_BYTES = 200
+#: A place in a dict at its emptiest, and what two objects are rounded up by.
+PLACE_BYTES = 96
 LONGEST_REMEMBERED = 64
 
 
@@ -108,10 +111,29 @@ def parse_vocabulary(file: bytes) -> Vocabulary:
     return Vocabulary(tokens, [(as_bytes(a), as_bytes(b)) for a, b in pairs], added)
 
 
+def _listed(kind: str) -> str:
+    """The code points up to U+FFFF that ``kind`` matches, as ranges of a character class."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    runs = [run.span() for run in regex.compile(f"(?V1)(?:{kind})+").finditer(every)]
+    ends = [(ord(every[a]), ord(every[b - 1])) for a, b in runs]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ends)
+
+
+def _pattern_below_astral() -> str:
+    """``PRE_TOKENS`` with its classes written out, for texts without code points above U+FFFF."""
+    letters, numbers, blanks = _listed(LETTERS), _listed(NUMBERS), _listed(r"\s")
+    return (
+        rf"'(?:s|t|re|ve|m|ll|d)| ?[{letters}]+| ?[{numbers}]+"
+        rf"| ?[^{blanks}{letters}{numbers}]+|[{blanks}]+(?![^{blanks}])|[{blanks}]+"
+    )
+
+
 class PreTokens:
     """Cuts texts into pre-tokens; texts without rare characters take faster patterns."""
 
     def __init__(self) -> None:
+        self._astral = re.compile("[\U00010000-\U0010ffff]").search
+        self._below_astral = re.compile(_pattern_below_astral()).findall
         self._any = regex.compile(PRE_TOKENS).findall
         self._usual = regex.compile(USUAL_PRE_TOKENS).findall
         self._ascii = re.compile(ASCII_PRE_TOKENS).findall
@@ -120,6 +142,8 @@ class PreTokens:
     def __call__(self, text: str) -> list[str]:
         if text.isascii():
             return self._ascii(text)
+        if not self._astral(text):
+            return self._below_astral(text)
         return self._any(text) if self._newer(text) else self._usual(text)
 
 
@@ -140,33 +164,71 @@ class OffsetTable:
         return self._blob[np.repeat(starts - ends + sizes, sizes) + np.arange(total)].tobytes()
 
 
+class _Remembered(dict):
+    """The ids of pre-tokens, worked out where they are missing.
+
+    Half of ``REMEMBERED_BYTES`` holds what was met since it last was full, the other half what was
+    met before that. So what is met often stays, and what was met once goes.
+    """
+
+    def __init__(self, work_out: Callable[[str], bytes]) -> None:
+        self.work_out = work_out
+        self.forget()
+
+    def __missing__(self, pre_token: str) -> bytes:
+        pieces = self.older.get(pre_token) or self.work_out(pre_token)
+        size = PLACE_BYTES + sys.getsizeof(pre_token) + sys.getsizeof(pieces)
+        half = REMEMBERED_BYTES // 2
+        if len(pre_token) > LONGEST_REMEMBERED or size > half:
+            return pieces
+        if self.bytes + size > half:
+            older = dict(self)
+            self.forget()
+            self.older = older
+        self[pre_token] = pieces
+        self.bytes += size
+        return pieces
+
+    def forget(self) -> None:
+        self.clear()
+        self.older: dict[str, bytes] = {}
+        self.bytes = 0
+
+
 class Codec:
     """Encoder and decoder of one vocabulary, as each Python worker builds it."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         ids = {t: i for i, t in vocabulary.tokens.items() if i not in vocabulary.added.values()}
-        self._joins: dict[tuple[int, int], tuple[int, int]] = {}  # pair -> rank, joined token
-        self._made: dict[int, tuple[int, int, int]] = {}  # token -> rank, left, right
+        size = max(ids.values(), default=-1) + 1
+        # A pair of tokens is one number, the left token times ``_size`` plus the right one.
+        self._size = size
+        self._ranks: dict[int, int] = {}  # pair -> rank of its merge
+        self._last = len(vocabulary.merges) + 1
+        # By token, the merge that makes it: its rank (-1: none), the left and the right token.
+        self._made, self._lefts, self._rights = [-1] * size, [0] * size, [0] * size
         for rank, (left, right) in enumerate(vocabulary.merges):
-            pair, joined = (ids[left], ids[right]), ids[left + right]
-            self._joins.setdefault(pair, (rank, joined))
-            self._made.setdefault(joined, (rank, *pair))
+            a, b, joined = ids[left], ids[right], ids[left + right]
+            self._ranks.setdefault(a * size + b, rank)
+            if self._made[joined] < 0:
+                self._made[joined], self._lefts[joined], self._rights[joined] = rank, a, b
         self._matcher = ahocorasick.Automaton()
         for token, i in ids.items():
-            self._matcher.add_word(token.decode("latin-1"), (i, len(token)))
+            self._matcher.add_word(token.decode("latin-1"), i)
         self._matcher.make_automaton()
-        self._shorter = {}
+        # By token: its bytes, and the longest token that it begins with besides itself (-1: none).
+        self._lengths, self._shorter = [0] * size, [-1] * size
         for token, i in ids.items():
+            self._lengths[i] = len(token)
             cuts = (token[:n] for n in range(len(token) - 1, 0, -1))
-            cut = next((c for c in cuts if c in ids), None)
-            self._shorter[i] = None if cut is None else (ids[cut], len(cut))
+            self._shorter[i] = next((ids[c] for c in cuts if c in ids), -1)
         self._added = vocabulary.added
         names = sorted(map(regex.escape, vocabulary.added), key=len, reverse=True)
         self._specials = regex.compile("(" + "|".join(names) + ")") if names else None
         self._cut = PreTokens()
-        self._known: dict[str, bytes] = {}
-        self._known_bytes = 0
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._every_byte = all(bytes([b]) in ids for b in range(256))
+        self._known = _Remembered(self._pieces)
+        self._fits: dict[int, bool] = {}
         self._texts = OffsetTable(vocabulary.tokens)
         self._numbers = OffsetTable({i: b"%d," % i for i in vocabulary.tokens})
 
@@ -177,87 +239,86 @@ class Codec:
         pieces at the border stood side by side; a merge of them that comes before
         the one just undone would have been applied.
         """
-        answer = self._fits.get((left, right))
-        if answer is None:
-            a, b, undone, answer = left, right, len(self._joins) + 1, True
-            while True:
-                rank = self._joins.get((a, b), (undone, 0))[0]
-                if rank < undone:
-                    answer = False
-                    break
-                made_a, made_b = self._made.get(a), self._made.get(b)
-                if made_a is None and made_b is None:
-                    break
-                if made_b is None or (made_a is not None and made_a[0] > made_b[0]):
-                    undone, a = made_a[0], made_a[2]
-                else:
-                    # Equal merges apply from the left, so this one counts as later.
-                    undone, b = made_b[0] + 1, made_b[1]
-            if len(self._fits) >= REMEMBERED_PAIRS:
-                self._fits.clear()
-            self._fits[left, right] = answer
+        ranks, made, size = self._ranks.get, self._made, self._size
+        a, b, undone = left, right, self._last
+        while True:
+            if ranks(a * size + b, undone) < undone:
+                answer = False
+                break
+            if made[a] > made[b]:
+                undone, a = made[a], self._rights[a]
+            elif made[b] >= 0:
+                # Equal merges apply from the left, so this one counts as later.
+                undone, b = made[b] + 1, self._lefts[b]
+            else:
+                answer = True
+                break
+        if len(self._fits) >= REMEMBERED_PAIRS:
+            self._fits.clear()
+        self._fits[left * size + right] = answer
         return answer
 
     def _pieces(self, pre_token: str) -> bytes:
         """The ids of one pre-token as 32-bit numbers."""
         letters = pre_token.encode().decode("latin-1")
-        size, at, last = len(letters), 0, -1
-        search, shorter, fits = self._matcher.iter_long, self._shorter, self._fits
+        tokens = [token for _, token in self._matcher.iter_long(letters)]
+        if not self._every_byte and sum(map(self._lengths.__getitem__, tokens)) < len(letters):
+            raise ValueError(f"no token for some byte of {pre_token!r}")
+        # Mostly the longest matches, one after another, stand as they are.
+        known, base, last = self._fits.get, self._size, -1
+        for k, token in enumerate(tokens):
+            if last >= 0:
+                fit = known(last * base + token)
+                if not (self._compatible(last, token) if fit is None else fit):
+                    tokens = self._settled(letters, tokens, k)
+                    break
+            last = token
+        return array("i", tokens).tobytes()
+
+    def _settled(self, letters: str, tokens: list[int], k: int) -> list[int]:
+        """The ids of ``letters``, whose longest matches stand up to the ``k``-th, which does not."""
+        found, last, trying = tokens[:k], tokens[k - 1], self._shorter[tokens[k]]
+        search, shorter, lengths = self._matcher.iter_long, self._shorter, self._lengths
+        known, base = self._fits.get, self._size
+        size, at = len(letters), sum(map(lengths.__getitem__, found))
         alive = bytearray(b"\x01") * (size + 1)
-        found: list[tuple[int, int]] = []
-        # Longest matches one after another; begun anew where a shorter token was taken.
-        longest, in_step = search(letters), True
-        trying = next(longest)[1]
+        # Longest matches are searched anew where a shorter token was taken.
+        in_step = False
         while True:
-            while trying is not None:
-                if alive[at + trying[1]]:
+            while trying >= 0:
+                if alive[at + lengths[trying]]:
                     if last < 0:
                         break
-                    fit = fits.get((last, trying[0]))
-                    if fit or (fit is None and self._compatible(last, trying[0])):
+                    fit = known(last * base + trying)
+                    if fit or (fit is None and self._compatible(last, trying)):
                         break
-                trying, in_step = shorter[trying[0]], False
-            if trying is not None:
+                trying, in_step = shorter[trying], False
+            if trying >= 0:
                 found.append(trying)
-                last = trying[0]
-                at += trying[1]
+                last = trying
+                at += lengths[trying]
                 if at == size:
-                    return array("i", [token for token, _ in found]).tobytes()
+                    return found
                 if not in_step:
-                    longest, in_step = search(letters, at), True
-                trying = next(longest)[1]
+                    following, in_step = search(letters, at), True
+                _, trying = next(following)
             else:
                 alive[at] = 0
                 trying = found.pop()
-                at -= trying[1]
-                last = found[-1][0] if found else -1
+                at -= lengths[trying]
+                last = found[-1] if found else -1
                 in_step = False
 
     def _plain(self, text: str) -> bytes:
-        known = self._known
-        pre_tokens = self._cut(text)
-        new = {p: self._pieces(p) for p in set(pre_tokens).difference(known)}
-        if not new:
-            return b"".join(map(known.__getitem__, pre_tokens))
-        out = b"".join([new[p] if p in new else known[p] for p in pre_tokens])
-        self._remember(new)
-        return out
-
-    def _remember(self, new: dict[str, bytes]) -> None:
-        """Keep what was worked out; the memory is emptied before it outgrows its bytes."""
-        for pre_token, pieces in new.items():
-            if len(pre_token) > LONGEST_REMEMBERED:
-                continue
-            size = ENTRY_BYTES + 4 * len(pre_token) + len(pieces)
-            if self._known_bytes + size > REMEMBERED_BYTES:
-                self.forget()
-            self._known[pre_token] = pieces
-            self._known_bytes += size
+        return b"".join(map(self._known.__getitem__, self._cut(text)))
+
+    @property
+    def _known_bytes(self) -> int:
+        return self._known.bytes
 
     def forget(self) -> None:
         """Empty the memory of pre-tokens."""
-        self._known.clear()
-        self._known_bytes = 0
+        self._known.forget()
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a whole text; the strings of added tokens become those tokens."""

@@ -75,6 +75,30 @@ def test_long_pre_tokens_are_not_remembered(codec):
     assert not codec._known
 
 
+def test_frequent_pre_tokens_outlive_rare_ones(monkeypatch):
+    """Words of every text are worked out once, however many others fill the memory between them."""
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 40_000)
+    worked_out, pieces = [], bpe.Codec._pieces
+    monkeypatch.setattr(bpe.Codec, "_pieces", lambda codec, p: worked_out.append(p) or pieces(codec, p))
+    codec = bpe.Codec(bpe.read_vocabulary(PATH))
+    frequent = [" often" + letter for letter in "abcdefghij"]
+    rare = [f" once{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    for k in range(0, len(rare), 20):
+        codec.encode("".join(frequent + rare[k : k + 20]))
+    assert sorted(worked_out) == sorted(frequent + rare)
+
+
+def test_patterns_cut_alike(library):
+    """Texts without code points above U+FFFF have a pattern of their own, with the same cuts."""
+    cut, cutter = bpe.PreTokens(), library.pre_tokenizer
+    rng = random.Random(5)
+    alphabet = "ab Z19 '\t\n\x1c\x85\xa0\u2028\u3000éß²½Ⅷ٣漢́_-!\u088f\ua7d2" + "s"
+    for _ in range(3000):
+        text = "é" + "".join(rng.choices(alphabet, k=rng.randrange(12)))
+        want = [text[slice(*span)] for _, span in cutter.pre_tokenize_str(text)]
+        assert cut(text) == cut(text + "a😀")[: len(want) - 1] + want[-1:] == want, text
+
+
 def test_decode_of_broken_bytes(library, codec):
     ids = [i for i, t in bpe.read_vocabulary(PATH).tokens.items() if t in (b"\xc3", b"\xff", b"a")]
     assert codec.decode(np.array(ids * 2)) == library.decode(ids * 2, skip_special_tokens=False)
