@@ -80,11 +80,12 @@ def search(
     id_type = questions.schema["query_id"].dataType
     options = _Options(top_k, metric, score_threshold)
 
-    most = _questions_that_fit(vectors, top_k, broadcast_bytes)
-    head = _question_block(vectors, most)
-    if head is None:
-        partial_hits = _joined_blocks(vectors, corpus, id_type, options, most)
+    asked, dim = _extent(vectors)
+    most = _questions_that_fit(dim, top_k, broadcast_bytes)
+    if asked > most:
+        partial_hits = _joined_blocks(vectors, corpus, id_type, options, asked, dim, most)
     else:
+        head = _question_block(vectors)
         bars = {}
         if first_look is not None:
             early = search(
@@ -127,20 +128,24 @@ def _hit_schema(id_type: T.DataType) -> T.StructType:
     )
 
 
-def _questions_that_fit(vectors: DataFrame, top_k: int, budget: int) -> int:
-    """How many questions a task can hold: matrix, ids and ``top_k`` hits of each.
+def _extent(vectors: DataFrame) -> tuple[int, int]:
+    """The number of questions, and the dimension of the widest vector, whatever its row's place.
 
-    The widest vector counts, whatever its row's place.
+    They are counted where they lie: a limit would send those that it takes, and up to as many
+    of each partition that it drops, through one task.
     """
-    width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
-    return max(1, budget // (8 * width + _ID_BYTES + top_k * _HIT_BYTES))
+    asked, dim = vectors.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    return asked, dim or 1
 
 
-def _question_block(vectors: DataFrame, most: int) -> tuple[pa.Array, np.ndarray] | None:
-    """The question ids and matrix of up to ``most`` questions; ``None`` if there are more."""
-    table = vectors.limit(most + 1).toArrow()
-    if table.num_rows > most:
-        return None
+def _questions_that_fit(dim: int, top_k: int, budget: int) -> int:
+    """How many questions a task can hold: matrix, ids and ``top_k`` hits of each."""
+    return max(1, budget // (8 * dim + _ID_BYTES + top_k * _HIT_BYTES))
+
+
+def _question_block(vectors: DataFrame) -> tuple[pa.Array, np.ndarray]:
+    """The ids and the matrix of questions that fit."""
+    table = vectors.toArrow()
     if not table.num_rows:
         return pa.array([]), np.zeros((0, 0))
     return table.column("query_id").combine_chunks(), _matrix(table.column("embedding"))
@@ -161,7 +166,13 @@ def _bars(last_places: DataFrame, query_ids: pa.Array) -> dict[str, np.ndarray]:
 
 
 def _joined_blocks(
-    vectors: DataFrame, corpus: DataFrame, id_type: T.DataType, options: _Options, per_lane: int
+    vectors: DataFrame,
+    corpus: DataFrame,
+    id_type: T.DataType,
+    options: _Options,
+    asked: int,
+    dim: int,
+    per_lane: int,
 ) -> DataFrame:
     """Too many questions to ship: a grid of hash blocks of questions and slices of points.
 
@@ -175,9 +186,7 @@ def _joined_blocks(
     """
     corpus = settle(corpus)
     spark = vectors.sparkSession
-    dim = vectors.agg(F.max(F.size("embedding"))).first()[0]
-    asked, held = vectors.count(), corpus.count()
-    lanes, salts = _grid(asked, held, dim, options.top_k, per_lane, _cells(spark))
+    lanes, salts = _grid(asked, corpus.count(), dim, options.top_k, per_lane, _cells(spark))
 
     question_blocks = (
         vectors.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(lanes)).alias("lane"))

@@ -282,3 +282,23 @@ def test_points_of_a_lane_without_questions():
     assert [r for batch in out for r in zip(*batch.to_pydict().values())] == [
         (7, "internal", "a", 2.0), (8, "internal", "d", 5.0)
     ]
+
+
+def test_questions_are_counted_where_they_lie(spark, monkeypatch):
+    """No task and no driver gets a part of the questions to find out that there are too many."""
+    questions, points = random_corpus(6, 60)
+    q = spark.createDataFrame(questions, "query_id long, embedding array<float>")
+    p = spark.createDataFrame(points, POINTS)
+
+    def unless_vectors(method):
+        def call(rows, *given):
+            assert "embedding" not in rows.columns, "questions were fetched"
+            return method(rows, *given)
+
+        return call
+
+    frame = type(q)
+    monkeypatch.setattr(frame, "limit", unless_vectors(frame.limit))
+    shipped = sim.search(q, p, 3, "dot").collect()
+    monkeypatch.setattr(frame, "toArrow", unless_vectors(frame.toArrow))
+    assert sorted(sim.search(q, p, 3, "dot", broadcast_bytes=8 * 6 * 7).collect()) == sorted(shipped)
