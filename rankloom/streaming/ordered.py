@@ -9,16 +9,22 @@ drops them and counts them (``late_rows``). A fold says when its state tells no
 state would; the state then goes, so that keys that are gone take no room.
 
 The waiting rows of a bucket are those of one watermark's delay and one micro-batch; the
-source's limit per trigger bounds the latter. State lies in RocksDB.
+source's limit per trigger bounds the latter. They lie in RocksDB as Arrow batches of thousands
+of rows: a state store takes and gives values one by one, and a key with a fifth of the log has
+as many rows. Batches are numbered values of a map, as a list is read whole for each value
+appended to it.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,10 +32,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from rankloom.operators.clock import micros
 from rankloom.params import Params
-from rankloom.streaming.folds import _advance, _is_quiet, _limit, _ttl
+from rankloom.streaming.folds import _advance, _limit, _ttl
 
 #: Keys are dealt to so many buckets, whose rows and states are one read and one write each.
 BUCKETS = 512
+#: Rows that are folded in one go and go back to Spark as one frame, and of a batch that waits on.
+FRAME_ROWS = 50_000
 _NEVER = 1 << 50
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -60,42 +68,55 @@ class Fold:
 class _InOrder(StatefulProcessor):
     """The keys of one bucket: their waiting rows and their states are each read and put in one go."""
 
-    def __init__(self, fold: Fold, keys: list[str], inside: list[str], waiting: T.StructType, held: T.StructType) -> None:
+    def __init__(self, fold: Fold, keys: list[str], inside: list[str], held: T.StructType) -> None:
         # Columns arrive numbered: names may clash with the key's, or not be ones Python can say.
-        self._fold, self._keys, self._inside = fold, keys, inside
-        self._waiting_schema, self._held_schema = waiting, held
+        self._fold, self._keys, self._inside, self._held_schema = fold, keys, inside, held
+        self._came = [*keys, *(f"in{k}" for k in range(len(inside)))]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._waiting = handle.getListState("waiting", self._waiting_schema)
+        self._waiting = handle.getMapState("waiting", "part int", "rows binary")
         self._held = handle.getListState("held", self._held_schema)
-        self._due = handle.getValueState("due", "ms long")
+        # How many parts wait, and the timer that is set.
+        self._book = handle.getValueState("book", "parts int, ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        least = None
+        parts, timer = self._booked()
+        times = []
         for frame in rows:
-            came = frame[self._waiting_schema.names]
-            self._waiting.appendList(_tuples(came, len(self._keys)))
-            first = int(frame["in0"].min())
-            least = first if least is None else min(least, first)
-        if least is not None:
-            self._wake_after(least)
+            came = frame[self._came].set_axis([*self._keys, *self._inside], axis=1)
+            self._waiting.updateValue((parts,), (_packed(came),))
+            parts += 1
+            times.append(int(came["_us"].min()))
+        self._wake_after(min(times, default=None), parts, timer)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._due.clear()
         passed = timerValues.getCurrentWatermarkInMs() * 1000
+        parts, _ = self._booked()
         many = len(self._keys)
-        rows = pd.DataFrame(list(self._waiting.get()), columns=[*self._keys, *self._inside])
+        # A heartbeat may find a bucket without rows, to see whether its states are spent.
+        due, later = [], []
+        for part in range(parts):
+            came = _unpacked(self._waiting.getValue((part,))[0])
+            ready = (came["_us"] <= passed).to_numpy()
+            if ready.any():
+                due.append(came if ready.all() else came[ready])
+            if not ready.all():
+                later.append(came[~ready])
+            self._waiting.removeKey((part,))
         held = {tuple(r[:many]): tuple(_plain(v) for v in r[many:]) for r in self._held.get()}
-        ready = (rows["_us"] <= passed).astype(bool)
-        self._waiting.clear()
-        wakes = []
-        if (~ready).any():
-            self._waiting.put(_tuples(rows[~ready], many))
-            wakes.append(int(rows.loc[~ready, "_us"].min()))
-        if ready.any():
-            yield self._folded(rows[ready], held)
+        parts, wakes = 0, []
+        if later:
+            rest = pd.concat(later, ignore_index=True)
+            for at in _pieces(np.arange(len(rest))):
+                self._waiting.updateValue((parts,), (_packed(rest.iloc[at]),))
+                parts += 1
+            wakes.append(int(rest["_us"].min()))
+        if due:
+            rows = pd.concat(due, ignore_index=True)
+            del due, came
+            yield from self._folded(rows, held)
         for name, state in list(held.items()):
             wait = self._patience(state, passed)
             if wait == 0:
@@ -105,24 +126,26 @@ class _InOrder(StatefulProcessor):
         self._held.clear()
         if held:
             self._held.put([(*name, *state) for name, state in held.items()])
-        if wakes:
-            self._wake_after(min(wakes))
+        self._wake_after(min(wakes, default=None), parts)
 
-    def _folded(self, rows: pd.DataFrame, held: dict[tuple, tuple]) -> pd.DataFrame:
+    def _folded(self, rows: pd.DataFrame, held: dict[tuple, tuple]) -> Iterator[pd.DataFrame]:
         """The events of ``rows``, one key after another; ``held`` gets the keys' new states."""
-        places: dict[tuple, int] = {}
-        place = [places.setdefault(name, len(places)) for name in zip(*(rows[k] for k in self._keys))]
-        due = rows.assign(_place=place).sort_values(["_place", "_us", "_order"], ignore_index=True)
-        ends = np.cumsum(np.bincount(due["_place"], minlength=len(places))).tolist()
-        made: dict[str, list] = {}
-        for name, start, end in zip(places, [0, *ends], ends):
-            state, events = self._fold.step(held.get(name), due.iloc[start:end])
-            held[name] = tuple(state)
-            for column, values in events.items():
-                made.setdefault(column, []).extend(values)
-        out = due[["_order"]].assign(**made)
-        out["_ts"] = pd.to_datetime(due["_us"], unit="us", utc=True)
-        return out.assign(**{k: due[k] for k in self._keys})
+        place = rows.groupby(self._keys, sort=False, dropna=False).ngroup().to_numpy()
+        for at in _pieces(_order_of(place, rows)):
+            due = rows.iloc[at].reset_index(drop=True)
+            starts = np.flatnonzero(np.diff(place[at], prepend=-1)).tolist()
+            names = due[self._keys].iloc[starts].astype(object)
+            names = names.where(names.notna(), None).itertuples(index=False, name=None)
+            made: dict[str, list] = {}
+            for name, start, end in zip(names, starts, [*starts[1:], len(due)]):
+                state, events = self._fold.step(held.get(name), due.iloc[start:end])
+                held[name] = tuple(state)
+                for column, values in events.items():
+                    made.setdefault(column, []).append(values)
+            joined = {c: parts[0] if len(parts) == 1 else list(chain.from_iterable(parts)) for c, parts in made.items()}
+            out = due[["_order"]].assign(**joined)
+            out["_ts"] = pd.to_datetime(due["_us"], unit="us", utc=True)
+            yield out.assign(**{k: due[k] for k in self._keys})
 
     def _patience(self, state: tuple, passed: int) -> int:
         """Microseconds until the state is spent, found by doubling; 0 if it is."""
@@ -133,25 +156,50 @@ class _InOrder(StatefulProcessor):
             wait *= 2
         return wait
 
-    def _wake_after(self, us: int) -> None:
-        ms = us // 1000 + 1
-        if self._due.exists():
-            known = self._due.get()[0]
-            if known <= ms:
-                return
-            self._handle.deleteTimer(known)
-        self._handle.registerTimer(ms)
-        self._due.update((ms,))
+    def _booked(self) -> tuple[int, int | None]:
+        return self._book.get() if self._book.exists() else (0, None)
+
+    def _wake_after(self, us: int | None, parts: int, timer: int | None = None) -> None:
+        """Note ``parts``, and have a timer for ``us``, if any, where ``timer`` isn't one that is earlier."""
+        ms = None if us is None else us // 1000 + 1
+        if ms is not None and (timer is None or ms < timer):
+            if timer is not None:
+                self._handle.deleteTimer(timer)
+            self._handle.registerTimer(ms)
+            timer = ms
+        if timer is None:
+            self._book.clear()
+        else:
+            self._book.update((parts, timer))
 
     def close(self) -> None:
         pass
 
 
-def _tuples(frame: pd.DataFrame, keys: int) -> list[tuple]:
-    """Rows for a list state; the first columns are keys, whose nulls are None."""
-    columns = [frame.iloc[:, at].astype(object) for at in range(frame.shape[1])]
-    columns[:keys] = [column.where(column.notna(), None) for column in columns[:keys]]
-    return list(zip(*columns))
+def _packed(rows: pd.DataFrame) -> bytes:
+    """Rows as one value of a state: an Arrow stream of one batch."""
+    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False).replace_schema_metadata()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(value: bytes) -> pd.DataFrame:
+    with pa.ipc.open_stream(value) as stream:
+        return stream.read_pandas()
+
+
+def _pieces(rows: np.ndarray) -> Iterator[np.ndarray]:
+    return (rows[start : start + FRAME_ROWS] for start in range(0, len(rows), FRAME_ROWS))
+
+
+def _order_of(place: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
+    """Positions of the rows by place, time and order; equal ones as they came."""
+    if rows["_order"].dtype.kind in "iuf":
+        return np.lexsort((rows["_order"].to_numpy(), rows["_us"].to_numpy(), place))
+    keyed = rows[["_us", "_order"]].assign(_place=place).reset_index(drop=True)
+    return keyed.sort_values(["_place", "_us", "_order"]).index.to_numpy()
 
 
 def _plain(value):
@@ -199,14 +247,13 @@ def in_order(
         F.col(ts).alias("in_ts"), *[c.alias(f"in{k}") for k, c in enumerate(columns)],
     )
     texts = [T.StructField(n, T.StringType()) for n in names]
-    waiting = T.StructType([*texts, *[narrow.schema[f"in{k}"] for k in range(len(columns))]])
     held = T.StructType([*texts, *T.StructType.fromDDL(fold.state).fields])
     events = T.StructType.fromDDL(fold.events)
     made = T.StructType([
         T.StructField("_order", narrow.schema["in1"].dataType), *events.fields, T.StructField("_ts", T.TimestampType()), *texts,
     ])
     out = narrow.groupBy("bucket").transformWithStateInPandas(
-        _InOrder(fold, names, inside, waiting, held), made, outputMode="Append", timeMode="EventTime"
+        _InOrder(fold, names, inside, held), made, outputMode="Append", timeMode="EventTime"
     )
     back = [_from_text(F.col(n), kind).alias(name) for n, (name, kind) in zip(names, kinds.items())]
     return out.select(*back, F.col("_ts").alias(ts), F.col("_order").alias(order), *events.names)
@@ -265,21 +312,7 @@ def ordered_outage_events(
     """``(host, ts, order, streak, event)`` as ``outage_events``; a host that is up needs no state."""
 
     def step(state, rows):
-        fails, alerted = state or (0, 0)
-        streaks, events = [], []
-        for us, good in zip(rows["_us"].tolist(), rows["_ok"].tolist()):
-            quiet, second = _is_quiet(us, quiet_minutes), us // 1_000_000
-            if good:
-                event = "ok" if not (fails and send_recovery) else "recovery_quiet" if quiet else "recovery"
-                fails, alerted = 0, 0
-            else:
-                fails += 1
-                cooling = alerted and second - alerted < cooldown_minutes * 60
-                event = "pending" if fails < threshold else "quiet" if quiet else "cooldown" if cooling else "alert"
-                alerted = second if event == "alert" else alerted
-            streaks.append(fails)
-            events.append(event)
-        return (fails, alerted), {"streak": streaks, "event": events}
+        return _watched(threshold, cooldown_minutes * 60, quiet_minutes, send_recovery, state, rows)
 
     def spent(state, us):
         return state[0] == 0
@@ -288,6 +321,44 @@ def ordered_outage_events(
     return in_order(probes, [host], ts, order, [ok.alias("_ok")], fold, watermark)
 
 
+def _watched(threshold: int, cooldown: float, quiet_minutes: tuple[int, int] | None, send_recovery: bool, held, rows: pd.DataFrame):
+    """The monitor's ``(fails, alert_second)`` after one host's rows, and their streaks and events.
+
+    Only alerts are looked up one by one: all else is known from where the last good row lies.
+    """
+    fails, alerted = held or (0, None)
+    good = rows["_ok"].eq(True).to_numpy(dtype=bool)  # an unknown probe failed
+    second = rows["_us"].to_numpy() // 1_000_000
+    at = np.arange(len(rows))
+    since = np.maximum.accumulate(np.where(good, at, -1))
+    streak = np.where(since < 0, at + 1 + fails, at - since)
+    before = np.concatenate(([fails], streak[:-1]))
+    quiet = np.zeros(len(rows), dtype=bool)
+    if quiet_minutes is not None:
+        minute, (low, high) = second // 60 % 1440, quiet_minutes
+        quiet = (minute >= low) & (minute < high) if low < high else (minute >= low) | (minute < high)
+    recovered = good & (before > 0) & bool(send_recovery)
+    kinds = ["ok", "recovery", "recovery_quiet", "pending", "quiet", "cooldown", "alert"]
+    code = np.select([recovered & quiet, recovered, good, streak < threshold, quiet], [2, 1, 0, 3, 4], 5)
+    # What is left wants to alert; the rows of an outage lie next to each other among these.
+    wanting = np.flatnonzero(code == 5)
+    outage, seconds = since[wanting], second[wanting].tolist()
+    starts = np.flatnonzero(np.diff(outage, prepend=-2)).tolist()
+    alerts = []
+    for start, end in zip(starts, [*starts[1:], len(seconds)]):
+        if outage[start] < 0 and alerted is not None:
+            start = bisect_left(seconds, alerted + cooldown, start, end)
+        while start < end:
+            alerts.append(start)
+            start = bisect_left(seconds, seconds[start] + cooldown, start + 1, end)
+    code[wanting[alerts]] = 6
+    if alerts and outage[alerts[-1]] == since[-1]:
+        alerted = seconds[alerts[-1]]
+    elif since[-1] >= 0:
+        alerted = None
+    return (int(streak[-1]), alerted), {"streak": streak, "event": np.array(kinds, dtype=object)[code]}
+
+
 def ordered_alert_states(
     evaluations: DataFrame, step_seconds: int, watermark: str | None = "10 minutes"
 ) -> DataFrame:

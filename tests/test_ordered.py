@@ -2,16 +2,19 @@
 
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
 
 from rankloom.operators import alerts as al
 from rankloom.operators import metrics as mx
 from rankloom.operators.cache_replay import ttl_replay
 from rankloom.operators.limiter import rate_limit
 from rankloom.operators.monitor import outage_events
-from rankloom.streaming import ordered
+from rankloom.streaming import folds, ordered
 from rankloom.streaming.alerting import stream_latency_alerts
 
 T0 = datetime(2024, 1, 1)
@@ -145,3 +148,110 @@ def test_hosts_that_are_up_need_no_state(held, us, gone, spark):
     finally:
         ordered.in_order = original
     assert fold["made"].spent(held, us) is gone
+
+
+class Store:
+    """A state handle in memory that counts the values it takes and gives."""
+
+    def __init__(self):
+        self.timers, self.values = set(), 0
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.remove
+
+    def _counted(self, **calls):
+        def call(name, f):
+            def counted(*args):
+                found = f(*args)
+                self.values += len(args[0]) if name in ("put", "appendList") else len(found) if name == "get" else 1
+                return found
+
+            return counted
+
+        return SimpleNamespace(**{name: call(name, f) for name, f in calls.items()})
+
+    def getValueState(self, name, schema):
+        kept = []
+        return self._counted(
+            exists=lambda: bool(kept), get=lambda: kept[0], clear=kept.clear, update=lambda v: (kept.clear(), kept.append(v))
+        )
+
+    def getListState(self, name, schema):
+        kept = []
+        return self._counted(
+            get=lambda: list(kept), put=lambda v: (kept.clear(), kept.extend(v)), clear=kept.clear,
+            appendList=kept.extend, appendValue=kept.append,
+        )
+
+    def getMapState(self, name, key, value):
+        kept = {}
+        return self._counted(getValue=kept.get, updateValue=kept.__setitem__, removeKey=kept.pop)
+
+
+def monitor_of(spark, monkeypatch, watched):
+    """The processor of an outage monitor over ``watched`` frames."""
+    caught = []
+    with monkeypatch.context() as patch:
+        patch.setattr(PandasGroupedOpsMixin, "transformWithStateInPandas", lambda self, processor, made, **_: caught.append(processor) or spark.createDataFrame([], made))
+        empty = spark.createDataFrame([], SCHEMA)
+        ordered.ordered_outage_events(empty, "k", "ts", "id", F.col("ok"), 2, 1, (30, 60), watermark="1000 seconds")
+    return caught[0]
+
+
+def judged(processor, store, frames, cuts):
+    """What the processor makes of all ``frames``, the watermark going on to each of ``cuts`` after them."""
+    processor.init(store)
+    made = list(processor.handleInputRows((0,), iter(frames), None))
+    for ms in cuts:
+        assert min(store.timers) <= ms
+        store.timers.clear()
+        made += processor.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: ms), None)
+    return made
+
+
+def test_a_hot_key_costs_the_state_store_little(spark, monkeypatch):
+    """Rows wait in batches: the store is asked for a few values, not one for each row, and none is read twice."""
+    n, start = 20_000, 1_704_067_200_000_000
+    rows = pd.DataFrame({"bucket": 0, "key0": "a", "in_ts": T0, "in0": [start + i * 10**6 for i in range(n)], "in1": range(n), "in2": True})
+    store = Store()
+    frames = [rows[i : i + 5000] for i in range(0, n, 5000)]
+    made = judged(monitor_of(spark, monkeypatch, rows), store, frames, [start // 1000 + 10_000_000, start // 1000 + 30_000_000])
+    assert sum(map(len, made)) == n and set(pd.concat(made)["event"]) == {"ok"}
+    assert store.values < 100
+
+
+def test_keys_and_pieces_of_a_bucket(spark, monkeypatch):
+    """Keys that are folded in several pieces, and at several times, are judged like in one."""
+    monkeypatch.setattr(ordered, "FRAME_ROWS", 7)
+    rng = random.Random(3)
+    start = 1_704_067_200_000_000
+    rows = [(rng.choice(["a", "b", None]), start + rng.randrange(5000) * 10**6, i, rng.choice([True, True, False, False, None])) for i in range(400)]
+    frames = [pd.DataFrame([(0, k, T0, us, i, ok) for k, us, i, ok in rows[at : at + 90]], columns=["bucket", "key0", "in_ts", "in0", "in1", "in2"]) for at in range(0, 400, 90)]
+    store = Store()
+    out = pd.concat(judged(monitor_of(spark, monkeypatch, frames), store, frames, [start // 1000 + s * 1000 for s in (1700, 1750, 9000)]))
+    want = {}
+    for key in ("a", "b", None):
+        mine = sorted((us, i, ok) for k, us, i, ok in rows if k == key)
+        _, events = folds._watch(2, 60, (30, 60), True, None, pd.DataFrame({"_us": [r[0] for r in mine], "_ok": [r[2] for r in mine]}))
+        want |= {i: (key, us, event) for (us, i, _), event in zip(mine, events)}
+    us = out["_ts"].astype("int64") // (1000 if "ns" in str(out["_ts"].dtype) else 1)
+    assert dict(zip(out["_order"], zip(out["key0"], us, out["event"]))) == want and len(out) == 400
+    assert {"alert", "cooldown", "quiet", "pending", "recovery", "recovery_quiet", "ok"} == set(out["event"])
+
+
+@pytest.mark.parametrize("cooldown", [0, 1, 30])
+@pytest.mark.parametrize("quiet", [None, (30, 60), (1410, 20)])
+def test_monitor_of_columns_is_that_of_rows(cooldown, quiet):
+    rng = random.Random(7)
+    for _ in range(60):
+        now, rows, share = 1_704_067_200_000_000, [], rng.choice([0.05, 0.5, 0.95])
+        for _ in range(rng.randrange(1, 60)):
+            now += rng.choice([0, 10**6, 7 * 10**6, 400 * 10**6, 2000 * 10**6])
+            rows.append((now, rng.choice([None, False]) if rng.random() > share else True))
+        frame = pd.DataFrame(rows, columns=["_us", "_ok"])
+        cut = rng.randrange(len(rows) + 1)
+        held, got = None, []
+        for piece in (frame[:cut], frame[cut:]):
+            if len(piece):
+                held, made = ordered._watched(3, cooldown * 60, quiet, True, held, piece)
+                got += list(made["event"])
+        (fails, alerted), events = folds._watch(3, cooldown * 60, quiet, True, None, frame)
+        assert got == events and held == (fails, alerted or None)
